@@ -155,10 +155,12 @@ def report_rows(detections: DataFrame, unit: str) -> DataFrame:
     """Daily, weekly or monthly report as one tidy table from a single pre-aggregate."""
     cells = detections.groupBy(bucket(unit, "ts").alias("period"), "threat_level", "drone_type",
                                F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
+    def part(section, name):
+        return F.struct(F.lit(section).alias("section"), name.alias("name"))
+
     items = cells.select("period", "n", F.explode(F.array(
-        F.struct(F.lit("total").alias("section"), F.lit("all").alias("name")),
-        F.struct(F.lit("threat"), C("threat_level")), F.struct(F.lit("type"), C("drone_type")),
-        F.struct(F.lit("hour"), F.lpad(C("hour").cast("string"), 2, "0")))).alias("x"))
+        part("total", F.lit("all")), part("threat", C("threat_level")), part("type", C("drone_type")),
+        part("hour", F.lpad(C("hour").cast("string"), 2, "0")))).alias("x"))
     rows = items.groupBy("period", C("x.section").alias("section"), C("x.name").alias("name")).agg(F.sum("n").alias("n"))
     peak = rows.filter(C("section") == "hour").groupBy("period").agg(
         F.max_by(F.struct("name", "n"), F.struct("n", -C("name").cast("int"))).alias("p"))
@@ -186,9 +188,9 @@ def alert_statistics(alerts: DataFrame) -> DataFrame:
 def alert_breakdown(alerts: DataFrame) -> DataFrame:
     """Counts by severity and by category in one pass; missing is UNKNOWN."""
     unknown = F.lit("UNKNOWN")
-    items = alerts.select(F.explode(F.array(
-        F.struct(F.lit("severity").alias("dimension"), F.coalesce("severity", unknown).alias("name")),
-        F.struct(F.lit("category"), F.coalesce("category", unknown)))).alias("x"))
+    items = alerts.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("dimension"), F.coalesce(C(c), unknown).alias("name")) for c in ("severity", "category")
+    ])).alias("x"))
     return items.groupBy(C("x.dimension").alias("dimension"), C("x.name").alias("name")).agg(F.count("*").alias("n"))
 
 

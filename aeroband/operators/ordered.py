@@ -82,7 +82,8 @@ def sessionise(df: DataFrame, keys, ts: str, gap_seconds: float, slice_seconds:
     return running_sums(stepped, keys, order, {name: opens}, seg).drop("_prev_us")
 
 
-def trailing(df: DataFrame, keys, ts: str, seconds: int, aggregates: dict, slice_seconds: int | None = None) -> DataFrame:
+def trailing(df: DataFrame, keys, ts: str, seconds: float, aggregates: dict, slice_seconds: int | None = None,
+             open_start: bool = False) -> DataFrame:
     """Aggregates over the preceding ``seconds`` of each key, current row included.
 
     Rows near the end of a slice are copied into the next slice as context, so a frame
@@ -90,13 +91,12 @@ def trailing(df: DataFrame, keys, ts: str, seconds: int, aggregates: dict, slice
     slice is at least as long as the frame.
     """
     keys = _names(keys)
-    length = max(slice_seconds or 3600, seconds)
-    us, span = length * 1_000_000, seconds * 1_000_000
+    us, span = int(max(slice_seconds or 3600, seconds) * 1_000_000), int(seconds * 1_000_000)
     work = df.withColumn("_us", epoch_us(ts))
     own = F.floor(F.col("_us") / us).cast("long")
     reaches = F.floor((F.col("_us") + span) / us).cast("long")
     copied = work.withColumn("_own", own).withColumn(SEG, F.explode(F.sequence(own, reaches)))
-    frame = Window.partitionBy(*keys, SEG).orderBy("_us").rangeBetween(-span, 0)
+    frame = Window.partitionBy(*keys, SEG).orderBy("_us").rangeBetween(-span + int(open_start), 0)
     out = copied.select("*", *[agg.over(frame).alias(n) for n, agg in aggregates.items()])
     return out.filter(F.col("_own") == F.col(SEG)).drop("_us", "_own", SEG)
 

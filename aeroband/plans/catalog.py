@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational"]
+MODULES = ["relational", "analytics", "sequences"]
 
 
 def load() -> None:

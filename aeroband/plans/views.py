@@ -164,6 +164,13 @@ def spectra(spark: SparkSession, d: str) -> DataFrame:
              (F.col("_p").cast("double") * 100).alias("psd_db"))
 
 
+def psd_frames(spark: SparkSession, d: str) -> DataFrame:
+    """One row per frame: spectrum as an array plus its frequency grid."""
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("frame_id"), "label", F.lit(2.4e9).alias("f0_hz"), F.lit(1e5).alias("bin_hz"),
+        F.transform("embedding", lambda x: x.cast("double") * 100).alias("psd"))
+
+
 def iq_frames(spark: SparkSession, d: str) -> DataFrame:
     half = F.sequence(F.lit(1), (F.size("embedding") / 2).cast("int"))
     return table(spark, d, "embeddings").select(
