@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational", "analytics", "sequences"]
+MODULES = ["relational", "analytics", "sequences", "places"]
 
 
 def load() -> None:

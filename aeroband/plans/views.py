@@ -84,14 +84,37 @@ SQL: dict[str, str] = {
     "recording_sessions": """
         SELECT c_custkey AS id, c_name AS name, c_mktsegment AS site, c_nationkey AS nation_id FROM customer""",
     "receivers": """
-        SELECT s_suppkey // 4 AS array_id, s_suppkey AS receiver_id, CAST(s_suppkey % 4 AS INTEGER) AS slot,
-               CASE s_suppkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1000.0 WHEN 2 THEN 0.0 ELSE 1100.0 END
+        SELECT s_suppkey // 6 AS array_id, s_suppkey AS receiver_id, CAST(s_suppkey % 6 AS INTEGER) AS slot,
+               CASE s_suppkey % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 1000.0 WHEN 2 THEN 500.0 WHEN 3 THEN 1100.0 WHEN 4 THEN -80.0 ELSE 420.0 END::DOUBLE
                  + (s_suppkey * 37) % 50 AS x,
-               CASE s_suppkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1000.0 ELSE 900.0 END
+               CASE s_suppkey % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 60.0 WHEN 2 THEN 1000.0 WHEN 3 THEN 900.0 WHEN 4 THEN 700.0 ELSE -150.0 END::DOUBLE
                  + (s_suppkey * 53) % 40 AS y,
-               (s_suppkey % 4) * 40.0 + (s_suppkey * 17) % 30 AS z,
+               CASE s_suppkey % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 120.0 WHEN 2 THEN 30.0 WHEN 3 THEN 200.0 WHEN 4 THEN 90.0 ELSE 260.0 END::DOUBLE
+                 + (s_suppkey * 17) % 30 AS z,
                s_acctbal / 500.0 AS snr
         FROM supplier""",
+    "emissions": """
+        SELECT c_custkey AS event_id, c_custkey % 16 AS array_id, ((c_custkey * 37) % 900 + 50)::DOUBLE AS x,
+               ((c_custkey * 53) % 900 + 50)::DOUBLE AS y, ((c_custkey * 17) % 100 + 10)::DOUBLE AS z
+        FROM customer""",
+    "tdoa_measurements": """
+        SELECT e.event_id, e.array_id, r0.receiver_id AS ref_id, r.receiver_id AS other_id,
+               (sqrt((e.x-r.x)*(e.x-r.x)+(e.y-r.y)*(e.y-r.y)+(e.z-r.z)*(e.z-r.z))
+                - sqrt((e.x-r0.x)*(e.x-r0.x)+(e.y-r0.y)*(e.y-r0.y)+(e.z-r0.z)*(e.z-r0.z))) / 299792458.0 AS tdoa_s,
+               (r.snr + r0.snr) / 2 AS snr, 1.0::DOUBLE + (r.receiver_id % 3) AS quality
+        FROM emissions e JOIN receivers r0 ON r0.array_id = e.array_id AND r0.slot = 0
+        JOIN receivers r ON r.array_id = e.array_id AND r.slot > 0""",
+    "zones": """
+        SELECT s_suppkey AS zone_id, 'zone-' || s_suppkey AS zone_name,
+               CASE s_suppkey % 3 WHEN 0 THEN 'restricted' WHEN 1 THEN 'no_fly' ELSE 'warning' END AS zone_type,
+               s_suppkey % 2 = 0 AS is_circle, clat, clon, (300 + (s_suppkey * 13) % 700)::DOUBLE AS radius_m,
+               [{'lat': clat + 0.004, 'lon': clon}, {'lat': clat + 0.001, 'lon': clon + 0.006}, {'lat': clat - 0.003, 'lon': clon + 0.002},
+                {'lat': clat, 'lon': clon - 0.001}, {'lat': clat - 0.002, 'lon': clon - 0.005}] AS ring,
+               CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE ((s_suppkey % 5) * 20)::DOUBLE END AS altitude_min,
+               CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE (200 + s_suppkey % 300)::DOUBLE END AS altitude_max,
+               s_suppkey % 5 <> 0 AS active
+        FROM (SELECT *, 37.70 + ((s_suppkey * 7919) % 2000) / 10000.0::DOUBLE AS clat,
+                     -122.50 + ((s_suppkey * 104729) % 2000) / 10000.0::DOUBLE AS clon FROM supplier)""",
     "predictions": """
         SELECT vec_id AS id, label AS truth,
                CAST((label + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END) % 10 AS INTEGER) AS predicted,
@@ -215,17 +238,64 @@ def recording_sessions(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_nationkey").alias("nation_id"))
 
 
+def _by_slot(slot, values):
+    out = F.lit(float(values[-1]))
+    for k in range(len(values) - 2, -1, -1):
+        out = F.when(slot == k, float(values[k])).otherwise(out)
+    return out
+
+
 def receivers(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("s_suppkey")
-    slot = s % 4
+    slot = s % 6
     return table(spark, d, "supplier").select(
-        F.floor(s / 4).alias("array_id"), s.alias("receiver_id"), slot.cast("int").alias("slot"),
-        (F.when(slot == 0, 0.0).when(slot == 1, 1000.0).when(slot == 2, 0.0).otherwise(1100.0) + (s * 37) % 50).alias("x"),
-        (F.when(slot == 0, 0.0).when(slot == 1, 0.0).when(slot == 2, 1000.0).otherwise(900.0) + (s * 53) % 40).alias("y"),
-        (slot * 40.0 + (s * 17) % 30).alias("z"), (F.col("s_acctbal") / 500.0).alias("snr"),
+        F.floor(s / 6).alias("array_id"), s.alias("receiver_id"), slot.cast("int").alias("slot"),
+        (_by_slot(slot, [0, 1000, 500, 1100, -80, 420]) + (s * 37) % 50).alias("x"),
+        (_by_slot(slot, [0, 60, 1000, 900, 700, -150]) + (s * 53) % 40).alias("y"),
+        (_by_slot(slot, [0, 120, 30, 200, 90, 260]) + (s * 17) % 30).alias("z"),
+        (F.col("s_acctbal") / 500.0).alias("snr"),
     )
 
 
+def emissions(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        c.alias("event_id"), (c % 16).alias("array_id"), ((c * 37) % 900 + 50).cast("double").alias("x"),
+        ((c * 53) % 900 + 50).cast("double").alias("y"), ((c * 17) % 100 + 10).cast("double").alias("z"))
+
+
+def tdoa_measurements(spark: SparkSession, d: str) -> DataFrame:
+    e = emissions(spark, d)
+    r = receivers(spark, d)
+    ref = r.filter("slot = 0").select("array_id", F.col("receiver_id").alias("ref_id"), *[F.col(c).alias(f"_0{c}") for c in ("x", "y", "z", "snr")])
+    other = r.filter("slot > 0").select("array_id", F.col("receiver_id").alias("other_id"), *[F.col(c).alias(f"_1{c}") for c in ("x", "y", "z", "snr")])
+
+    def dist(tag):
+        return F.sqrt(sum((F.col(c) - F.col(f"_{tag}{c}")) * (F.col(c) - F.col(f"_{tag}{c}")) for c in ("x", "y", "z")))
+
+    return e.join(ref, "array_id").join(other, "array_id").select(
+        "event_id", "array_id", "ref_id", "other_id", ((dist("1") - dist("0")) / 299792458.0).alias("tdoa_s"),
+        ((F.col("_1snr") + F.col("_0snr")) / 2).alias("snr"), (1.0 + F.col("other_id") % 3).alias("quality"))
+
+
+def zones(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    base = table(spark, d, "supplier").select(
+        s, (37.70 + ((s * 7919) % 2000) / 10000.0).alias("clat"), (-122.50 + ((s * 104729) % 2000) / 10000.0).alias("clon"))
+
+    def at(dlat, dlon):
+        return F.struct((F.col("clat") + dlat).alias("lat"), (F.col("clon") + dlon).alias("lon"))
+
+    return base.select(
+        s.alias("zone_id"), F.concat(F.lit("zone-"), s.cast("string")).alias("zone_name"),
+        F.when(s % 3 == 0, "restricted").when(s % 3 == 1, "no_fly").otherwise("warning").alias("zone_type"),
+        (s % 2 == 0).alias("is_circle"), "clat", "clon", (300 + (s * 13) % 700).cast("double").alias("radius_m"),
+        F.array(at(0.004, 0.0), at(0.001, 0.006), at(-0.003, 0.002), at(0.0, -0.001), at(-0.002, -0.005)).alias("ring"),
+        F.when(s % 4 != 0, ((s % 5) * 20).cast("double")).alias("altitude_min"),
+        F.when(s % 6 != 0, (200 + s % 300).cast("double")).alias("altitude_max"),
+        (s % 5 != 0).alias("active"))
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").alias("truth"),
