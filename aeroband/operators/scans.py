@@ -20,38 +20,74 @@ def _field(df: DataFrame, name: str) -> T.StructField:
     return next(f for f in df.schema.fields if f.name == name)
 
 
-def _scan(df: DataFrame, keys: list[str], segment: Column, summary_fields, summarise, entry_fields, chain,
+def _per_group(names: list[str], fn):
+    """Iterator function calling ``fn`` on each run of equal keys of sorted batches.
+
+    A group may span Arrow batches; its pieces are joined when it closes.
+    """
+    def run(batches):
+        pieces, current = [], None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys = pdf[names]
+            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            bounds = [*starts[1:], len(pdf)]
+            done = []
+            for lo, hi in zip(starts, bounds):
+                key = tuple(keys.iloc[lo])
+                if key != current and pieces:
+                    done.append(fn(pd.concat(pieces, ignore_index=True) if len(pieces) > 1 else pieces[0].reset_index(drop=True)))
+                    pieces = []
+                current = key
+                pieces.append(pdf.iloc[lo:hi])
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if pieces:
+            yield fn(pd.concat(pieces, ignore_index=True))
+
+    return run
+
+
+def _scan(df: DataFrame, keys: list[str], order: list[str], segment: Column, summary_fields, summarise, entry_fields, chain,
           output_fields, emit) -> DataFrame:
     key_fields = [_field(df, k) for k in keys]
     seg_field = T.StructField(SEG, T.LongType())
-    work = df.withColumn(SEG, segment)
+    group = [*keys, SEG]
+    work = df.withColumn(SEG, segment.cast("long"))
 
     def one_summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {k: [pdf[k].iloc[0]] for k in (*keys, SEG)}
+        row = {k: [pdf[k].iloc[0]] for k in group}
         row.update({k: [v] for k, v in summarise(pdf).items()})
         return pd.DataFrame(row)
 
-    summaries = work.groupBy(*keys, SEG).applyInPandas(
-        one_summary, T.StructType([*key_fields, seg_field, *summary_fields]))
+    summaries = work.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(
+        _per_group(group, one_summary), T.StructType([*key_fields, seg_field, *summary_fields]))
 
     def one_chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SEG)
-        out = pdf[[*keys, SEG]].reset_index(drop=True)
+        out = pdf[group].copy()
         entries = chain(pdf)
         for f in entry_fields:
             out[f.name] = [e[f.name] for e in entries]
         return out
 
-    entries = summaries.groupBy(*keys).applyInPandas(one_chain, T.StructType([*key_fields, seg_field, *entry_fields]))
+    entries = summaries.repartition(*keys).sortWithinPartitions(*group).mapInPandas(
+        _per_group(keys, one_chain), T.StructType([*key_fields, seg_field, *entry_fields]))
+
+    # Rows and entry states meet in one exchange: the state sorts first in its group.
     names = [f.name for f in entry_fields]
-    joined = work.join(entries, [*keys, SEG])
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in entry_fields]
+    both = work.select("*", *nothing, F.lit(1).alias("_data")).unionByName(
+        entries.withColumn("_data", F.lit(0)), allowMissingColumns=True)
+    fields = [*df.schema.fields, *output_fields]
+    keep = [f.name for f in fields]
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        return emit(pdf, {n: pdf[n].iloc[0] for n in names})
+        state = {n: pdf[n].iloc[0] for n in names}
+        return emit(pdf.iloc[1:].reset_index(drop=True), state)[keep]
 
-    fields = [*df.schema.fields, *output_fields]
-    keep = [f.name for f in fields]
-    return joined.groupBy(*keys, SEG).applyInPandas(lambda pdf: replay(pdf)[keep], T.StructType(fields))
+    return both.repartition(*group).sortWithinPartitions(*group, "_data", *order).mapInPandas(
+        _per_group(group, replay), T.StructType(fields))
 
 
 def _double(name):
@@ -71,7 +107,7 @@ def exponential_mean(df: DataFrame, keys, ts: str, tie: str, value: str, weight:
         return out
 
     def summarise(pdf):
-        x = pdf.sort_values([ts, tie])[value].to_numpy(float)
+        x = pdf[value].to_numpy(float)
         return {"n": len(x), "first": x[0], "local": fold(x, 0.0)[-1]}
 
     def chain(pdf):
@@ -83,11 +119,10 @@ def exponential_mean(df: DataFrame, keys, ts: str, tie: str, value: str, weight:
         return out
 
     def emit(pdf, entry):
-        pdf = pdf.sort_values([ts, tie])
         pdf[name] = fold(pdf[value].to_numpy(float), entry["_entry"])
         return pdf
 
-    return _scan(df, keys, time_slice(ts, slice_seconds), [T.StructField("n", T.LongType()), _double("first"), _double("local")],
+    return _scan(df, keys, [ts, tie], time_slice(ts, slice_seconds), [T.StructField("n", T.LongType()), _double("first"), _double("local")],
                  summarise, [_double("_entry")], chain, [_double(name)], emit)
 
 
@@ -101,7 +136,6 @@ def cooldown(df: DataFrame, keys, ts: str, tie: str, seconds: str, slice_seconds
     work = df.withColumn("_us", epoch_us(ts))
 
     def ordered_times(pdf):
-        pdf = pdf.sort_values(["_us", tie])
         return pdf, pdf["_us"].to_numpy(np.int64), int(round(float(pdf[seconds].iloc[0]) * 1_000_000))
 
     def summarise(pdf):
@@ -134,7 +168,7 @@ def cooldown(df: DataFrame, keys, ts: str, tie: str, seconds: str, slice_seconds
         return pdf[fired]
 
     long_list = T.ArrayType(T.LongType())
-    out = _scan(work, keys, F.floor(F.col("_us") / F.lit(slice_seconds * 1_000_000)).cast("long"),
+    out = _scan(work, keys, ["_us", tie], F.floor(F.col("_us") / F.lit(slice_seconds * 1_000_000)).cast("long"),
                 [T.StructField("times", long_list), T.StructField("exits", long_list), T.StructField("last", T.LongType())],
                 summarise, [T.StructField("_until", T.LongType())], chain, [], emit)
     return out.drop("_us")
@@ -187,7 +221,6 @@ def kalman_smooth(df: DataFrame, keys, ts: str, tie: str, axes: list[str], dt: f
         return np.array([px + g[0] * e, v + g[1] * e])
 
     def summarise(pdf):
-        pdf = pdf.sort_values([ts, tie])
         k0 = int(pdf["_k0"].iloc[0])
         zs = pdf[axes].to_numpy(float)
         a, b, begin = np.eye(2), np.zeros((2, len(axes))), 0
@@ -207,7 +240,6 @@ def kalman_smooth(df: DataFrame, keys, ts: str, tie: str, axes: list[str], dt: f
         return out
 
     def emit(pdf, entry):
-        pdf = pdf.sort_values([ts, tie])
         k0, zs = int(pdf["_k0"].iloc[0]), pdf[axes].to_numpy(float)
         state = np.asarray(entry["_state"], float).reshape(2, -1)
         out = np.empty_like(zs)
@@ -219,6 +251,6 @@ def kalman_smooth(df: DataFrame, keys, ts: str, tie: str, axes: list[str], dt: f
         return pdf
 
     doubles = T.ArrayType(T.DoubleType())
-    out = _scan(indexed, keys, seg, [T.StructField("a", doubles), T.StructField("b", doubles)], summarise,
+    out = _scan(indexed, keys, [ts, tie], seg, [T.StructField("a", doubles), T.StructField("b", doubles)], summarise,
                 [T.StructField("_state", doubles)], chain, [_double(f"{a}_smooth") for a in axes], emit)
     return out.drop("_k0")

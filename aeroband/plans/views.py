@@ -67,6 +67,21 @@ SQL: dict[str, str] = {
         SELECT vec_id AS frame_id, label, CAST(pos - 1 AS INTEGER) AS n,
                embedding[2 * pos - 1]::DOUBLE AS i, embedding[2 * pos]::DOUBLE AS q
         FROM (SELECT vec_id, label, embedding, unnest(generate_series(1, len(embedding) // 2)) AS pos FROM embeddings)""",
+    "dft": """
+        SELECT s.frame_id, CAST((k + 16) % 32 AS INTEGER) AS bin,
+               sum(w * (i * cos(2 * pi() * k * n / 32) + q * sin(2 * pi() * k * n / 32))) AS re,
+               sum(w * (q * cos(2 * pi() * k * n / 32) - i * sin(2 * pi() * k * n / 32))) AS im
+        FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * n / 31) AS w FROM iq_samples) s, range(32) r(k) GROUP BY 1, 2""",
+    "dft_rect": """
+        SELECT frame_id, CAST((k + 16) % 32 AS INTEGER) AS bin,
+               sum(i * cos(2 * pi() * k * n / 32) + q * sin(2 * pi() * k * n / 32)) AS re,
+               sum(q * cos(2 * pi() * k * n / 32) - i * sin(2 * pi() * k * n / 32)) AS im
+        FROM iq_samples, range(32) r(k) GROUP BY 1, 2""",
+    "iq_power": """
+        SELECT *, i * i + q * q AS p, sqrt(i * i + q * q) AS amp, atan2(q, i) AS ph FROM iq_samples""",
+    "iq_steps": """
+        SELECT frame_id, n, ph - lph AS raw, ph - lph - 2 * pi() * floor((ph - lph + pi()) / (2 * pi())) AS dp
+        FROM (SELECT *, lag(ph) OVER (PARTITION BY frame_id ORDER BY n) AS lph FROM iq_power) WHERE lph IS NOT NULL""",
     "log_lines": """
         SELECT event_id AS line_no, ts AS src_ts,
                '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' ||
