@@ -139,9 +139,13 @@ SQL: dict[str, str] = {
 
 
 # ------------------------------------------------------------------------- Spark side
-def detections(spark: SparkSession, d: str) -> DataFrame:
+def _rows(spark, d, name, source):
+    return table(spark, d, name) if source is None else source
+
+
+def detections(spark: SparkSession, d: str, source: DataFrame | None = None) -> DataFrame:
     e, conf = F.col("event_id"), F.col("value") / (F.col("value") + 50)
-    return table(spark, d, "events").select(
+    return _rows(spark, d, "events", source).select(
         e.alias("id"), "ts", F.col("user_id").alias("emitter"), F.col("event_type").alias("drone_type"), "value",
         conf.alias("confidence"),
         F.when(conf > 0.8, "HIGH").when(conf > 0.6, "MEDIUM").otherwise("LOW").alias("threat_level"),
@@ -160,10 +164,10 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def alerts(spark: SparkSession, d: str) -> DataFrame:
+def alerts(spark: SparkSession, d: str, source: DataFrame | None = None) -> DataFrame:
     e, conf = F.col("event_id"), F.col("value") / (F.col("value") + 50)
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    return table(spark, d, "events").filter(F.col("event_type") == "error").select(
+    return _rows(spark, d, "events", source).filter(F.col("event_type") == "error").select(
         e.alias("id"), e.alias("detection_id"), "ts", F.col("user_id").alias("emitter"),
         F.when(conf >= 0.95, "CRITICAL").when(conf >= 0.85, "HIGH").when(conf >= 0.70, "MEDIUM")
          .when(conf >= 0.50, "LOW").alias("severity"),
@@ -176,10 +180,10 @@ def alerts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def rid_messages(spark: SparkSession, d: str) -> DataFrame:
+def rid_messages(spark: SparkSession, d: str, source: DataFrame | None = None) -> DataFrame:
     e = F.col("event_id")
     kind = e % 6
-    return table(spark, d, "events").filter(F.col("event_type") == "view").select(
+    return _rows(spark, d, "events", source).filter(F.col("event_type") == "view").select(
         e.alias("id"), F.concat(F.lit("UAS-"), F.col("user_id").cast("string")).alias("uas_id"),
         F.col("user_id").alias("emitter"),
         (F.col("ts") + F.make_dt_interval(secs=((e % 900) / 1000).cast("decimal(18,6)"))).alias("ts"),
@@ -202,9 +206,9 @@ def spectra(spark: SparkSession, d: str) -> DataFrame:
              (F.col("_p").cast("double") * 100).alias("psd_db"))
 
 
-def psd_frames(spark: SparkSession, d: str) -> DataFrame:
+def psd_frames(spark: SparkSession, d: str, source: DataFrame | None = None) -> DataFrame:
     """One row per frame: spectrum as an array plus its frequency grid."""
-    return table(spark, d, "embeddings").select(
+    return _rows(spark, d, "embeddings", source).select(
         F.col("vec_id").alias("frame_id"), "label", F.lit(2.4e9).alias("f0_hz"), F.lit(1e5).alias("bin_hz"),
         F.transform("embedding", lambda x: x.cast("double") * 100).alias("psd"))
 
@@ -224,10 +228,10 @@ def iq_samples(spark: SparkSession, d: str) -> DataFrame:
     ).select("frame_id", "label", "n", F.col("_s.i").alias("i"), F.col("_s.q").alias("q"))
 
 
-def log_lines(spark: SparkSession, d: str) -> DataFrame:
+def log_lines(spark: SparkSession, d: str, source: DataFrame | None = None) -> DataFrame:
     u, t = F.col("user_id"), F.col("event_type")
     level = F.when(t == "error", "ERROR").when(t == "purchase", "WARNING").otherwise("INFO")
-    return table(spark, d, "events").select(
+    return _rows(spark, d, "events", source).select(
         F.col("event_id").alias("line_no"), F.col("ts").alias("src_ts"),
         F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] ["), level, F.lit("] [mod"),
                  (u % 7).cast("string"), F.lit("] latency="), (F.col("event_id") % 977).cast("string"),
