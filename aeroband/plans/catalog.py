@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational", "analytics", "sequences", "places", "messages", "alerting", "upkeep", "spectrum", "learning", "storage", "streams"]
+MODULES = ["relational", "analytics", "sequences", "places", "messages", "alerting", "upkeep", "spectrum", "learning", "storage", "streams", "extending"]
 
 
 def load() -> None:
