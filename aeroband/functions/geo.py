@@ -95,16 +95,9 @@ def enu_to_ecef(east, north, up, lat0, lon0, alt0) -> Column:
     )
 
 
-def segment_distance_m(lat, lon, lat1, lon1, lat2, lon2) -> Column:
-    """Distance to an edge in the local equirectangular plane of the point."""
-    scale = math.pi / 180 * EARTH_KM * 1000
-    k = F.cos(F.radians(_c(lat)))
-    ax, ay = (_c(lon1) - _c(lon)) * k * scale, (_c(lat1) - _c(lat)) * scale
-    bx, by = (_c(lon2) - _c(lon)) * k * scale, (_c(lat2) - _c(lat)) * scale
-    dx, dy = bx - ax, by - ay
-    length2 = dx * dx + dy * dy
-    t = F.when(length2 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length2)))
-    return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
+def local_metres(lat, lon, lat0, east_scale, north_scale, lon0) -> Column:
+    """Offset of a point in the equirectangular plane around (lat0, lon0)."""
+    return F.struct(((lon - lon0) * east_scale).alias("x"), ((lat - lat0) * north_scale).alias("y"))
 
 
 def rssi_distance_m(rssi, reference: float = -45.0, exponent: float = 2.0) -> Column:

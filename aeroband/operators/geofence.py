@@ -42,10 +42,25 @@ def inside_ring(lat, lon, ring) -> Column:
 
 
 def ring_distance_m(lat, lon, ring) -> Column:
+    """Distance to the nearest edge, in the local plane of the point; every term is bound once."""
     lat, lon = X._c(lat), X._c(lon)
-    return X.let(ring, lambda v: F.array_min(F.transform(X.indices(v), lambda k: geo.segment_distance_m(
-        lat, lon, X.at(v, k)["lat"], X.at(v, k)["lon"],
-        X.at(v, F.pmod(k + 1, F.size(v)))["lat"], X.at(v, F.pmod(k + 1, F.size(v)))["lon"]))))
+
+    def edge(a, b):
+        facts = F.struct(a["x"].alias("ax"), a["y"].alias("ay"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
+
+        def along(f):
+            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(f["ax"] * f["dx"] + f["ay"] * f["dy"]) / F.nullif(f["dx"] * f["dx"] + f["dy"] * f["dy"], F.lit(0.0))))
+            return X.let(F.coalesce(t, F.lit(0.0)), lambda s: F.sqrt(F.pow(f["ax"] + s * f["dx"], 2) + F.pow(f["ay"] + s * f["dy"], 2)))
+
+        return X.let(facts, along)
+
+    def nearest(p):
+        n = F.size(p)
+        return F.array_min(F.transform(X.indices(p), lambda k: edge(X.at(p, k), X.at(p, F.pmod(k + 1, n)))))
+
+    east = F.cos(F.radians(lat)) * METRES_PER_DEG
+    planar = X.let(east, lambda e: F.transform(ring, lambda p: geo.local_metres(p["lat"], p["lon"], lat, e, F.lit(METRES_PER_DEG), lon)))
+    return X.let(planar, nearest)
 
 
 def inside_zone(lat, lon) -> Column:
@@ -67,28 +82,32 @@ def zone_distance_m(lat, lon) -> Column:
 
 
 def zone_cells(zones: DataFrame, buffer_m: float = 0.0) -> DataFrame:
-    """Zones listed under the cells of their bounding box grown by the buffer."""
+    """Zones with their bounding box grown by the buffer, listed under the cells of the box."""
     lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
     reach = C("radius_m") / METRES_PER_DEG
-    south = F.when(C("is_circle"), C("clat") - reach).otherwise(F.array_min(lats))
-    north = F.when(C("is_circle"), C("clat") + reach).otherwise(F.array_max(lats))
+    pad = buffer_m / METRES_PER_DEG * 1.01 + 1e-6
+    south = F.when(C("is_circle"), C("clat") - reach).otherwise(F.array_min(lats)) - pad
+    north = F.when(C("is_circle"), C("clat") + reach).otherwise(F.array_max(lats)) + pad
     boxed = zones.withColumn("_s", south).withColumn("_n", north)
     shrink = F.cos(F.radians(F.greatest(F.abs(C("_s")), F.abs(C("_n"))) + 0.01))
-    west = F.when(C("is_circle"), C("clon") - reach / shrink).otherwise(F.array_min(lons))
-    east = F.when(C("is_circle"), C("clon") + reach / shrink).otherwise(F.array_max(lons))
-    pad = buffer_m / METRES_PER_DEG * 1.01 + 1e-6
+    west = F.when(C("is_circle"), C("clon") - reach / shrink).otherwise(F.array_min(lons)) - pad / shrink
+    east = F.when(C("is_circle"), C("clon") + reach / shrink).otherwise(F.array_max(lons)) + pad / shrink
+    boxed = boxed.withColumn("_w", west).withColumn("_e", east)
 
     def span(low, high):
-        return F.sequence(F.floor(low / CELL_DEG).cast("long"), F.floor(high / CELL_DEG).cast("long"))
+        return F.sequence(F.floor(C(low) / CELL_DEG).cast("long"), F.floor(C(high) / CELL_DEG).cast("long"))
 
-    return (boxed.withColumn("_cy", F.explode(span(C("_s") - pad, C("_n") + pad)))
-                 .withColumn("_cx", F.explode(span(west - pad / shrink, east + pad / shrink))).drop("_s", "_n"))
+    return boxed.withColumn("_cy", F.explode(span("_s", "_n"))).withColumn("_cx", F.explode(span("_w", "_e")))
 
 
 def with_zone_candidates(positions: DataFrame, zones: DataFrame, buffer_m: float = 0.0) -> DataFrame:
-    placed = (positions.withColumn("_cy", F.floor(C("latitude") / CELL_DEG).cast("long"))
-                       .withColumn("_cx", F.floor(C("longitude") / CELL_DEG).cast("long")))
-    return placed.join(small_side(zone_cells(zones, buffer_m)), ["_cy", "_cx"]).drop("_cy", "_cx")
+    """Position-zone pairs whose position lies in the zone's (grown) box; the box test is part of the join."""
+    p = (positions.withColumn("_cy", F.floor(C("latitude") / CELL_DEG).cast("long"))
+                  .withColumn("_cx", F.floor(C("longitude") / CELL_DEG).cast("long"))).alias("p")
+    z = small_side(zone_cells(zones, buffer_m)).alias("z")
+    in_box = C("p.latitude").between(C("z._s"), C("z._n")) & C("p.longitude").between(C("z._w"), C("z._e"))
+    joined = p.join(z, (C("p._cy") == C("z._cy")) & (C("p._cx") == C("z._cx")) & in_box)
+    return joined.select(*[C(f"p.{c}") for c in positions.columns], *[C(f"z.{c}") for c in zones.columns])
 
 
 def containment(positions: DataFrame, zones: DataFrame) -> DataFrame:
@@ -99,9 +118,15 @@ def containment(positions: DataFrame, zones: DataFrame) -> DataFrame:
 
 def proximity(positions: DataFrame, zones: DataFrame, buffer_m: float = 50.0, alert_m: float = 25.0) -> DataFrame:
     """Positions within the buffer of a zone: critical inside, alert near, warning in the buffer."""
-    near = with_zone_candidates(positions, zones, buffer_m).withColumn("distance_m", zone_distance_m("latitude", "longitude"))
-    severity = (F.when(C("distance_m") == 0, "critical").when(C("distance_m") <= alert_m, "alert").otherwise("warning"))
-    return near.filter(C("distance_m") <= buffer_m).withColumn("severity", severity)
+    near = with_zone_candidates(positions, zones, buffer_m)
+
+    def verdict(d):
+        severity = F.when(d == 0, "critical").when(d <= alert_m, "alert").otherwise("warning")
+        row = F.struct(d.alias("distance_m"), severity.alias("severity"))
+        return F.when(d <= buffer_m, F.array(row)).otherwise(F.array().cast("array<struct<distance_m:double,severity:string>>"))
+
+    # A generator evaluates the distance once; a filter on it would evaluate it twice.
+    return near.select("*", F.inline(X.let(zone_distance_m("latitude", "longitude"), verdict)))
 
 
 def violations(messages: DataFrame, zones: DataFrame, key: str = "uas_id", slice_seconds: int = 3600) -> DataFrame:

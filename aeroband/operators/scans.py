@@ -20,74 +20,92 @@ def _field(df: DataFrame, name: str) -> T.StructField:
     return next(f for f in df.schema.fields if f.name == name)
 
 
-def _per_group(names: list[str], fn):
-    """Iterator function calling ``fn`` on each run of equal keys of sorted batches.
+def _whole_groups(batches, names: list[str]):
+    """Batches cut so that none splits a group, with the group bounds of each.
 
-    A group may span Arrow batches; its pieces are joined when it closes.
+    Input is sorted by the group columns; the open last group waits for the next batch.
     """
-    def run(batches):
-        pieces, current = [], None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[names]
-            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-            bounds = [*starts[1:], len(pdf)]
-            done = []
-            for lo, hi in zip(starts, bounds):
-                key = tuple(keys.iloc[lo])
-                if key != current and pieces:
-                    done.append(fn(pd.concat(pieces, ignore_index=True) if len(pieces) > 1 else pieces[0].reset_index(drop=True)))
-                    pieces = []
-                current = key
-                pieces.append(pdf.iloc[lo:hi])
-            if done:
-                yield pd.concat(done, ignore_index=True)
-        if pieces:
-            yield fn(pd.concat(pieces, ignore_index=True))
-
-    return run
-
-
-def _scan(df: DataFrame, keys: list[str], order: list[str], segment: Column, summary_fields, summarise, entry_fields, chain,
+    pieces: list[pd.DataFrame] = []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        keys = pdf[names]
+        starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        continues = bool(pieces) and tuple(pieces[0][names].iloc[0]) == tuple(keys.iloc[0])
+        if continues and len(starts) == 1:
+            pieces.append(pdf)
+            continue
+        cut = starts[-1]
+        if cut or pieces:
+            ready = pd.concat([*pieces, pdf.iloc[:cut]], ignore_index=True)
+            if len(ready):
+                k = ready[names]
+                yield ready, np.flatnonzero((k != k.shift()).any(axis=1).to_numpy())
+        pieces = [pdf.iloc[cut:]]
+    if pieces:
+        yield pd.concat(pieces, ignore_index=True), np.array([0])
+
+
+def _scan(df: DataFrame, keys: list[str], order: list[str], segment: Column, needs: list[str], summary_fields, summarise, entry_fields, chain,
           output_fields, emit) -> DataFrame:
+    """``summarise(columns)`` → summary values; ``chain(summary columns)`` → entry states per slice;
+    ``emit(columns, state)`` → (row mask or None, new columns).  Columns are NumPy arrays of ``needs``."""
     key_fields = [_field(df, k) for k in keys]
     seg_field = T.StructField(SEG, T.LongType())
     group = [*keys, SEG]
     work = df.withColumn(SEG, segment.cast("long"))
-
-    def one_summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {k: [pdf[k].iloc[0]] for k in group}
-        row.update({k: [v] for k, v in summarise(pdf).items()})
-        return pd.DataFrame(row)
-
-    summaries = work.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(
-        _per_group(group, one_summary), T.StructType([*key_fields, seg_field, *summary_fields]))
-
-    def one_chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[group].copy()
-        entries = chain(pdf)
-        for f in entry_fields:
-            out[f.name] = [e[f.name] for e in entries]
-        return out
+    summary_names, entry_names, new_names = ([f.name for f in fs] for fs in (summary_fields, entry_fields, output_fields))
+
+    def summaries_of(batches):
+        for pdf, starts in _whole_groups(batches, group):
+            cols = {c: pdf[c].to_numpy() for c in {*needs, SEG}}
+            rows = [summarise({c: a[lo:hi] for c, a in cols.items()}) for lo, hi in zip(starts, [*starts[1:], len(pdf)])]
+            out = pdf[group].iloc[starts].reset_index(drop=True)
+            for k, name in enumerate(summary_names):
+                out[name] = [r[k] for r in rows]
+            yield out
+
+    summaries = work.select(*dict.fromkeys([*group, *order, *needs])).repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(
+        summaries_of, T.StructType([*key_fields, seg_field, *summary_fields]))
+
+    def entries_of(batches):
+        for pdf, starts in _whole_groups(batches, keys):
+            cols = {c: pdf[c].to_numpy() for c in summary_names}
+            states = []
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                states.extend(chain({c: a[lo:hi] for c, a in cols.items()}))
+            out = pdf[group].copy()
+            for k, name in enumerate(entry_names):
+                out[name] = [s[k] for s in states]
+            yield out
 
     entries = summaries.repartition(*keys).sortWithinPartitions(*group).mapInPandas(
-        _per_group(keys, one_chain), T.StructType([*key_fields, seg_field, *entry_fields]))
+        entries_of, T.StructType([*key_fields, seg_field, *entry_fields]))
 
     # Rows and entry states meet in one exchange: the state sorts first in its group.
-    names = [f.name for f in entry_fields]
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in entry_fields]
     both = work.select("*", *nothing, F.lit(1).alias("_data")).unionByName(
         entries.withColumn("_data", F.lit(0)), allowMissingColumns=True)
     fields = [*df.schema.fields, *output_fields]
     keep = [f.name for f in fields]
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = {n: pdf[n].iloc[0] for n in names}
-        return emit(pdf.iloc[1:].reset_index(drop=True), state)[keep]
-
-    return both.repartition(*group).sortWithinPartitions(*group, "_data", *order).mapInPandas(
-        _per_group(group, replay), T.StructType(fields))
+    def replayed(batches):
+        for pdf, starts in _whole_groups(batches, group):
+            cols = {c: pdf[c].to_numpy() for c in {*needs, SEG}}
+            state_cols = [pdf[n].to_numpy() for n in entry_names]
+            picked, new = [], {n: [] for n in new_names}
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                mask, values = emit({c: a[lo + 1:hi] for c, a in cols.items()}, [s[lo] for s in state_cols])
+                at = np.arange(lo + 1, hi)
+                picked.append(at if mask is None else at[mask])
+                for n in new_names:
+                    new[n].append(values[n])
+            out = pdf.iloc[np.concatenate(picked)].reset_index(drop=True)
+            for n in new_names:
+                out[n] = np.concatenate(new[n])
+            yield out[keep]
+
+    return both.repartition(*group).sortWithinPartitions(*group, "_data", *order).mapInPandas(replayed, T.StructType(fields))
 
 
 def _double(name):
@@ -101,28 +119,27 @@ def exponential_mean(df: DataFrame, keys, ts: str, tie: str, value: str, weight:
 
     def fold(values, state):
         out = np.empty(len(values))
-        for i, x in enumerate(values):
+        for i, x in enumerate(values.tolist()):
             state = keep * state + weight * x
             out[i] = state
         return out
 
-    def summarise(pdf):
-        x = pdf[value].to_numpy(float)
-        return {"n": len(x), "first": x[0], "local": fold(x, 0.0)[-1]}
+    def summarise(cols):
+        x = cols[value]
+        return len(x), float(x[0]), float(fold(x, 0.0)[-1])
 
-    def chain(pdf):
+    def chain(cols):
         state, out = None, []
-        for n, first, local in zip(pdf["n"], pdf["first"], pdf["local"]):
+        for n, first, local in zip(cols["n"], cols["first"], cols["local"]):
             state = first if state is None else state
-            out.append({"_entry": state})
-            state = keep**n * state + local
+            out.append((float(state),))
+            state = keep**int(n) * state + local
         return out
 
-    def emit(pdf, entry):
-        pdf[name] = fold(pdf[value].to_numpy(float), entry["_entry"])
-        return pdf
+    def emit(cols, entry):
+        return None, {name: fold(cols[value], entry[0])}
 
-    return _scan(df, keys, [ts, tie], time_slice(ts, slice_seconds), [T.StructField("n", T.LongType()), _double("first"), _double("local")],
+    return _scan(df, keys, [ts, tie], time_slice(ts, slice_seconds), [value], [T.StructField("n", T.LongType()), _double("first"), _double("local")],
                  summarise, [_double("_entry")], chain, [_double(name)], emit)
 
 
@@ -134,42 +151,43 @@ def cooldown(df: DataFrame, keys, ts: str, tie: str, seconds: str, slice_seconds
     """
     keys = list(keys)
     work = df.withColumn("_us", epoch_us(ts))
+    width = slice_seconds * 1_000_000
 
-    def ordered_times(pdf):
-        return pdf, pdf["_us"].to_numpy(np.int64), int(round(float(pdf[seconds].iloc[0]) * 1_000_000))
+    def micros(cols):
+        return cols["_us"].astype(np.int64), int(round(float(cols[seconds][0]) * 1_000_000))
 
-    def summarise(pdf):
-        _, t, c = ordered_times(pdf)
+    def summarise(cols):
+        t, c = micros(cols)
         nxt = np.searchsorted(t, t + max(c, 1), side="left")
         exits = t + c
         for i in range(len(t) - 1, -1, -1):
             if nxt[i] < len(t):
                 exits[i] = exits[nxt[i]]
-        start = int(pdf[SEG].iloc[0]) * slice_seconds * 1_000_000
+        start = int(cols[SEG][0]) * width
         cut = min(int(np.searchsorted(t, start + c, side="left")) + 1, len(t))
-        return {"times": t[:cut].tolist(), "exits": exits[:cut].tolist(), "last": int(t[-1])}
+        return t[:cut].tolist(), exits[:cut].tolist()
 
-    def chain(pdf):
-        state, out = np.iinfo(np.int64).min, []
-        for times, exits in zip(pdf["times"], pdf["exits"]):
-            out.append({"_until": int(state)})
+    def chain(cols):
+        state, out = -(2**62), []
+        for times, exits in zip(cols["times"], cols["exits"]):
+            out.append((int(state),))
             at = int(np.searchsorted(np.asarray(times, dtype=np.int64), state, side="left"))
             if at < len(times):
                 state = int(exits[at])
         return out
 
-    def emit(pdf, entry):
-        pdf, t, c = ordered_times(pdf)
-        fired, until = np.zeros(len(t), bool), entry["_until"]
-        i = int(np.searchsorted(t, until, side="left"))
+    def emit(cols, entry):
+        t, c = micros(cols)
+        fired = np.zeros(len(t), bool)
+        i = int(np.searchsorted(t, int(entry[0]), side="left"))
         while i < len(t):
             fired[i] = True
             i = int(np.searchsorted(t, t[i] + max(c, 1), side="left"))
-        return pdf[fired]
+        return fired, {}
 
     long_list = T.ArrayType(T.LongType())
-    out = _scan(work, keys, ["_us", tie], F.floor(F.col("_us") / F.lit(slice_seconds * 1_000_000)).cast("long"),
-                [T.StructField("times", long_list), T.StructField("exits", long_list), T.StructField("last", T.LongType())],
+    out = _scan(work, keys, ["_us", tie], F.floor(F.col("_us") / F.lit(width)), ["_us", seconds],
+                [T.StructField("times", long_list), T.StructField("exits", long_list)],
                 summarise, [T.StructField("_until", T.LongType())], chain, [], emit)
     return out.drop("_us")
 
@@ -220,9 +238,9 @@ def kalman_smooth(df: DataFrame, keys, ts: str, tie: str, axes: list[str], dt: f
         e = z - px
         return np.array([px + g[0] * e, v + g[1] * e])
 
-    def summarise(pdf):
-        k0 = int(pdf["_k0"].iloc[0])
-        zs = pdf[axes].to_numpy(float)
+    def summarise(cols):
+        k0 = int(cols["_k0"][0])
+        zs = np.column_stack([cols[x].astype(float) for x in axes])
         a, b, begin = np.eye(2), np.zeros((2, len(axes))), 0
         if k0 == 0:
             a, b, begin = np.zeros((2, 2)), np.vstack([zs[0], np.zeros(len(axes))]), 1
@@ -230,27 +248,26 @@ def kalman_smooth(df: DataFrame, keys, ts: str, tie: str, axes: list[str], dt: f
             g = gain(k0 + i - 1)
             m = np.array([[1 - g[0], (1 - g[0]) * dt], [-g[1], 1 - g[1] * dt]])
             a, b = m @ a, m @ b + np.outer(g, zs[i])
-        return {"a": a.ravel().tolist(), "b": b.ravel().tolist()}
+        return a.ravel().tolist(), b.ravel().tolist()
 
-    def chain(pdf):
+    def chain(cols):
         state, out = np.zeros((2, len(axes))), []
-        for a, b in zip(pdf["a"], pdf["b"]):
-            out.append({"_state": state.ravel().tolist()})
+        for a, b in zip(cols["a"], cols["b"]):
+            out.append((state.ravel().tolist(),))
             state = np.asarray(a).reshape(2, 2) @ state + np.asarray(b).reshape(2, -1)
         return out
 
-    def emit(pdf, entry):
-        k0, zs = int(pdf["_k0"].iloc[0]), pdf[axes].to_numpy(float)
-        state = np.asarray(entry["_state"], float).reshape(2, -1)
+    def emit(cols, entry):
+        k0 = int(cols["_k0"][0])
+        zs = np.column_stack([cols[x].astype(float) for x in axes])
+        state = np.asarray(entry[0], float).reshape(2, -1)
         out = np.empty_like(zs)
         for i, z in enumerate(zs):
             state = np.vstack([z, np.zeros(len(axes))]) if k0 + i == 0 else advance(state, z, k0 + i - 1)
             out[i] = state[0]
-        for j, axis in enumerate(axes):
-            pdf[f"{axis}_smooth"] = out[:, j]
-        return pdf
+        return None, {f"{axis}_smooth": out[:, j] for j, axis in enumerate(axes)}
 
     doubles = T.ArrayType(T.DoubleType())
-    out = _scan(indexed, keys, [ts, tie], seg, [T.StructField("a", doubles), T.StructField("b", doubles)], summarise,
+    out = _scan(indexed, keys, [ts, tie], seg, ["_k0", *axes], [T.StructField("a", doubles), T.StructField("b", doubles)], summarise,
                 [T.StructField("_state", doubles)], chain, [_double(f"{a}_smooth") for a in axes], emit)
     return out.drop("_k0")

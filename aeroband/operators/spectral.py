@@ -222,17 +222,29 @@ def detect_frames(frames: DataFrame, centre_hz: float, psd: str = "psd", keep=("
     """
     from aeroband.operators.rules import threat_by_confidence
     gap = F.greatest(F.lit(1), F.round(F.lit(GAP_TOLERANCE_HZ) / C("bin_hz")).cast("int"))
-    floored = frames.withColumn("noise_floor", floor_median(psd, centre_hz=centre_hz, exclude_hz=DC_EXCLUSION_HZ))
-    masked = mask_centre(psd, "f0_hz", "bin_hz", centre_hz)
-    found = X.let(masked, lambda v: X.let(widest_cluster(v, C("noise_floor") + MARGIN_DB, gap), lambda c: cluster_shape(v, c)))
-    shaped = floored.withColumn("_s", found).filter("_s is not null").withColumn("_c", classify_cluster(C("_s"))).filter("_c is not null")
-    aligned = shaped.withColumn("wifi_channel_mhz", wifi_channel(C("_s.center_mhz")))
-    confidence = F.when(C("wifi_channel_mhz").isNotNull(), F.round(C("_c.confidence") * 0.5, 3)).otherwise(C("_c.confidence"))
-    return aligned.withColumn("confidence", confidence).select(
-        *keep, C("_c.drone_type").alias("drone_type"), "confidence", threat_by_confidence("confidence").alias("threat_level"),
-        C("_s.center_mhz").alias("frequency_mhz"), C("_s.peak_db").alias("power_db"), C("_s.crest_factor_db").alias("crest_factor_db"),
-        C("_s.edge_drop_db").alias("edge_drop_db"), C("_s.gradient_db_per_mhz").alias("gradient_db_per_mhz"), C("_s.bandwidth_mhz").alias("bandwidth_mhz"),
-        C("wifi_channel_mhz").isNotNull().alias("wifi_channel_aligned"), "wifi_channel_mhz", "noise_floor")
+    nothing = "array<struct<drone_type:string,confidence:double,threat_level:string,frequency_mhz:double,power_db:double,crest_factor_db:double," \
+              "edge_drop_db:double,gradient_db_per_mhz:double,bandwidth_mhz:double,wifi_channel_aligned:boolean,wifi_channel_mhz:int,noise_floor:double>>"
+
+    def report(floor, shape, kind, channel):
+        confidence = F.when(channel.isNotNull(), F.round(kind["confidence"] * 0.5, 3)).otherwise(kind["confidence"])
+        row = X.let(confidence, lambda c: F.struct(
+            kind["drone_type"].alias("drone_type"), c.alias("confidence"), threat_by_confidence(c).alias("threat_level"), shape["center_mhz"].alias("frequency_mhz"),
+            shape["peak_db"].alias("power_db"), shape["crest_factor_db"].alias("crest_factor_db"), shape["edge_drop_db"].alias("edge_drop_db"),
+            shape["gradient_db_per_mhz"].alias("gradient_db_per_mhz"), shape["bandwidth_mhz"].alias("bandwidth_mhz"), channel.isNotNull().alias("wifi_channel_aligned"),
+            channel.alias("wifi_channel_mhz"), floor.alias("noise_floor")))
+        return F.when(kind.isNotNull(), F.array(row)).otherwise(F.array().cast(nothing))
+
+    def shaped(floor, shape):
+        return F.when(shape.isNotNull(), X.let(classify_cluster(shape), lambda kind: X.let(
+            wifi_channel(shape["center_mhz"]), lambda ch: report(floor, shape, kind, ch)))).otherwise(F.array().cast(nothing))
+
+    def detect(v):
+        return X.let(floor_median(v, centre_hz=centre_hz, exclude_hz=DC_EXCLUSION_HZ), lambda floor: X.let(
+            mask_centre(v, "f0_hz", "bin_hz", centre_hz), lambda m: X.let(
+                X.let(widest_cluster(m, floor + MARGIN_DB, gap), lambda c: cluster_shape(m, c)), lambda shape: shaped(floor, shape))))
+
+    # One generator per frame: filters between the steps would repeat the work before them.
+    return frames.select(*keep, F.inline(X.let(psd, detect)))
 
 
 # ------------------------------------------------------------------------ interference

@@ -9,6 +9,7 @@ from aeroband.functions.numeric import rounded
 from aeroband.operators import correlation, filters as P, geofence as G, ordered, positioning as T, scans, tracking
 from aeroband.plans import views as V
 from aeroband.plans.registry import query
+from aeroband.session import spread
 from aeroband.plans.sequences import SESSION_CTE, STEPS, dist_sql
 
 C = F.col
@@ -82,19 +83,19 @@ def _(spark, d):
 # ----------------------------------------------------------------------- spatial joins
 @query("d12_point_in_polygon", f"""SELECT d.id, z.zone_id FROM detections d, zones z WHERE NOT is_circle AND {INSIDE.replace('{lat}', 'latitude').replace('{lon}', 'longitude')}""")
 def _(spark, d):
-    pairs = G.with_zone_candidates(V.detections(spark, d), V.zones(spark, d).filter(~C("is_circle")))
+    pairs = G.with_zone_candidates(spread(V.detections(spark, d)), V.zones(spark, d).filter(~C("is_circle")))
     return pairs.filter(G.inside_ring("latitude", "longitude", "ring")).select("id", "zone_id")
 
 
 @query("d13_point_in_circle", f"SELECT d.id, z.zone_id FROM detections d, zones z WHERE is_circle AND {dist_sql('latitude', 'longitude', 'clat', 'clon')} <= radius_m")
 def _(spark, d):
-    pairs = G.with_zone_candidates(V.detections(spark, d), V.zones(spark, d).filter("is_circle"))
+    pairs = G.with_zone_candidates(spread(V.detections(spark, d)), V.zones(spark, d).filter("is_circle"))
     return pairs.filter(G.inside_zone("latitude", "longitude")).select("id", "zone_id")
 
 
 @query("d14_zone_altitude_band", f"SELECT d.id, z.zone_id FROM detections d, zones z WHERE {in_zone()} AND {BAND.replace('{alt}', 'altitude')}")
 def _(spark, d):
-    return G.containment(V.detections(spark, d), V.zones(spark, d)).select("id", "zone_id")
+    return G.containment(spread(V.detections(spark, d)), V.zones(spark, d)).select("id", "zone_id")
 
 
 EDGE = f"""(CASE WHEN is_circle THEN greatest(0.0, {dist_sql('latitude', 'longitude', 'clat', 'clon')} - radius_m)
@@ -119,7 +120,7 @@ NEAR = f"""SELECT d.id, z.zone_id, {EDGE} AS distance_m FROM detections d, zones
 @query("d15_buffered_proximity", f"""SELECT id, zone_id, round(distance_m, 3) AS distance_m, CASE WHEN distance_m = 0 THEN 'critical' WHEN distance_m <= 25 THEN 'alert'
    ELSE 'warning' END AS severity FROM ({NEAR}) WHERE distance_m <= 50""")
 def _(spark, d):
-    return G.proximity(V.detections(spark, d), V.zones(spark, d)).select("id", "zone_id", F.round("distance_m", 3).alias("distance_m"), "severity")
+    return G.proximity(spread(V.detections(spark, d)), V.zones(spark, d)).select("id", "zone_id", F.round("distance_m", 3).alias("distance_m"), "severity")
 
 
 @query("d16_nearby_emitters", f"SELECT id, emitter FROM rid_messages WHERE {dist_sql('latitude', 'longitude', '37.78', '-122.41')} <= 2000")
@@ -274,7 +275,7 @@ def _(spark, d):
 @query("m14_proximity_severity", f"""SELECT CASE WHEN distance_m = 0 THEN 'critical' WHEN distance_m <= 100 THEN 'alert' ELSE 'warning' END AS severity, CAST(count(*) AS BIGINT) AS n
    FROM ({NEAR}) WHERE distance_m <= 200 GROUP BY 1""")
 def _(spark, d):
-    return G.proximity(V.detections(spark, d), V.zones(spark, d), 200.0, 100.0).groupBy("severity").agg(F.count("*").alias("n"))
+    return G.proximity(spread(V.detections(spark, d)), V.zones(spark, d), 200.0, 100.0).groupBy("severity").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------------- positioning
@@ -314,17 +315,17 @@ FULL_ARRAY = "array_id IN (SELECT array_id FROM receivers GROUP BY 1 HAVING coun
 
 @query("m17_linear_fix_2d", f"SELECT event_id, round(x, 3) AS x, round(y, 3) AS y FROM emissions WHERE {FULL_ARRAY.format(n=4)}")
 def _(spark, d):
-    return T.linear_fix(_flat_events(spark, d), 2).filter("fix is not null").select("event_id", F.round("fix.x", 3).alias("x"), F.round("fix.y", 3).alias("y"))
+    return T.linear_fix(_flat_events(spark, d).filter(F.size("m") >= 3), 2).select("event_id", F.round("fix.x", 3).alias("x"), F.round("fix.y", 3).alias("y"))
 
 
 @query("m18_linear_fix_3d", f"SELECT event_id, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z FROM emissions WHERE {FULL_ARRAY.format(n=5)}")
 def _(spark, d):
-    return T.linear_fix(_events(spark, d), 3).filter("fix is not null").select("event_id", *[F.round(f"fix.{c}", 2).alias(c) for c in "xyz"])
+    return T.linear_fix(_events(spark, d).filter(F.size("m") >= 4), 3).select("event_id", *[F.round(f"fix.{c}", 2).alias(c) for c in "xyz"])
 
 
 @query("m19_iterative_refinement", f"SELECT event_id, round(x, 3) AS x, round(y, 3) AS y FROM emissions WHERE {FULL_ARRAY.format(n=4)}")
 def _(spark, d):
-    linear = T.linear_fix(_flat_events(spark, d), 2).filter("fix is not null")
+    linear = T.linear_fix(_flat_events(spark, d).filter(F.size("m") >= 3), 2)
     start = F.struct((C("fix.x") + 25.0).alias("x"), (C("fix.y") - 40.0).alias("y"))
     return T.refine(linear.withColumn("start", start), C("start")).select("event_id", F.round("fix.x", 3).alias("x"), F.round("fix.y", 3).alias("y"))
 
@@ -396,7 +397,7 @@ def _(spark, d):
 @query("m26_fix_statistics", f"""SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS converged, 0.0::DOUBLE AS mean_residual, 100.0::DOUBLE AS success_percent
    FROM emissions WHERE {FULL_ARRAY.format(n=4)}""")
 def _(spark, d):
-    linear = T.linear_fix(_flat_events(spark, d), 2).filter("fix is not null")
+    linear = T.linear_fix(_flat_events(spark, d).filter(F.size("m") >= 3), 2)
     fixed = T.residuals(T.refine(linear.withColumn("start", C("fix")), C("start")), 2)
     stats = T.fix_statistics(fixed.select((C("residual_m") < 1.0).alias("converged"), F.lit(1.0).alias("gdop"), "residual_m"))
     return stats.select("total", "converged", F.round("mean_residual", 4).alias("mean_residual"), "success_percent")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aeroband.session import table
+from aeroband.session import spread, table
 
 # --------------------------------------------------------------------------- SQL side
 SQL: dict[str, str] = {
@@ -208,14 +208,14 @@ def spectra(spark: SparkSession, d: str) -> DataFrame:
 
 def psd_frames(spark: SparkSession, d: str, source: DataFrame | None = None) -> DataFrame:
     """One row per frame: spectrum as an array plus its frequency grid."""
-    return _rows(spark, d, "embeddings", source).select(
+    return spread(_rows(spark, d, "embeddings", source)).select(
         F.col("vec_id").alias("frame_id"), "label", F.lit(2.4e9).alias("f0_hz"), F.lit(1e5).alias("bin_hz"),
         F.transform("embedding", lambda x: x.cast("double") * 100).alias("psd"))
 
 
 def iq_frames(spark: SparkSession, d: str) -> DataFrame:
     half = F.sequence(F.lit(1), (F.size("embedding") / 2).cast("int"))
-    return table(spark, d, "embeddings").select(
+    return spread(table(spark, d, "embeddings")).select(
         F.col("vec_id").alias("frame_id"), "label",
         F.transform(half, lambda p: F.element_at("embedding", 2 * p - 1).cast("double")).alias("i"),
         F.transform(half, lambda p: F.element_at("embedding", 2 * p).cast("double")).alias("q"),

@@ -87,3 +87,15 @@ def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     optimizer's own choice (shuffled join), so nothing is lost when the table grows.
     """
     return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a plain scan over all cores when its files yield fewer splits than there are cores.
+
+    For compute-heavy row-local work on small inputs; a large table has splits to spare and
+    passes through without a shuffle.  Only for scans: counting splits must not run a job.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
