@@ -7,7 +7,8 @@ job is a scan-side stage without a shuffle, and the frame stays the unit of work
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from aeroband.functions import arrays as X
@@ -36,24 +37,35 @@ def window_values(name: str, n: int) -> np.ndarray:
     return sum((-1) ** j * a * np.cos(j * k) for j, a in enumerate(COSINE_WINDOWS[name]))
 
 
-def _by_length(pdf: pd.DataFrame, i: str, q: str):
-    lengths = pdf[i].map(len)
-    for n, rows in pdf.groupby(lengths, sort=False):
-        if n:
-            yield n, rows, np.stack(rows[i].to_list()) + 1j * np.stack(rows[q].to_list())
+def _lists(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as an Arrow list column, without a Python object per row."""
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * width, width, dtype=np.int32)), pa.array(np.ascontiguousarray(values, dtype=np.float64).ravel()))
 
 
 def _map_frames(frames: DataFrame, keep: list[str], extra: list[T.StructField], work, i="i", q="q") -> DataFrame:
+    """``work(samples)`` takes a complex matrix of equally long frames and returns a repeat count per
+    frame and the new columns.  Sample columns pass from Arrow to NumPy as flat buffers."""
     schema = T.StructType([f for f in frames.schema.fields if f.name in keep] + extra)
-    order = [f.name for f in schema.fields]
+    kept = [f.name for f in schema.fields if f.name in keep]
 
     def run(batches):
-        for pdf in batches:
-            parts = [work(rows, z) for _, rows, z in _by_length(pdf, i, q)]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)[order]
-
-    return frames.select(*dict.fromkeys([*keep, i, q])).mapInPandas(run, schema)
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(i))
+            for n in pc.unique(sizes.drop_null()).to_pylist():
+                if n == 0:
+                    continue
+                part = pa.Table.from_batches([batch]).filter(pc.equal(sizes, n)).combine_chunks().to_batches()[0]
+                flat = [part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in (i, q)]
+                repeat, columns = work(flat[0] + 1j * flat[1])
+                rows = pa.table({c: part.column(c) for c in kept})
+                if repeat != 1:
+                    rows = rows.take(pa.array(np.repeat(np.arange(part.num_rows), repeat)))
+                for name, column in columns.items():
+                    rows = rows.append_column(name, column)
+                yield from rows.combine_chunks().to_batches()
+
+    return frames.select(*dict.fromkeys([*keep, i, q])).mapInArrow(run, schema)
 
 
 def build_spectra(frames: DataFrame, window: str = "hann", fft_size: int | None = None, keep=("frame_id",), i="i", q="q") -> DataFrame:
@@ -61,58 +73,41 @@ def build_spectra(frames: DataFrame, window: str = "hann", fft_size: int | None
 
     A frame longer than ``fft_size`` is cut, a shorter one zero-padded after windowing.
     """
-    keep = list(keep)
-
-    def work(rows, z):
+    def work(z):
         n = fft_size or z.shape[1]
         z = z[:, :n]
         spectrum = np.fft.fftshift(np.fft.fft(z * window_values(window, z.shape[1]), n=n, axis=1), axes=1)
-        out = rows[keep].copy()
-        out["re"], out["im"] = list(spectrum.real), list(spectrum.imag)
-        return out
+        return 1, {"re": _lists(spectrum.real), "im": _lists(spectrum.imag)}
 
-    return _map_frames(frames, keep, [T.StructField("re", DOUBLES), T.StructField("im", DOUBLES)], work, i, q)
+    return _map_frames(frames, list(keep), [T.StructField("re", DOUBLES), T.StructField("im", DOUBLES)], work, i, q)
 
 
-def _segments(z: np.ndarray, size: int, overlap: float) -> np.ndarray:
+def _segment_power(z: np.ndarray, sample_rate: float, size: int, overlap: float, window: str) -> np.ndarray:
+    """Power density per (frame, segment, bin); a frame shorter than a segment is zero-padded."""
     if z.shape[1] < size:
         z = np.pad(z, ((0, 0), (0, size - z.shape[1])))
-    step = max(1, size - int(size * overlap))
-    view = np.lib.stride_tricks.sliding_window_view(z, size, axis=1)
-    return view[:, ::step]
+    w = window_values(window, size)
+    cut = np.lib.stride_tricks.sliding_window_view(z, size, axis=1)[:, ::max(1, size - int(size * overlap))]
+    return np.abs(np.fft.fftshift(np.fft.fft(cut * w, axis=2), axes=2)) ** 2 / (sample_rate * (w**2).sum())
 
 
 def spectrogram(frames: DataFrame, sample_rate: float, segment: int = 256, overlap: float = 0.5, window: str = "hann",
                 keep=("frame_id",)) -> DataFrame:
     """Power density of every segment: one row per (frame, segment)."""
-    keep = list(keep)
-
-    def work(rows, z):
-        w = window_values(window, segment)
-        s = _segments(z, segment, overlap)
-        p = np.abs(np.fft.fftshift(np.fft.fft(s * w, axis=2), axes=2)) ** 2 / (sample_rate * (w**2).sum())
+    def work(z):
+        p = _segment_power(z, sample_rate, segment, overlap, window)
         count = p.shape[1]
-        out = rows[keep].loc[rows.index.repeat(count)].reset_index(drop=True)
-        out["segment"] = np.tile(np.arange(count, dtype=np.int32), len(rows))
-        out["psd"] = list(p.reshape(-1, segment))
-        return out
+        return count, {"segment": pa.array(np.tile(np.arange(count, dtype=np.int32), len(z))), "psd": _lists(p.reshape(-1, segment))}
 
-    return _map_frames(frames, keep, [T.StructField("segment", T.IntegerType()), T.StructField("psd", DOUBLES)], work)
+    return _map_frames(frames, list(keep), [T.StructField("segment", T.IntegerType()), T.StructField("psd", DOUBLES)], work)
 
 
 def welch(frames: DataFrame, sample_rate: float, segment: int = 256, overlap: float = 0.5, window: str = "hann", keep=("frame_id",)) -> DataFrame:
     """Mean power density over a frame's overlapping segments; short frames are zero-padded."""
-    keep = list(keep)
-
-    def work(rows, z):
-        w = window_values(window, segment)
-        s = _segments(z, segment, overlap)
-        p = (np.abs(np.fft.fftshift(np.fft.fft(s * w, axis=2), axes=2)) ** 2).mean(axis=1) / (sample_rate * (w**2).sum())
-        out = rows[keep].copy()
-        out["psd"] = list(p)
-        return out
+    def work(z):
+        return 1, {"psd": _lists(_segment_power(z, sample_rate, segment, overlap, window).mean(axis=1))}
 
-    return _map_frames(frames, keep, [T.StructField("psd", DOUBLES)], work)
+    return _map_frames(frames, list(keep), [T.StructField("psd", DOUBLES)], work)
 
 
 def average_by(frames: DataFrame, key: str, psd: str = "psd") -> DataFrame:
