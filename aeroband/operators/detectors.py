@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from aeroband.functions import arrays as X
 from aeroband.functions.timing import epoch_us
 from aeroband.operators import iq as I, peaks as K, spectral as S, transforms as T
-from aeroband.operators.ordered import top_per_key
-from aeroband.session import small_side
 
 C = F.col
 TINY = 1e-12
+CATALOGUE_PART = 5000
 
 # Known profiles (name, modulation, bandwidth Hz, cyclic prefix, deviation, spreading).
 PROFILES = [
@@ -91,13 +90,13 @@ def gated(scores: DataFrame, gate: float = 0.6) -> DataFrame:
 def rank_signatures(frames: DataFrame, signatures: DataFrame, k: int = 3, template: str | None = None) -> DataFrame:
     """Best ``k`` signatures per frame by the mean of band, shape and feature scores.
 
-    Each frame is scored against the whole catalogue in the row (a size-checked catalogue
-    of device signatures), so frames are neither multiplied nor shuffled.
+    Scoring meets the catalogue as arrays of at most ``CATALOGUE_PART`` signatures.  One part
+    is a constant of the plan; a larger catalogue is scored part by part through an equi-join
+    on the part number and the best of the parts are merged, so every signature counts.
     """
-    if len(signatures.limit(10_001).select(F.lit(1)).take(10_001)) > 10_000:
-        raise ValueError("the signature catalogue is a lookup of at most 10000 rows")
     fields = ["signature_id", "start_hz", "stop_hz", "expected_peak"] + ([template] if template else [])
-    catalogue = signatures.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("sigs"))
+    parts = max(1, math.ceil(signatures.count() / CATALOGUE_PART))
+    entry = F.array_sort(F.collect_list(F.struct(*fields))).alias("sigs")
 
     def build(v):
         lin = S.linear(v)
@@ -115,8 +114,16 @@ def rank_signatures(frames: DataFrame, signatures: DataFrame, k: int = 3, templa
         facts = F.struct(X.let(lin, lambda p: F.aggregate(X.indices(p), F.lit(0.0), lambda s, i: s + X.at(p, i) * S.frequency(i)) / X.total(p)).alias("centroid"), F.array_max(v).alias("top"))
         return X.let(facts, of)
 
-    joined = frames.withColumn("sigs", catalogue.scalar())
-    out = joined.select("frame_id", F.posexplode(X.let("psd", build)).alias("_r", "m"))
+    if parts == 1:
+        joined = frames.withColumn("sigs", signatures.agg(entry).scalar())
+    else:
+        catalogue = signatures.groupBy(F.pmod(F.xxhash64("signature_id"), F.lit(parts)).cast("int").alias("_part")).agg(entry)
+        joined = frames.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(catalogue, "_part")
+    best = joined.select("frame_id", X.let("psd", build).alias("top"))
+    if parts > 1:
+        merged = F.aggregate(F.collect_list("top"), F.array().cast("array<struct<neg:double,signature_id:int,score:double>>"), lambda s, t: F.slice(F.array_sort(F.concat(s, t)), 1, k))
+        best = best.withColumn("top", C("top").cast("array<struct<neg:double,signature_id:int,score:double>>")).groupBy("frame_id").agg(merged.alias("top"))
+    out = best.select("frame_id", F.posexplode("top").alias("_r", "m"))
     return out.select("frame_id", "m.signature_id", (C("_r") + 1).alias("rank"), "m.score", S.similarity_confidence(C("m.score")).alias("confidence"))
 
 

@@ -134,10 +134,9 @@ def priority(message_type="message_type") -> Column:
 
 def mark_duplicates(messages: DataFrame, fields: list[str], window_seconds: float = 5, tie: str = "id", slice_seconds: int = 3600) -> DataFrame:
     """Flag a message equal to the previous equal one within the window; signal strength and time are not compared."""
-    hashed = messages.withColumn("_same", F.xxhash64(*fields))
-    stepped = ordered.with_previous(hashed, ["_same"], ["ts", tie], {"_prev_us": epoch_us("ts")}, ordered.time_slice("ts", slice_seconds))
+    stepped = ordered.with_previous(messages, fields, ["ts", tie], {"_prev_us": epoch_us("ts")}, ordered.time_slice("ts", slice_seconds))
     near = F.coalesce(epoch_us("ts") - C("_prev_us") <= int(window_seconds * 1_000_000), F.lit(False))
-    return stepped.withColumn("is_duplicate", near).drop("_same", "_prev_us")
+    return stepped.withColumn("is_duplicate", near).drop("_prev_us")
 
 
 def rate_limited(messages: DataFrame, window_seconds: int = 1, tie: str = "id") -> DataFrame:

@@ -195,3 +195,13 @@ def test_feature_vector_is_complete(spark):
     out = features.extract(df, 2e6)
     assert [c for c in out.columns if c in features.FEATURE_RANGES] == features.FEATURES and len(features.FEATURES) == 46
     assert not pd.isna(list(out.first())).any()
+
+
+def test_catalogue_parts_give_the_same_ranking(spark, monkeypatch):
+    from aeroband.operators import detectors
+    rng = np.random.default_rng(10)
+    df = psd_of(spark, *rng.normal(0, 10, (5, 64)))
+    sig = spark.createDataFrame([(k, 2.4e9 + k * 2e5, 2.4e9 + k * 2e5 + 1e6, 15.0 + k % 11) for k in range(40)], "signature_id int, start_hz double, stop_hz double, expected_peak double")
+    whole = sorted(tuple(r) for r in detectors.rank_signatures(df, sig).collect())
+    monkeypatch.setattr(detectors, "CATALOGUE_PART", 7)
+    assert sorted(tuple(r) for r in detectors.rank_signatures(df, sig).collect()) == whole
