@@ -112,12 +112,12 @@ def split_good_bad(lines: DataFrame, line: str = "line"):
 # Noise to leave out.
 NOISY_LOGGERS = ("urllib3", "requests", "asyncio", "matplotlib", "PIL")
 NOISY_MESSAGES = ("Heartbeat", "Ping", "Keepalive", "Health check")
-QUIET_LEVELS = {"infrastructure.signal_io.iq_stream": ("DEBUG",), "infrastructure.messaging.websocket_server": ("DEBUG", "INFO")}
 
 
-def without_noise(parsed: DataFrame, loggers=NOISY_LOGGERS, messages=NOISY_MESSAGES, levels=QUIET_LEVELS) -> DataFrame:
+def without_noise(parsed: DataFrame, loggers=NOISY_LOGGERS, messages=NOISY_MESSAGES, levels: dict | None = None) -> DataFrame:
+    """Drop noisy loggers and messages, and for named loggers the listed levels."""
     drop = C("logger").rlike("^(" + "|".join(loggers) + r")(\.|$)") | C("message").rlike("|".join(messages))
-    for name, quiet in levels.items():
+    for name, quiet in (levels or {}).items():
         drop = drop | ((C("logger") == name) & C("level").isin(*quiet))
     return parsed.filter(~F.coalesce(drop, F.lit(False)))
 

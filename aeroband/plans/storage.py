@@ -166,11 +166,11 @@ def _(spark, d):
     return centre.join(back.select("manufacturer", "model", C("frequency_bands").alias("packed")), ["manufacturer", "model"])
 
 
-@query("a21_signature_merge", """SELECT p_brand AS manufacturer, p_partkey AS model, CASE WHEN p_size % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM part WHERE p_size % 3 = 0 OR p_size % 2 = 0""")
+@query("a21_signature_merge", """SELECT p_brand AS manufacturer, p_partkey AS model, CASE WHEN p_size >= 20 THEN 'new' ELSE 'old' END AS origin FROM part""")
 def _(spark, d):
     p = table(spark, d, "part").select(C("p_brand").alias("manufacturer"), C("p_partkey").alias("model"), "p_size")
-    old = p.filter(C("p_size") % 2 == 0).select("manufacturer", "model", F.lit("old").alias("origin"))
-    new = p.filter(C("p_size") % 3 == 0).select("manufacturer", "model", F.lit("new").alias("origin"))
+    old = p.filter(C("p_size") <= 30).select("manufacturer", "model", F.lit("old").alias("origin"))
+    new = p.filter(C("p_size") >= 20).select("manufacturer", "model", F.lit("new").alias("origin"))
     return S.merge(old, new)
 
 
@@ -208,10 +208,10 @@ def _(spark, d):
     return spark.read.parquet(f"{staging}/{done[0]}").select("id", "severity")
 
 
-@query("a28_merge_restore", "SELECT id, CASE WHEN id % 2 = 0 THEN 'snapshot' ELSE 'live' END AS side FROM alerts")
+@query("a28_merge_restore", "SELECT id, CASE WHEN acknowledged THEN 'snapshot' ELSE 'live' END AS side FROM alerts")
 def _(spark, d):
-    a = V.alerts(spark, d).select("id")
-    return N.merge(a.withColumn("side", F.lit("live")), a.filter(C("id") % 2 == 0).withColumn("side", F.lit("snapshot")), ["id"])
+    a = V.alerts(spark, d)
+    return N.merge(a.select("id", F.lit("live").alias("side")), a.filter("acknowledged").select("id", F.lit("snapshot").alias("side")), ["id"])
 
 
 @query("a29_snapshot_inventory", COUNTS)
