@@ -196,16 +196,17 @@ def message_errors(as_of, max_age_seconds: int = 10, uas="uas_id", ts="ts", lat=
     ))
 
 
-def tokens(*columns) -> Column:
-    joined = F.concat_ws(" ", *[_c(c).cast("string") for c in columns])
-    return F.array_remove(F.split(F.regexp_replace(F.lower(joined), r"[^\p{L}\p{N}]+", " "), " "), "")
-
-
 def matches_all_terms(terms: str, *columns) -> Column:
-    """Every term is a whole token of the row's text."""
-    wanted = [t for t in terms.lower().split() if t]
-    words = tokens(*columns)
-    return all_of(*[F.array_contains(words, t) for t in wanted])
+    """Every term is a whole token of the row's text, whatever its length.
+
+    A token is a run of letters and digits, so a bounded search per term finds it and stops
+    at the first hit; no token list is built.  A term with other characters is no token.
+    """
+    wanted = sorted({t for t in terms.lower().split() if t})
+    if not all(t.isalnum() for t in wanted):
+        return F.lit(False)
+    text = F.lower(F.concat_ws(" ", *[_c(c).cast("string") for c in columns]))
+    return all_of(*[text.contains(t) & text.rlike(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])") for t in wanted])
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:

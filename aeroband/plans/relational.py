@@ -9,7 +9,7 @@ from aeroband.functions.numeric import rounded
 from aeroband.operators import filters as P, ordered, relational as R
 from aeroband.plans import views as V
 from aeroband.plans.registry import query
-from aeroband.session import table
+from aeroband.session import spread, table
 
 AS_OF = "2024-01-20 12:00:00"
 C = F.col
@@ -181,7 +181,7 @@ simple("c39_text_search_detections", "detections", ID,
   WHERE list_contains(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), 'the')
     AND list_contains(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), 'that')""")
 def _(spark, d):
-    return table(spark, d, "documents").filter(P.matches_all_terms("the THAT", "text")).select("doc_id")
+    return spread(table(spark, d, "documents").select("doc_id", "text")).filter(P.matches_all_terms("the THAT", "text")).select("doc_id")
 
 
 # ------------------------------------------------------------------------ joins

@@ -92,3 +92,9 @@ def test_noise_free_fix_is_exact(spark):
     linear = positioning.linear_fix(positioning.gathered(m, rec), 2).withColumn("start", near)
     refined = positioning.refine(linear, F.col("start")).first().fix
     assert (refined.x, refined.y) == (pytest.approx(321, abs=1e-5), pytest.approx(654, abs=1e-5))
+
+
+def test_terms_are_whole_tokens(spark):
+    df = spark.createDataFrame([(1, "The drone, that flies"), (2, "other thatch"), (3, "that THE-end"), (4, None)], "id long, text string")
+    assert [r.id for r in df.filter(filters.matches_all_terms("the THAT", "text")).orderBy("id").collect()] == [1, 3]
+    assert df.filter(filters.matches_all_terms("", "text")).count() == 4
