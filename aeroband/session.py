@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,17 +45,15 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 def shared_directory(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    A local temporary folder is used only where the setting is absent, which is
-    the case in single-machine tests.
+    Where the setting is absent, which is the case in single-machine tests, a folder of the
+    session is used; a cluster without the setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    fallback = os.path.join(tempfile.gettempdir(), f"aeroband-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return os.path.join(tempfile.gettempdir(), f"aeroband-{spark.sparkContext.applicationId}")
 
 
 def run_directory(spark: SparkSession, label: str) -> str:
