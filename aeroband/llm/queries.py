@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aeroband.llm import decontaminate, minhash
+from aeroband.llm import decontaminate, lines, minhash
 from aeroband.session import table
 
 
@@ -19,5 +19,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op8_benchmark_decontamination)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.repeated(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "spans", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op8_benchmark_decontamination, op9_line_dedup)}
 SQL: dict[str, str] = {}
