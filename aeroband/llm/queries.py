@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aeroband.llm import decontaminate, lines, minhash
+from aeroband.llm import decontaminate, lines, minhash, packing, tokenfiles
 from aeroband.session import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of an installed public vocabulary file, on driver and executors alike."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, numerator=85, denominator=100)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -24,5 +30,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "spans", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op8_benchmark_decontamination, op9_line_dedup)}
+def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, shards = tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2)
+    return tokenfiles.read(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op6_token_id_output, op8_benchmark_decontamination, op9_line_dedup, op10_packing)}
 SQL: dict[str, str] = {}
