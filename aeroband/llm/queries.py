@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aeroband.llm import decontaminate, lines, minhash, packing, tokenfiles
+from aeroband.llm import decontaminate, lines, minhash, packing, tokenfiles, toxicity, urls
 from aeroband.session import table
 
 
@@ -19,6 +19,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
@@ -30,6 +34,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "spans", "text")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.categories())
+    return toxicity.score(docs, chain).select("row.doc_id", "p_junk", "p_toxic", F.col("is_toxic").alias("toxic"))
+
+
 def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, shards = tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2)
     return tokenfiles.read(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -39,5 +49,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op6_token_id_output, op8_benchmark_decontamination, op9_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_toxicity, op6_token_id_output, op7_url_filters, op8_benchmark_decontamination, op9_line_dedup, op10_packing)}
 SQL: dict[str, str] = {}
