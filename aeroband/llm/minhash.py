@@ -4,13 +4,16 @@
    keys; of each minimum the low ``BITS`` bits are packed into a signature.
 2. Documents of equal sets form a class, represented by its smallest doc_id; copies take no
    further part until the end.
-3. In each bucket every class is paired with the bucket's smallest one.  The signatures'
-   equal lanes, corrected for accidental equality, estimate the similarity; pairs whose
-   estimate is six deviations short are dropped, the others are confirmed on full sets.
-4. Buckets that still hold several components are compared block by block with bit counts,
-   without emitting pairs that fail; survivors in different components are confirmed too.
-   Pairs within one component need no check, so no link that matters is lost and no
-   bucket is ever cut short or gathered whole.
+3. A bucket's hub is the class that meets most others in all its buckets, which is close to
+   the text its group was copied from.  Every other class of the bucket is paired with it.
+   The signatures' equal lanes, corrected for accidental equality, estimate the similarity;
+   in buckets of two, pairs whose estimate is six deviations short are dropped.  The others
+   are measured on full sets: links, and how each class differs from its hub.
+4. What is left are pairs around one hub in different components.  Shingles that the hub
+   lacks come first in each class's order, so a class far from the hub has a prefix of its
+   own edits, and a join on necessary prefix shingles, with length and positional bounds,
+   names few pairs even in a group of any size.  These are confirmed on full sets as well.
+   Pairs within one component need no check, so no link that matters is lost.
 
 The number of bands follows from the threshold so that a pair at the threshold shares no
 bucket with a probability under 1e-7.
@@ -30,16 +33,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from aeroband.llm import graph, text
+from aeroband.llm import graph, sieve, text
 from aeroband.session import materialise
 
 ROWS = 5
 BITS = 2
 MISS = 1e-7
-BLOCK = 512
-SPLIT = 256  # pairs of one hub that are confirmed together
+SPLIT = 256  # pairs of one hub that are measured together
 
 
 def bands_for(threshold: float, rows: int = ROWS) -> int:
@@ -110,58 +112,55 @@ def _equal_lanes(count: int):
     return F.lit(count) - differing
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the threshold.  A hub's pairs are split into parts."""
-    degree = pairs.groupBy("u").agg(F.count("*").alias("d"))
-    parts = degree.select("u", F.ceil(F.col("d") / SPLIT).cast("int").alias("parts"))
-    hubs = parts.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("set_u")), "u").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spokes = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).select("u", "v", "part")
-    spokes = spokes.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("set_v")), "v")
-    common = F.size(F.array_intersect("set_u", "set_v"))
-    reaches = denominator * common >= numerator * (F.size("set_u") + F.size("set_v") - common)
-    return spokes.join(hubs.select("u", "part", "set_u"), ["u", "part"]).filter(reaches).select("u", "v")
-
-
-def _compare(batches: Iterator[pa.RecordBatch], least: int, count: int) -> Iterator[pa.RecordBatch]:
-    """Cells (bucket, block, block) come in order; pairs of different components that may be similar."""
-    held: list[pa.RecordBatch] = []
-
-    def cell(rows: pa.Table):
-        side = rows["side"].to_numpy()
-        node, part = rows["class_id"].to_numpy(), rows["component"].to_numpy()
-        bits = np.array(rows["bits"].to_pylist(), np.int64).view(np.uint64)
-        diagonal = rows["block_a"][0].as_py() == rows["block_b"][0].as_py()
-        left = np.flatnonzero(side == 0)
-        right = left if diagonal else np.flatnonzero(side == 1)
-        out_u, out_v = [], []
-        for i in left:
-            z = bits[i] ^ bits[right]
-            z = (z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)
-            near = (count - np.bitwise_count(z).sum(axis=1) >= least) & (part[i] != part[right])
-            if diagonal:
-                near &= node[right] > node[i]
-            other = node[right[near]]
-            out_u.append(np.minimum(node[i], other))
-            out_v.append(np.maximum(node[i], other))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u or [np.zeros(0, np.int64)])), pa.array(np.concatenate(out_v or [np.zeros(0, np.int64)]))], ["u", "v"])
-
-    def cells(rows: pa.Table, finished: bool):
-        ids = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("key", "block_a", "block_b")], 1)
-        cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-        edges = [0, *cuts.tolist(), len(ids)]
-        spans = list(zip(edges[:-1], edges[1:]))
-        ready, rest = (spans, None) if finished else (spans[:-1], spans[-1])
-        return [cell(rows.slice(a, b - a)) for a, b in ready], None if rest is None else rows.slice(rest[0])
+def beside_hubs(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    """``pairs`` (u, v, ...) with ``side``'s value (by doc_id) of both ends.
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        found, rest = cells(pa.Table.from_batches(held).combine_chunks(), False)
-        held = rest.to_batches()
-        yield from found
-    if held:
-        yield from cells(pa.Table.from_batches(held).combine_chunks(), True)[0]
+    A hub's pairs are split into parts, each with its own copy of the hub's value.
+    """
+    degree = pairs.groupBy("u").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("__parts"))
+    hubs = degree.join(side.select(F.col("doc_id").alias("u"), F.col(value).alias(f"{value}_u")), "u").withColumn(
+        "__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    spokes = pairs.join(degree, "u").withColumn("__part", F.pmod(F.xxhash64("v"), F.col("__parts")).cast("int")).drop("__parts")
+    spokes = spokes.join(side.select(F.col("doc_id").alias("v"), F.col(value).alias(f"{value}_v")), "v")
+    return spokes.join(hubs, ["u", "__part"]).drop("__part")
+
+
+def _ratio(common, numerator: int, denominator: int):
+    sizes = F.size("shingles_u") + F.size("shingles_v")
+    return denominator * common >= numerator * (sizes - common)
+
+
+def measured(spokes: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(u, v, n, own, linked, prefix): v's size, how many of its shingles u lacks, and for
+    crowded buckets v's necessary prefix with those first."""
+    both = beside_hubs(spokes, sets, "shingles").withColumn("common", F.array_intersect("shingles_v", "shingles_u"))
+    n = F.size("shingles_v")
+    length = n - F.ceil(F.lit(numerator) * n / F.lit(denominator)).cast("int") + 1
+    prefix = F.when(F.col("crowded"), F.slice(F.concat(F.array_except("shingles_v", "shingles_u"), "common"), F.lit(1), length))
+    return both.select("u", "v", n.alias("n"), (n - F.size("common")).alias("own"), _ratio(F.size("common"), numerator, denominator).alias("linked"), prefix.alias("prefix"))
+
+
+def around_hubs(spokes: DataFrame, parts: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (u, v) of spokes of one hub, in different components, that may reach the threshold."""
+    part = parts.withColumnRenamed("component", "part")
+    known = spokes.filter("prefix is not null").join(part.withColumnRenamed("node", "v"), "v", "left").withColumnRenamed("part", "own_part")
+    known = known.join(part.withColumnRenamed("node", "u"), "u", "left").select(
+        "u", "v", "n", "own", F.coalesce("own_part", "v").alias("part"), (F.coalesce("own_part", "v") != F.coalesce("part", "u")).alias("outside"), F.posexplode("prefix").alias("at", "shingle"))
+    level = lambda n: F.floor(F.log(n) / math.log(1.04)).cast("int")
+    t = numerator / denominator
+    rare = F.col("at") < F.col("own")
+    index = known.withColumn("level", F.when(rare, -1).otherwise(level(F.col("n"))))
+    most = F.least(F.col("n") / t, (F.col("n") - F.col("own")) * (1 + t) / t - F.col("n"))
+    levels = F.when(rare, F.array(F.lit(-1))).when(most >= F.col("n") * t - 1, F.sequence(level(F.greatest(F.col("n") * t - 1, F.lit(1.0))), level(F.greatest(most + 1, F.col("n") * t)))).otherwise(F.array().cast("array<int>"))
+    probes = known.filter("outside").withColumn("level", F.explode(levels))
+    key = ["u", "shingle", "level"]
+    mixed = index.select(*key, "part").union(probes.select(*key, "part")).groupBy(*key).agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select(*key)
+    x, y = probes.join(mixed, key, "left_semi").alias("x"), index.join(mixed, key, "left_semi").alias("y")
+    bound = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
+    met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key]
+    may = (F.col("x.part") != F.col("y.part")) & (F.lit(numerator) * F.greatest("x.n", "y.n") <= F.lit(denominator) * F.least("x.n", "y.n")) & (
+        (numerator + denominator) * bound >= numerator * (F.col("x.n") + F.col("y.n")))
+    return x.join(y, [*met, may]).select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
@@ -183,42 +182,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     heads = known.join(classes.select(*prints, F.col("class_id").alias("doc_id")), [*prints, "doc_id"]).dropDuplicates(["doc_id", *prints])
     heads = materialise(heads.select(F.col("doc_id").alias("class_id"), "bits", "keys"), "minhash-heads")
     entries = heads.select("class_id", F.explode("keys").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("class_id").alias("leader"), F.count("*").alias("members")).filter("members > 1")
-    buckets = materialise(buckets, "minhash-buckets")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        bits = heads.select("class_id", "bits")
-        both = pairs.join(bits.select(F.col("class_id").alias("v"), F.col("bits").alias("bits_v")), "v").join(
-            bits.select(F.col("class_id").alias("u"), F.col("bits").alias("bits_u")), "u")
-        return both.filter(_equal_lanes(count) >= least).select("u", "v")
-
-    spokes = entries.join(buckets, "key").filter("class_id <> leader").select(F.col("leader").alias("u"), F.col("class_id").alias("v")).distinct()
-    spokes = materialise(estimated(spokes), "minhash-spokes")
-
-    def linked(pairs: DataFrame, known_links: DataFrame | None = None) -> DataFrame:
-        involved = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
-        sets = texts.join(involved, "doc_id", "left_semi").mapInArrow(partial(_sets, n=words), "doc_id long, shingles array<long>")
-        sets = materialise(sets.dropDuplicates(["doc_id"]), "minhash-sets")
-        links = confirmed(pairs, sets, numerator, denominator)
-        return materialise(links if known_links is None else links.unionByName(known_links), "minhash-links")
-
-    links = linked(spokes)
+    buckets = materialise(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "minhash-buckets")
+    shared = materialise(entries.join(buckets, "key"), "minhash-shared")
+    weight = shared.groupBy("class_id").agg(F.sum("members").alias("weight"))
+    hubs = shared.join(weight, "class_id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("class_id")).alias("hub"))).alias("h"))
+    hubs = materialise(hubs.select("key", (-F.col("h.hub")).alias("u")), "minhash-hubs")
+    spokes = shared.join(hubs, "key").filter("class_id <> u").groupBy("u", F.col("class_id").alias("v")).agg((F.max("members") > 2).alias("crowded"))
+    bits = heads.select(F.col("class_id").alias("doc_id"), "bits")
+    spokes = beside_hubs(materialise(spokes, "minhash-met"), bits, "bits").filter((_equal_lanes(count) >= least) | F.col("crowded")).select("u", "v", "crowded")
+    spokes = materialise(spokes, "minhash-spokes")
+
+    involved = spokes.select("u").union(spokes.select("v")).distinct().withColumnRenamed("u", "doc_id")
+    candidates = sieve.sifted(texts, "doc_id", sieve.bitmap(involved, "doc_id")).filter("__maybe").join(involved, "doc_id", "left_semi").select("doc_id", "text")
+    sets = candidates.mapInArrow(partial(_sets, n=words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
+    sets = materialise(sets, "minhash-sets")
+    spokes = materialise(measured(spokes, sets, numerator, denominator), "minhash-measured")
+    links = spokes.filter("linked").select("u", "v")
     parts = materialise(graph.components(links), "minhash-parts")
 
-    rest = entries.join(buckets.filter("members > 2"), "key").filter("class_id <> leader").select("key", "class_id", "members")
-    rest = rest.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    rest = materialise(rest, "minhash-rest")
-    mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    cells = rest.join(mixed, "key").join(heads.select("class_id", "bits"), "class_id").withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class_id", "component", "bits")
-    order = ["key", "block_a", "block_b"]
-    more = cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_compare, least=least, count=count), "u long, v long").distinct()
-    more = materialise(more.join(spokes, ["u", "v"], "left_anti"), "minhash-more")
+    more = materialise(around_hubs(spokes, parts, numerator, denominator), "minhash-more")
+    more = materialise(beside_hubs(more, sets, "shingles").filter(_ratio(F.size(F.array_intersect("shingles_v", "shingles_u")), numerator, denominator)).select("u", "v"), "minhash-links")
     if not more.isEmpty():
-        links = linked(more, links)
-        parts = materialise(graph.components(links), "minhash-parts")
+        parts = materialise(graph.components(links.unionByName(more)), "minhash-parts")
 
     reached = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     reached = materialise(reached.select(*prints, "class_id", "component_id"), "minhash-reached")
