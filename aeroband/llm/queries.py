@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aeroband.llm import decontaminate, lines, minhash, packing, tokenfiles, toxicity, urls
+from aeroband.llm import decontaminate, lines, minhash, packing, tokenfiles, toxicity, urls, warc
 from aeroband.session import table
 
 
@@ -34,6 +34,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "spans", "text")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.categories())
@@ -49,5 +54,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_toxicity, op6_token_id_output, op7_url_filters, op8_benchmark_decontamination, op9_line_dedup, op10_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op4_toxicity, op6_token_id_output, op7_url_filters, op8_benchmark_decontamination, op9_line_dedup, op10_packing)}
+SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+        f AS (SELECT d, min(page_id) AS response FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN page_id > response THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > response THEN response END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d AND n >= 100""",
+}
