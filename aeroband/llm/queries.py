@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aeroband.llm import decontaminate, lines, minhash, packing, tokenfiles, toxicity, urls, warc
+from aeroband.llm import decontaminate, lines, minhash, packing, tokenfiles, topk, toxicity, urls, warc
 from aeroband.session import table
 
 
@@ -39,6 +39,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.categories())
@@ -54,8 +59,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op4_toxicity, op6_token_id_output, op7_url_filters, op8_benchmark_decontamination, op9_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_top_k, op4_toxicity, op6_token_id_output, op7_url_filters, op8_benchmark_decontamination, op9_line_dedup, op10_packing)}
 SQL: dict[str, str] = {
+    "op3_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.c AS DOUBLE[]), CAST(v.c AS DOUBLE[])) AS BIGINT) AS score
+              FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op2_warc": """
         WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
         f AS (SELECT d, min(page_id) AS response FROM p WHERE n >= 100 GROUP BY d)
