@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aeroband.llm import decontaminate, lines, minhash, packing, tokenfiles, topk, toxicity, urls, warc
+from aeroband.llm import decontaminate, langid, lines, minhash, packing, tokenfiles, topk, toxicity, urls, warc
 from aeroband.session import table
 
 
@@ -50,6 +50,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain).select("row.doc_id", "p_junk", "p_toxic", F.col("is_toxic").alias("toxic"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False))
+    net = langid.train(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, shards = tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2)
     return tokenfiles.read(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -59,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_top_k, op4_toxicity, op6_token_id_output, op7_url_filters, op8_benchmark_decontamination, op9_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_top_k, op4_toxicity, op5_language_id, op6_token_id_output, op7_url_filters, op8_benchmark_decontamination, op9_line_dedup, op10_packing)}
 SQL: dict[str, str] = {
     "op3_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
