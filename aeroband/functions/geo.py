@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column, functions as F
 
 EARTH_KM = 6371.0
@@ -31,6 +33,12 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return 2000 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def haversine_radians_m(lat1, lon1, lat2, lon2):
+    """The same on NumPy radians."""
+    h = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
+    return 2000 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
 def radius_box(lat: float, lon: float, km: float):
     """Smallest latitude/longitude box holding the cap of radius ``km``."""
     angle = km / EARTH_KM * (1 + 1e-9)

@@ -121,8 +121,9 @@ def rank_signatures(frames: DataFrame, signatures: DataFrame, k: int = 3, templa
         joined = frames.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(catalogue, "_part")
     best = joined.select("frame_id", X.let("psd", build).alias("top"))
     if parts > 1:
-        merged = F.aggregate(F.collect_list("top"), F.array().cast("array<struct<neg:double,signature_id:int,score:double>>"), lambda s, t: F.slice(F.array_sort(F.concat(s, t)), 1, k))
-        best = best.withColumn("top", C("top").cast("array<struct<neg:double,signature_id:int,score:double>>")).groupBy("frame_id").agg(merged.alias("top"))
+        kind = best.schema["top"].dataType
+        merged = F.aggregate(F.collect_list("top"), F.array().cast(kind), lambda s, t: F.slice(F.array_sort(F.concat(s, t)), 1, k))
+        best = best.groupBy("frame_id").agg(merged.alias("top"))
     out = best.select("frame_id", F.posexplode("top").alias("_r", "m"))
     return out.select("frame_id", "m.signature_id", (C("_r") + 1).alias("rank"), "m.score", S.similarity_confidence(C("m.score")).alias("confidence"))
 

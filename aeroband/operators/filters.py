@@ -197,16 +197,16 @@ def message_errors(as_of, max_age_seconds: int = 10, uas="uas_id", ts="ts", lat=
 
 
 def matches_all_terms(terms: str, *columns) -> Column:
-    """Every term is a whole token of the row's text, whatever its length.
+    """Every term is a whole token, or a phrase of them, in the row's text.
 
-    A token is a run of letters and digits, so a bounded search per term finds it and stops
-    at the first hit; no token list is built.  A term with other characters is no token.
+    A token is a run of letters and digits; a term with other characters between such runs
+    (``wi-fi``) is the phrase of its runs, whatever separates them in the text.  A bounded
+    search per term stops at the first hit; no token list is built.  Terms without letters
+    or digits ask for nothing.
     """
-    wanted = sorted({t for t in terms.lower().split() if t})
-    if not all(t.isalnum() for t in wanted):
-        return F.lit(False)
+    wanted = {tuple("".join(c if c.isalnum() else " " for c in t).split()) for t in terms.lower().split()}
     text = F.lower(F.concat_ws(" ", *[_c(c).cast("string") for c in columns]))
-    return all_of(*[text.contains(t) & text.rlike(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])") for t in wanted])
+    return all_of(*[all_of(*[text.contains(p) for p in t], text.rlike(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(t) + r"(?![\p{L}\p{N}])")) for t in sorted(wanted) if t])
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -114,10 +113,6 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def checked_page_count(total: int, size: int) -> int:
-    return math.ceil(total / size) if size else 0
-
-
 def id_filters(df: DataFrame, key: str, search: str | None = None, search_column: str | None = None,
                ids: DataFrame | None = None, exclude_ids: DataFrame | None = None, active: bool | None = None) -> DataFrame:
     if search:

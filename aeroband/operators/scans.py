@@ -192,21 +192,26 @@ def cooldown(df: DataFrame, keys, ts: str, tie: str, seconds: str, slice_seconds
     return out.drop("_us")
 
 
-def kalman_gains(steps: int, dt: float, q: float, r: float, initial: float = 100.0):
-    """Position and velocity gains per update; identical for every axis and key."""
-    p = np.eye(2) * initial
-    f = np.array([[1.0, dt], [0.0, 1.0]])
-    noise = np.diag([q * dt**4 / 4, q * dt**2 / 2])
-    gains = np.empty((steps, 2))
-    for k in range(steps):
-        p = f @ p @ f.T + noise
-        g = p[:, 0] / (p[0, 0] + r)
-        gains[k] = g
-        p = p - np.outer(g, p[0])
-        if k and np.abs(gains[k] - gains[k - 1]).max() == 0:
-            gains[k:] = g
-            break
-    return gains
+class KalmanGains:
+    """Position and velocity gain of the k-th update; identical for every axis and key.
+
+    The covariance is carried on as far as asked for, until it repeats to the bit.
+    """
+
+    def __init__(self, dt: float, q: float, r: float, initial: float = 100.0):
+        self.p, self.r, self.known, self.settled = np.eye(2) * initial, r, [], False
+        self.f = np.array([[1.0, dt], [0.0, 1.0]])
+        self.noise = np.diag([q * dt**4 / 4, q * dt**2 / 2])
+
+    def __call__(self, k: int) -> np.ndarray:
+        while k >= len(self.known) and not self.settled:
+            p = self.f @ self.p @ self.f.T + self.noise
+            g = p[:, 0] / (p[0, 0] + self.r)
+            after = p - np.outer(g, p[0])
+            self.settled = bool((after == self.p).all())
+            self.p = after
+            self.known.append(g)
+        return self.known[min(k, len(self.known) - 1)]
 
 
 def kalman_smooth(df: DataFrame, keys, ts: str, tie: str, axes: list[str], dt: float = 0.1, q: float = 0.1, r: float = 1.0,
@@ -227,10 +232,7 @@ def kalman_smooth(df: DataFrame, keys, ts: str, tie: str, axes: list[str], dt: f
     starts = counts.select(*keys, SEG, F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_k0"))
     indexed = work.join(starts, [*keys, SEG]).drop(SEG)
 
-    table = kalman_gains(4096, dt, q, r)
-
-    def gain(k):
-        return table[min(k, len(table) - 1)]
+    gain = KalmanGains(dt, q, r)
 
     def advance(state, z, k):
         px, v = state[0] + dt * state[1], state[1]

@@ -140,14 +140,14 @@ def mark_duplicates(messages: DataFrame, fields: list[str], window_seconds: floa
 
 
 def rate_limited(messages: DataFrame, window_seconds: int = 1, tie: str = "id") -> DataFrame:
-    """First n messages per emitter, type and tumbling window."""
+    """First n messages per emitter, type and tumbling window; types without a limit all pass."""
     from pyspark.sql import Window
     slot = ordered.time_slice("ts", window_seconds)
     work = messages.withColumn("_slot", slot)
     w = Window.partitionBy("uas_id", "message_type", "_slot").orderBy("ts", tie)
     limit = _constant_lookup(RATE_LIMITS, C("message_type"))
-    ranked = work.withColumn("_r", F.row_number().over(w)).filter(C("_r") <= max(RATE_LIMITS.values()))
-    return ranked.filter(C("_r") <= limit).drop("_slot", "_r")
+    ranked = work.filter(limit.isNotNull()).withColumn("_r", F.row_number().over(w)).filter(C("_r") <= limit).drop("_slot", "_r")
+    return ranked.unionByName(messages.filter(limit.isNull()))
 
 
 def latest_info(messages: DataFrame, registry: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aeroband.functions import geo
@@ -89,22 +93,41 @@ def newest_points(messages: DataFrame, key: str = "uas_id", n: int = 1000) -> Da
     return ordered.top_per_key(messages, [key], [C("ts").desc(), C("id").desc()], n, spread=ordered.time_slice("ts", 86400))
 
 
-def simplify(messages: DataFrame, tolerance_m: float, key: str = "uas_id", n: int = 1000) -> DataFrame:
-    """Radial-distance simplification of the retained track points (at most ``n`` per track).
+def simplify(messages: DataFrame, tolerance_m: float, key: str = "uas_id") -> DataFrame:
+    """Radial-distance simplification of whole tracks.
 
     The first point is kept; a later one is kept when it lies at least the tolerance from
-    the last kept point.
+    the last kept point.  That point depends on all before it, so a track is folded in its
+    order; sorted partitions stream through, and only the last kept point is held.
     """
-    fields = F.struct("ts", "id", "latitude", "longitude")
-    tracks = newest_points(messages, key, n).groupBy(key).agg(F.array_sort(F.collect_list(fields)).alias("_pts"))
-
-    def step(kept, p):
-        last = F.element_at(kept, -1)
-        far = geo.haversine_m(last["latitude"], last["longitude"], p["latitude"], p["longitude"]) >= tolerance_m
-        return F.when(far, F.concat(kept, F.array(p))).otherwise(kept)
-
-    kept = F.aggregate(F.slice("_pts", 2, n), F.slice("_pts", 1, 1), step)
-    return tracks.select(key, F.inline(kept))
+    ordered_points = messages.select(key, "ts", "id", "latitude", "longitude").repartition(key).sortWithinPartitions(key, "ts", "id")
+    return ordered_points.mapInArrow(partial(_kept_points, tolerance_m=tolerance_m), ordered_points.schema)
+
+
+def _kept_points(batches, tolerance_m: float):
+    begun, current, lat, lon = False, None, 0.0, 0.0
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        lats, lons = (np.radians(batch.column(k).to_numpy(zero_copy_only=False).astype(float)) for k in (3, 4))
+        edges = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+        kept = []
+        for at, stop in zip([0, *edges], [*edges, len(keys)]):
+            if at < stop and (not begun or keys[at] != current):
+                begun, current, lat, lon = True, keys[at], lats[at], lons[at]
+                kept.append(at)
+                at += 1
+            width = 32
+            while at < stop:  # look ahead in growing steps
+                end = min(stop, at + width)
+                far = np.flatnonzero(geo.haversine_radians_m(lat, lon, lats[at:end], lons[at:end]) >= tolerance_m)
+                if len(far):
+                    at += int(far[0])
+                    lat, lon, width = lats[at], lons[at], 32
+                    kept.append(at)
+                    at += 1
+                else:
+                    at, width = at + width, width * 4
+        yield batch.take(pa.array(kept, pa.int64()))
 
 
 def track_of(messages: DataFrame, uas_id: str, start, end) -> DataFrame:

@@ -38,9 +38,10 @@ def _(spark, d):
     return V.detections(spark, d).select("id", L.confidence_tier().alias("tier"))
 
 
-@query("l5_alert_severity", "SELECT id, severity FROM (SELECT d.id, a.severity FROM detections d JOIN alerts a ON a.id = d.id)")
+@query("l5_alert_severity", """SELECT id, CASE WHEN confidence >= 0.95 THEN 'CRITICAL' WHEN confidence >= 0.85 THEN 'HIGH' WHEN confidence >= 0.70 THEN 'MEDIUM'
+   WHEN confidence >= 0.50 THEN 'LOW' END AS severity FROM detections""")
 def _(spark, d):
-    return V.detections(spark, d).filter(C("drone_type") == "error").select("id", L.severity().alias("severity"))
+    return V.detections(spark, d).select("id", L.severity().alias("severity"))
 
 
 def _facts(spark, d):

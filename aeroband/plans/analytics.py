@@ -100,7 +100,7 @@ DAY_SQL = f"SELECT * FROM detections WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL
 
 @query("f11_dashboard_summary", f"""WITH day AS ({DAY_SQL}) SELECT CAST(count(*) AS BIGINT) AS total,
    CAST((SELECT count(*) FROM alerts WHERE NOT acknowledged AND NOT resolved) AS BIGINT) AS active_alerts,
-   CAST((SELECT count(DISTINCT drone_type) FROM (SELECT * FROM day ORDER BY ts DESC, id DESC LIMIT 100)) AS BIGINT) AS unique_types,
+   CAST(count(DISTINCT drone_type) AS BIGINT) AS unique_types,
    {COUNTS}, round(count(*) FILTER (WHERE threat_level='HIGH') * 100.0::DOUBLE / count(*), 6) AS high_percent,
    round(count(*) / 24.0::DOUBLE / 60, 6) AS per_minute FROM day""")
 def _(spark, d):
@@ -108,7 +108,7 @@ def _(spark, d):
 
 
 @query("f11_dashboard_top_types", f"""WITH day AS ({DAY_SQL}) SELECT drone_type, CAST(count(*) AS BIGINT) AS n FROM
-   (SELECT * FROM day ORDER BY ts DESC, id DESC LIMIT 100) GROUP BY 1 ORDER BY n DESC, drone_type LIMIT 5""")
+   day GROUP BY 1 ORDER BY n DESC, drone_type LIMIT 5""")
 def _(spark, d):
     return A.dashboard_top_types(V.detections(spark, d), AS_OF)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aeroband.functions.numeric import rounded
 from aeroband.operators import geofence as G, ordered, tracking
+from aeroband.functions.timing import epoch_us
 from aeroband.plans import views as V
 from aeroband.plans.registry import query
 from aeroband.session import run_directory, table
@@ -107,16 +108,17 @@ def _(spark, d):
                     F.round(F.get("f.geometry.coordinates", F.lit(1)), 6).alias("latitude"))
 
 
-@query("a16_feature_assembly", """SELECT 'Polygon' AS kind, CAST(zone_id AS VARCHAR) AS name, CAST(6 AS INTEGER) AS points FROM zones
-   UNION ALL SELECT 'LineString', uas_id, CAST(count(*) AS INTEGER) FROM rid_messages GROUP BY 2""")
+@query("a16_feature_assembly", """SELECT 'Polygon' AS kind, CAST(zone_id AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS part, CAST(6 AS INTEGER) AS points FROM zones
+   UNION ALL SELECT 'LineString', uas_id, CAST(epoch_us(ts) // 604800000000 AS BIGINT), CAST(count(*) AS INTEGER) FROM rid_messages GROUP BY 2, 3""")
 def _(spark, d):
     polys = V.zones(spark, d).select(G.polygon_feature("ring", F.struct(C("zone_id").cast("string").alias("name"))).alias("value"))
-    pts = tracking.newest_points(V.rid_messages(spark, d), "uas_id", 1000).groupBy("uas_id").agg(F.array_sort(F.collect_list(F.struct("ts", "latitude", "longitude"))).alias("p"))
-    lines = pts.select(G.line_feature(C("p"), F.struct(C("uas_id").alias("name"))).alias("value"))
-    head = F.from_json("value", "geometry struct<type:string>, properties struct<name:string>")
+    week = F.floor(epoch_us("ts") / 604_800_000_000)  # a long line is written in parts
+    pts = V.rid_messages(spark, d).groupBy("uas_id", week.alias("part")).agg(F.array_sort(F.collect_list(F.struct("ts", "latitude", "longitude"))).alias("p"))
+    lines = pts.select(G.line_feature(C("p"), F.struct(C("uas_id").alias("name"), "part")).alias("value"))
+    head = F.from_json("value", "geometry struct<type:string>, properties struct<name:string, part:bigint>")
     size = F.when(head["geometry"]["type"] == "Polygon", F.size(F.from_json(F.get_json_object("value", "$.geometry.coordinates[0]"), "array<array<double>>"))).otherwise(
         F.size(F.from_json(F.get_json_object("value", "$.geometry.coordinates"), "array<array<double>>")))
-    return polys.unionByName(lines).select(head["geometry"]["type"].alias("kind"), head["properties"]["name"].alias("name"), size.alias("points"))
+    return polys.unionByName(lines).select(head["geometry"]["type"].alias("kind"), head["properties"]["name"].alias("name"), head["properties"]["part"].alias("part"), size.alias("points"))
 
 
 @query("a17_field_subset", "SELECT id, drone_type, snr, bandwidth FROM detections")

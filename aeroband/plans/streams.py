@@ -159,16 +159,11 @@ def _(spark, d):
     return J.append(J.notifications(alerts(spark, d), channels), "notify").select("alert_id", "channel", "status")
 
 
-@query("n18_stream_health", "SELECT CAST(count(*) AS BIGINT) AS received, CAST(count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-10') AS BIGINT) AS dropped FROM detections")
+@query("n18_stream_health", "SELECT CAST(count(*) AS BIGINT) AS received, CAST(count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-10') AS BIGINT) AS dropped, CAST(count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-10') AS BIGINT) AS processed FROM detections")
 def _(spark, d):
-    path, state = run_directory(spark, "health-out"), run_directory(spark, "health-state")
     late = C("ts") < F.lit("2024-01-10").cast("timestamp")
-    seen = J.observed(detections(spark, d), "health", late).filter(~late).select("id")
-    q = seen.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    totals = [p.observedMetrics["health"] for p in q.recentProgress if "health" in p.observedMetrics]
-    rows = [(sum(r["received"] for r in totals), sum(r["dropped"] for r in totals))]
-    return spark.createDataFrame(rows, "received long, dropped long")
+    _, metrics = J.monitored(detections(spark, d), late, run_directory(spark, "health"))
+    return J.health(metrics).select("received", "dropped", "processed")
 
 
 @query("a22_topic_source", f"SELECT CAST(id AS VARCHAR) AS key, t AS topic FROM (SELECT id, {TOPIC_SQL} AS t FROM detections) WHERE regexp_matches(t, '^site/3(/.*)?$')")

@@ -76,25 +76,24 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def within_bytes(df: DataFrame, limit: int) -> bool:
     """True when the optimizer's size estimate, an upper bound for scans, is within limit."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
+    return int(str(size)) <= limit
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint when a bounded count proves the side small; otherwise unchanged.
+def small_side(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """Broadcast hint when the optimizer's estimate proves the side small; otherwise unchanged.
 
-    The probe reads at most ``max_rows + 1`` rows.  An unhinted side falls back to the
-    optimizer's own choice (shuffled join), so nothing is lost when the table grows.
+    No job runs.  An unhinted side is left to the optimizer, which may still broadcast it
+    by what it measures at run time, so nothing is lost when the table grows.
     """
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows else df
+    return F.broadcast(df) if within_bytes(df, limit) else df
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Rows of a plain scan over all cores when its files yield fewer splits than there are cores.
+def spread(scan: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """Rows of a small scan over all cores, for compute-heavy row-local work.
 
-    For compute-heavy row-local work on small inputs; a large table has splits to spare and
-    passes through without a shuffle.  Only for scans: counting splits must not run a job.
+    Only where the estimate is under ``limit`` bytes, so the shuffle is small on any
+    cluster; a larger scan has splits of its own and passes through.
     """
-    if scan.isStreaming:
+    if scan.isStreaming or not within_bytes(scan, limit):
         return scan
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)

@@ -27,19 +27,20 @@ def publish(stream: DataFrame, path: str, checkpoint: str):
     return (stream.writeStream.format("json").partitionBy("topic").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def each_batch(stream: DataFrame, handlers: dict, checkpoint: str):
-    """Every handler sees every micro-batch; one handler's failure is recorded and does not stop the others."""
+def each_batch(stream: DataFrame, handlers: dict, checkpoint: str, failures: str):
+    """Every handler sees every micro-batch; one handler's failure does not stop the others.
+
+    The rows a handler failed on are kept under ``failures``/handler/batch with the error, so
+    nothing is lost when the batch is committed.
+    """
     def run(batch: DataFrame, batch_id: int):
         batch = batch.persist()
-        failed = {}
         for name, handler in handlers.items():
             try:
                 handler(batch, batch_id)
             except Exception as ex:
-                failed[name] = str(ex)
+                batch.withColumn("_error", F.lit(str(ex))).write.mode("overwrite").parquet(f"{failures}/handler={name}/batch_id={batch_id}")
         batch.unpersist()
-        if failed:
-            print(f"batch {batch_id}: {failed}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

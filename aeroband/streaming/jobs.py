@@ -6,6 +6,8 @@ offsets and state.  Watermarks come from the staleness limits of the telemetry.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from aeroband import schema
@@ -128,16 +130,30 @@ def notifications(alerts: DataFrame, channels: Column) -> DataFrame:
     return alerts.select(C("id").alias("alert_id"), F.explode(channels).alias("channel"), F.lit("pending").alias("status"), F.lit(0).alias("retry_count"), "ts")
 
 
-def observed(stream: DataFrame, name: str, max_age_column: Column | None = None) -> DataFrame:
-    """Counts per micro-batch in the query's progress: rows seen and rows dropped as stale."""
-    metrics = [F.count("*").alias("received")]
-    if max_age_column is not None:
-        metrics.append(F.count_if(max_age_column).alias("dropped"))
-    return stream.observe(name, *metrics)
+def monitored(stream: DataFrame, late: Column, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that are not late, and a row of metrics for every micro-batch.
+
+    Both are written under the batch's number, so a repeated batch replaces itself and
+    nothing depends on how many progress reports the query keeps.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int):
+        began = time.perf_counter()
+        batch = batch.persist()
+        batch.filter(~late).write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+        counts = batch.agg(F.count("*").alias("received"), F.count_if(late).alias("dropped"))
+        counts = counts.withColumn("processed", C("received") - C("dropped")).withColumn("seconds", F.lit(time.perf_counter() - began))
+        counts.write.mode("overwrite").parquet(f"{path}/metrics/batch_id={batch_id}")
+        batch.unpersist()
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/metrics")
 
 
-def health(progress) -> dict:
-    """Rates and durations of a finished or running query's last progress report."""
-    p = progress if isinstance(progress, dict) else dict(progress)
-    return {"received": p.get("numInputRows", 0), "rows_per_second": p.get("processedRowsPerSecond", 0.0), "batch_ms": p.get("durationMs", {}).get("triggerExecution", 0),
-            "observed": p.get("observedMetrics", {})}
+def health(metrics: DataFrame) -> DataFrame:
+    """Totals, rows a second, and mean and longest latency of all batches."""
+    return metrics.agg(
+        F.sum("received").alias("received"), F.sum("dropped").alias("dropped"), F.sum("processed").alias("processed"),
+        (F.sum("received") / F.sum("seconds")).alias("rows_per_second"), F.avg("seconds").alias("mean_latency_s"), F.max("seconds").alias("max_latency_s"))
