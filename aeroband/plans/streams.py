@@ -25,6 +25,12 @@ def detections(spark, d, delay=J.LATE):
     return J.timed(V.detections(spark, d, events(spark, d)), delay)
 
 
+def replay(spark, d, view):
+    """A view of the events as a stream of several shuffled micro-batches."""
+    stream, delay = J.replayed(spark, d, "events", "event_id", "event_type")
+    return view(spark, d, stream), delay
+
+
 def alerts(spark, d, delay=J.LATE):
     return J.timed(V.alerts(spark, d, events(spark, d)), delay)
 
@@ -104,19 +110,18 @@ FOLD = """WITH k AS (SELECT emitter, list([[epoch_us(ts), id]] ORDER BY ts, id)
 
 @query("n10_cooldown_state", FOLD)
 def _(spark, d):
-    return J.append(S.cooldown(alerts(spark, d).select("emitter", "id", "ts"), "emitter", "long", 259200), "cooldown").select("emitter", "id")
+    a = J.timed(*replay(spark, d, V.alerts)).select("emitter", "id", "ts")
+    return J.append(S.cooldown(a, "emitter", "long", 259200), "cooldown").filter("id >= 0").select("emitter", "id")
 
 
 @query("n11_escalation_timers", """WITH o AS (SELECT id, ts, resolved_at FROM alerts) SELECT id AS alert_id, CAST(l.level AS INTEGER) AS level, ts + l.delay * INTERVAL 1 SECOND AS due_ts FROM o, (VALUES (1, 60), (2, 360), (3, 1560)) l(level, delay)
-   WHERE ts + l.delay * INTERVAL 1 SECOND < coalesce(resolved_at, TIMESTAMP '2024-03-01') AND ts < (SELECT max(ts) FROM alerts) - INTERVAL 1 DAY""")
+   WHERE resolved_at IS NULL OR ts + l.delay * INTERVAL 1 SECOND < resolved_at""")
 def _(spark, d):
-    a = V.alerts(spark, d, events(spark, d))
-    rows = F.array_compact(F.array(F.struct(F.lit("create").alias("action"), C("ts").cast("timestamp").alias("at")),
-                                   F.when(C("resolved"), F.struct(F.lit("resolve").alias("action"), C("resolved_at").cast("timestamp").alias("at")))))
-    stream = J.timed(a.select(C("id").alias("alert_id"), F.explode(rows).alias("e")).select("alert_id", "e.action", C("e.at").alias("ts")))
-    out = J.append(S.escalation(stream, [60, 300, 1200]), "escalation")
-    final = V.alerts(spark, d).select(F.max("ts").cast("timestamp")).scalar()
-    return out.join(V.alerts(spark, d).filter(C("ts").cast("timestamp") < final - F.expr("INTERVAL 1 DAY")).select(C("id").alias("alert_id")), "alert_id", "left_semi")
+    a, delay = replay(spark, d, V.alerts)
+    rows = F.array_compact(F.array(F.struct(F.lit(0).alias("closes"), C("ts").cast("timestamp").alias("at")),
+                                   F.when(C("resolved"), F.struct(F.lit(1).alias("closes"), C("resolved_at").cast("timestamp").alias("at")))))
+    stream = J.timed(a.select(C("id").alias("alert_id"), F.explode(rows).alias("e")).select("alert_id", "e.closes", C("e.at").alias("ts")), delay)
+    return J.append(S.escalation(stream, [60, 300, 1200]), "escalation").filter("alert_id >= 0")
 
 
 @query("n12_latest_positions", "SELECT uas_id, arg_max(latitude, (ts, id)) AS latitude, arg_max(longitude, (ts, id)) AS longitude FROM rid_messages GROUP BY 1")
@@ -126,20 +131,23 @@ def _(spark, d):
 
 @query("n13_presence", """WITH s AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap, lag(ts) OVER w AS pts, lead(ts) OVER w AS nxt FROM rid_messages WINDOW w AS (PARTITION BY uas_id ORDER BY ts, id))
    SELECT uas_id, 'ACTIVE' AS state, ts FROM s WHERE pts IS NULL UNION ALL SELECT uas_id, 'RECOVERED', ts FROM s WHERE gap > 86400000000 UNION ALL SELECT uas_id, 'LOST', pts + INTERVAL 1 DAY FROM s WHERE gap > 86400000000
-   UNION ALL SELECT uas_id, 'LOST', ts + INTERVAL 1 DAY FROM s WHERE nxt IS NULL AND ts + INTERVAL 1 DAY < (SELECT max(ts) FROM rid_messages) - INTERVAL 31 SECOND""")
+   UNION ALL SELECT uas_id, 'LOST', ts + INTERVAL 1 DAY FROM s WHERE nxt IS NULL""")
 def _(spark, d):
-    return J.append(S.presence(messages(spark, d).select("uas_id", "id", "ts"), "uas_id", 86400), "presence")
+    m = J.timed(*replay(spark, d, V.rid_messages)).select("uas_id", "id", "ts")
+    return J.append(S.presence(m, "uas_id", 86400), "presence").filter("uas_id <> 'UAS--1'")
 
 
 @query("n14_kalman_state")
 def _(spark, d):
-    return rounded(J.append(S.kalman(messages(spark, d).select("uas_id", "id", "ts", "latitude", "longitude"), "uas_id"), "kalman"))
+    m = J.timed(*replay(spark, d, V.rid_messages)).select("uas_id", "id", "ts", "latitude", "longitude")
+    return rounded(J.append(S.kalman(m, "uas_id"), "kalman").filter("id >= 0"))
 
 
 @query("n15_noise_floor_trigger", """WITH w AS (SELECT id, emitter, value, list(value) OVER (PARTITION BY emitter ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS v FROM detections),
    f AS (SELECT *, list_reduce(v, lambda a, b: 0.95::DOUBLE * a + 0.05::DOUBLE * b) AS floor FROM w) SELECT emitter, id, round(floor + 1e-10, 6) AS floor, value > floor + 10 AS triggered FROM f""")
 def _(spark, d):
-    out = J.append(S.noise_trigger(detections(spark, d).select("emitter", "id", "ts", "value"), "emitter", "long", "value"), "trigger")
+    v = J.timed(*replay(spark, d, V.detections)).select("emitter", "id", "ts", "value")
+    out = J.append(S.noise_trigger(v, "emitter", "long", "value"), "trigger").filter("id >= 0")
     return out.select("emitter", "id", F.round(C("floor") + 1e-10, 6).alias("floor"), "triggered")
 
 

@@ -24,6 +24,32 @@ def given(spark: SparkSession, directory: str, name: str, files_per_batch: int =
             .option("maxFilesPerTrigger", files_per_batch).parquet(directory))
 
 
+def replayed(spark: SparkSession, directory: str, name: str, ids: str, types: str, batches: int = 4, end_days: int = 40) -> tuple[DataFrame, str]:
+    """A given table as a stream of several micro-batches in shuffled order, and the delay it needs.
+
+    Rows are dealt to ``batches`` slices by time, two thirds of them to a slice beside their
+    own.  A last file holds one row of each type far in the future with -1 for its ids, so
+    the watermark passes all others.
+    """
+    rows = spark.read.schema(schema.GIVEN[name]).parquet(f"{directory}/{name}.parquet")
+    low, high = rows.agg(F.min(F.unix_micros(C("ts").cast("timestamp"))), F.max(F.unix_micros(C("ts").cast("timestamp")))).first()
+    if low is None:
+        low = high = 0
+    width = (high - low) // batches + 1
+    path = run_directory(spark, f"replay-{name}")
+    own = F.floor((F.unix_micros(C("ts").cast("timestamp")) - low) / width)
+    dealt = rows.withColumn("_slice", F.greatest(F.lit(0), F.least(F.lit(batches - 1), own + F.pmod(F.xxhash64(ids), F.lit(3)) - 1)))
+    for k in range(batches):
+        dealt.filter(C("_slice") == k).drop("_slice").write.parquet(f"{path}/{k:03d}")
+    kinds = rows.select(types).distinct()
+    far = F.timestamp_micros(F.lit(high + end_days * 86_400_000_000)).cast(rows.schema["ts"].dataType)
+    last = kinds.select(*[C(types) if c == types else far.alias("ts") if c == "ts" else F.lit(-1).cast(t).alias(c) for c, t in rows.dtypes])
+    last.coalesce(1).write.parquet(f"{path}/{batches:03d}")
+    files = max(1, len(spark.read.schema(schema.GIVEN[name]).parquet(f"{path}/000").inputFiles()))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
+    return stream, f"{3 * width // 1_000_000 + 60} seconds"
+
+
 def timed(stream: DataFrame, delay: str = LATE, ts: str = "ts") -> DataFrame:
     return stream.withColumn(ts, C(ts).cast("timestamp")).withWatermark(ts, delay)
 

@@ -1,133 +1,162 @@
-"""Keyed state with event-time timers.
+"""Keyed state with event-time timers, right across micro-batches.
 
-State per key is a few numbers.  A micro-batch is bounded by ``maxFilesPerTrigger``, so a
-hot key's share of one batch is bounded too.
+Rows of a key may come in any order the watermark allows, also over several micro-batches.
+They wait in the key's state until the watermark has passed them and are then folded in
+(time, id) order, so the result is that of the whole sorted stream.  What waits is bounded
+by the watermark's delay.  A key that was silent for ``forget_s`` loses its state, and its
+next row starts afresh.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 US = 1_000_000
-
-
-def _sorted(pdfs, ts: str, tie: str) -> pd.DataFrame:
-    frames = [p for p in pdfs if len(p)]
-    return pd.concat(frames).sort_values([ts, tie]) if frames else pd.DataFrame()
+FORGET_S = 90 * 86400.0
+STATE = "times array<long>, ids array<long>, held array<double>, memory array<double>"
 
 
 def _micros(series) -> np.ndarray:
     return series.astype("datetime64[us]").astype("int64").to_numpy()
 
 
+def in_order(stream: DataFrame, key: str, values: list[str], out: str, start: list[float], step: Callable, quiet: Callable | None = None,
+             ts: str = "ts", tie: str = "id", forget_s: float = FORGET_S) -> DataFrame:
+    """``step(key, memory, at, id, values)`` for each row in order, giving the new memory and rows out.
+
+    ``memory`` is a list of numbers that begins as ``start``.  ``quiet(key, memory, now)`` is
+    asked when nothing waits and the time has come that it named; it gives the new memory, rows
+    out and the next such time, or None.  Times are microseconds.
+    """
+    names, width = [f.split()[0] for f in out.split(", ")], len(values)
+
+    def update(k, pdfs, state: GroupState):
+        times, ids, held, memory = (list(x) for x in state.get) if state.exists else ([], [], [], list(start))
+        if not state.hasTimedOut:
+            for p in pdfs:
+                times += _micros(p[ts]).tolist()
+                ids += p[tie].tolist()
+                held += p[values].to_numpy(float).ravel().tolist()
+        mark, rows = state.getCurrentWatermarkMs() * 1000, []
+        order = sorted(range(len(times)), key=lambda i: (times[i], ids[i]))
+        ready = [i for i in order if times[i] <= mark]
+        for i in ready:
+            memory, made = step(k[0], memory, times[i], ids[i], held[i * width:(i + 1) * width])
+            rows += made
+        waiting = order[len(ready):]
+        latest = max([times[i] for i in ready], default=None)
+        due = None
+        if waiting:
+            due = times[waiting[0]]
+        elif quiet is not None:
+            memory, made, due = quiet(k[0], memory, mark)
+            rows += made
+        if due is None and not waiting:
+            if state.hasTimedOut and latest is None:  # silent for long enough
+                state.remove()
+                yield pd.DataFrame(rows, columns=names)
+                return
+            due = (mark if latest is None else latest) + int(forget_s * US)
+        state.update(([times[i] for i in waiting], [ids[i] for i in waiting], [x for i in waiting for x in held[i * width:(i + 1) * width]], [float(x) for x in memory]))
+        state.setTimeoutTimestamp(max(int(due) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=names)
+
+    return stream.groupBy(key).applyInPandasWithState(update, out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _stamp(us: float) -> pd.Timestamp:
+    return pd.Timestamp(int(us), unit="us")
+
+
 def cooldown(stream: DataFrame, key: str, key_type: str, seconds: float, ts: str = "ts", tie: str = "id") -> DataFrame:
     """Alerts that fire when each firing silences its key."""
-    def update(k, pdfs, state: GroupState):
-        until = state.get[0] if state.exists else -(2**62)
-        rows = _sorted(pdfs, ts, tie)
-        fired = []
-        for at, i in zip(_micros(rows[ts]), rows[tie]):
-            if at >= until:
-                fired.append((k[0], i, pd.Timestamp(at, unit="us")))
-                until = int(at + seconds * US)
-        state.update((until,))
-        yield pd.DataFrame(fired, columns=[key, tie, ts])
+    def step(k, memory, at, i, _):
+        if at < memory[0]:
+            return memory, []
+        return [at + int(seconds * US)], [(k, i, _stamp(at))]
 
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {key_type}, {tie} long, {ts} timestamp", "until long", "append", GroupStateTimeout.NoTimeout)
+    return in_order(stream, key, [], f"{key} {key_type}, {tie} long, {ts} timestamp", [-float(2**62)], step, ts=ts, tie=tie, forget_s=max(seconds, 1.0))
 
 
 def escalation(stream: DataFrame, schedule_seconds: list[int], ts: str = "ts") -> DataFrame:
-    """Alert events (alert_id, action, ts): unanswered alerts emit level k at its cumulative delay."""
-    due = np.cumsum(schedule_seconds) * US
+    """Alert events (alert_id, closes, ts): alerts that nothing closes emit level k at its cumulative delay.
 
-    def update(k, pdfs, state: GroupState):
-        opened, level = state.get if state.exists else (None, 0)
-        out, answered = [], None
-        rows = _sorted(pdfs, ts, "action") if not state.hasTimedOut else pd.DataFrame()
-        for at, action in zip(_micros(rows[ts]), rows["action"]) if len(rows) else []:
-            if action == "create":
-                opened = int(at)
-            else:
-                answered = int(at)
-        if opened is None:
-            return
-        limit = answered if answered is not None else state.getCurrentWatermarkMs() * 1000
-        while level < len(due) and opened + due[level] < limit:
+    ``closes`` is 0 for the creation and 1 for an answer, which may come first.
+    """
+    due = (np.cumsum(schedule_seconds) * US).tolist()
+
+    def reach(k, memory, limit):
+        opened, level, made = memory[0], int(memory[1]), []
+        while opened >= 0 and level < len(due) and opened + due[level] < limit:
             level += 1
-            out.append((k[0], level, pd.Timestamp(opened + due[level - 1], unit="us")))
-        if answered is not None or level == len(due):
-            if state.exists:
-                state.remove()
-        else:
-            state.update((opened, level))
-            state.setTimeoutTimestamp(max(int((opened + due[level]) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["alert_id", "level", "due_ts"])
+            made.append((k, level, _stamp(opened + due[level - 1])))
+        return [opened, level], made
+
+    def step(k, memory, at, _, values):
+        memory, made = reach(k, memory, at)
+        return ([-1.0, 0.0] if values[0] else [float(at), 0.0]), made
 
-    return stream.groupBy("alert_id").applyInPandasWithState(update, "alert_id long, level int, due_ts timestamp", "opened long, level int", "append", GroupStateTimeout.EventTimeTimeout)
+    def quiet(k, memory, now):
+        memory, made = reach(k, memory, now)
+        opened, level = memory[0], int(memory[1])
+        return memory, made, opened + due[level] if opened >= 0 and level < len(due) else None
+
+    return in_order(stream, "alert_id", ["closes"], "alert_id long, level int, due_ts timestamp", [-1.0, 0.0], step, quiet, ts=ts, tie="closes", forget_s=sum(schedule_seconds))
 
 
 def presence(stream: DataFrame, key: str, silence_seconds: float, ts: str = "ts", tie: str = "id") -> DataFrame:
     """ACTIVE at the first message, LOST after the silence, RECOVERED at the next message."""
     silence = int(silence_seconds * US)
 
-    def update(k, pdfs, state: GroupState):
-        last, lost = state.get if state.exists else (None, False)
-        out = []
-        if state.hasTimedOut:
-            out.append((k[0], "LOST", pd.Timestamp(last + silence, unit="us")))
-            state.update((last, True))
+    def step(k, memory, at, *_):
+        last, lost = memory
+        if last < 0:
+            made = [(k, "ACTIVE", _stamp(at))]
+        elif lost or at - last > silence:
+            made = ([] if lost else [(k, "LOST", _stamp(last + silence))]) + [(k, "RECOVERED", _stamp(at))]
         else:
-            rows = _sorted(pdfs, ts, tie)
-            for at in _micros(rows[ts]):
-                at = int(at)
-                if last is None:
-                    out.append((k[0], "ACTIVE", pd.Timestamp(at, unit="us")))
-                elif lost or at - last > silence:
-                    if not lost:
-                        out.append((k[0], "LOST", pd.Timestamp(last + silence, unit="us")))
-                    out.append((k[0], "RECOVERED", pd.Timestamp(at, unit="us")))
-                last, lost = at, False
-            state.update((last, lost))
-            state.setTimeoutTimestamp(max((last + silence) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "state", ts])
-
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} string, state string, {ts} timestamp", "last long, lost boolean", "append", GroupStateTimeout.EventTimeTimeout)
+            made = []
+        return [at, 0], made
+
+    def quiet(k, memory, now):
+        last, lost = memory
+        if last < 0 or lost:
+            return memory, [], None
+        if last + silence < now:
+            return [last, 1], [(k, "LOST", _stamp(last + silence))], None
+        return memory, [], last + silence + 1000
+
+    return in_order(stream, key, [], f"{key} string, state string, {ts} timestamp", [-1.0, 0.0], step, quiet, ts=ts, tie=tie)
 
 
 def kalman(stream: DataFrame, key: str, dt: float = 0.1, q: float = 0.1, r: float = 1.0, ts: str = "ts", tie: str = "id") -> DataFrame:
     """Constant-velocity smoothing of latitude and longitude, one small state per track."""
     f, noise = np.array([[1.0, dt], [0.0, 1.0]]), np.diag([q * dt**4 / 4, q * dt**2 / 2])
 
-    def update(k, pdfs, state: GroupState):
-        started = state.exists
-        x, p = (np.array(state.get[0]).reshape(2, 2), np.array(state.get[1]).reshape(2, 2)) if started else (np.zeros((2, 2)), np.eye(2) * 100.0)
-        rows, out = _sorted(pdfs, ts, tie), []
-        for i, z in zip(rows[tie], rows[["latitude", "longitude"]].to_numpy(float)):
-            if not started:
-                x, started = np.vstack([z, [0.0, 0.0]]), True
-            else:
-                x, p = f @ x, f @ p @ f.T + noise
-                g = p[:, 0] / (p[0, 0] + r)
-                x, p = x + np.outer(g, z - x[0]), p - np.outer(g, p[0])
-            out.append((k[0], i, x[0, 0], x[0, 1]))
-        state.update((x.ravel().tolist(), p.ravel().tolist()))
-        yield pd.DataFrame(out, columns=[key, tie, "latitude", "longitude"])
-
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} string, {tie} long, latitude double, longitude double", "x array<double>, p array<double>", "append", GroupStateTimeout.NoTimeout)
+    def step(k, memory, _, i, z):
+        x, p = np.array(memory[1:5]).reshape(2, 2), np.array(memory[5:]).reshape(2, 2)
+        if not memory[0]:
+            x = np.vstack([z, [0.0, 0.0]])
+        else:
+            x, p = f @ x, f @ p @ f.T + noise
+            g = p[:, 0] / (p[0, 0] + r)
+            x, p = x + np.outer(g, z - x[0]), p - np.outer(g, p[0])
+        return [1.0, *x.ravel(), *p.ravel()], [(k, i, x[0, 0], x[0, 1])]
+
+    start = [0.0] * 5 + [100.0, 0.0, 0.0, 100.0]
+    return in_order(stream, key, ["latitude", "longitude"], f"{key} string, {tie} long, latitude double, longitude double", start, step, ts=ts, tie=tie)
 
 
 def noise_trigger(stream: DataFrame, key: str, key_type: str, value: str, margin: float = 10.0, weight: float = 0.05, initial: float | None = None, ts: str = "ts", tie: str = "id") -> DataFrame:
     """Running floor per key and the flag ``value > floor + margin``."""
-    def update(k, pdfs, state: GroupState):
-        floor = state.get[0] if state.exists else initial
-        rows, out = _sorted(pdfs, ts, tie), []
-        for i, x in zip(rows[tie], rows[value].to_numpy(float)):
-            floor = x if floor is None else (1 - weight) * floor + weight * x
-            out.append((k[0], i, floor, bool(x > floor + margin)))
-        state.update((float(floor),))
-        yield pd.DataFrame(out, columns=[key, tie, "floor", "triggered"])
-
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {key_type}, {tie} long, floor double, triggered boolean", "floor double", "append", GroupStateTimeout.NoTimeout)
+    def step(k, memory, _, i, values):
+        x = values[0]
+        floor = x if np.isnan(memory[0]) else (1 - weight) * memory[0] + weight * x
+        return [floor], [(k, i, floor, bool(x > floor + margin))]
+
+    return in_order(stream, key, [value], f"{key} {key_type}, {tie} long, floor double, triggered boolean", [float("nan") if initial is None else initial], step, ts=ts, tie=tie)
