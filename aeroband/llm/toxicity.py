@@ -231,11 +231,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     picked = [truth.filter(F.col(k) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in names for v in (0, 1)]
     chosen = reduce(DataFrame.union, picked).distinct()  # at most 2 * sample rows a category
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_distinct, "doc_id long, words array<long>, shares array<double>").toArrow().to_pylist()
+    rows = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_distinct, "doc_id long, words array<long>, shares array<double>")
+    rows = rows.filter(F.size("words") > 0).toArrow().combine_chunks().sort_by("doc_id")
     wanted = {r["doc_id"]: r for r in chosen.toArrow().to_pylist()}
-    rows = sorted((r for r in rows if r["doc_id"] in wanted and r["words"]), key=lambda r: r["doc_id"])
-    given = {k: np.array([np.nan if wanted[r["doc_id"]][k] is None else wanted[r["doc_id"]][k] for r in rows], float) for k in names}
-    return fit_chain([np.array(r["words"], np.int64).view(np.uint64) for r in rows], np.array([r["shares"] for r in rows]).reshape(-1, SHARES), given)
+    ids = rows["doc_id"].to_pylist()
+    given = {k: np.array([np.nan if wanted[i][k] is None else wanted[i][k] for i in ids], float) for k in names}
+    own = [np.zeros(0, np.uint64)] * len(ids)
+    if ids:
+        words = rows["words"].combine_chunks()
+        edges, values = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64)
+        own = [values[i:j] for i, j in zip(edges[:-1], edges[1:])]
+    return fit_chain(own, np.array(rows["shares"].to_pylist()).reshape(-1, SHARES), given)
 
 
 def _score(batches: Iterator[pa.RecordBatch], chain: Chain, at_text: int) -> Iterator[pa.RecordBatch]:
