@@ -245,9 +245,7 @@ def latency_summary(df: DataFrame, value: str, keys=()) -> DataFrame:
     basic = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
                                   F.avg(value).alias("mean"))
     cuts = ordered.interpolated_percentiles(df, keys, value, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
-    if keys:
-        return basic.join(cuts, keys)
-    return basic.select("*", *[cuts.select(p).scalar().alias(p) for p in ("p50", "p90", "p95", "p99")])
+    return ordered.beside(basic, cuts, keys)
 
 
 def throughput_bits(samples, bytes_per_sample: int, seconds) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aeroband.functions.timing import epoch_us
+from aeroband.session import materialise
 
 SEG = "_segment"
 
@@ -120,28 +121,35 @@ def top_per_key(df: DataFrame, keys, order, n: int, rank: str = "row_no", spread
     return df.withColumn(rank, F.row_number().over(by_key)).filter(F.col(rank) <= n)
 
 
-def order_statistics(df: DataFrame, keys, value: str, ranks: dict[str, Column], buckets: int = 4096) -> DataFrame:
-    """Exact order statistics of unbounded groups.
+def beside(df: DataFrame, facts: DataFrame, keys) -> DataFrame:
+    """``df`` with the columns of ``facts``, its one row a key; without keys, its one row."""
+    return df.join(facts, list(keys)) if keys else df.crossJoin(F.broadcast(facts))
+
+
+def order_statistics(df: DataFrame, keys, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Exact order statistics of unbounded groups: (keys, names of ``ranks``); see ``_statistics``."""
+    return _statistics(df, keys, value, ranks).drop("n")
+
+
+def _statistics(df: DataFrame, keys, value: str, ranks: dict[str, Column], buckets: int = 4096) -> DataFrame:
+    """(keys, n, names of ``ranks``).
 
     ``ranks`` maps an output name to a zero-based rank, an expression over ``n`` (the
     group's row count).  A histogram of fixed width per group finds the bucket holding
     each rank; only rows of those buckets are then counted by distinct value and ranked.
-    Nothing grows with the group except the distributed scans.
+    The input is read three times at any number of ranks: for the groups' extent, for the
+    histogram, and for the rows of the buckets; what is known in between is written.
     """
     keys = _names(keys)
     tag = [F.col(k) for k in keys] or [F.lit(0)]
     base = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     span = base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
-    if keys:
-        placed = base.join(span, keys)
-    else:
-        lo, hi = span.select("_lo").scalar(), span.select("_hi").scalar()
-        placed = base.select("*", lo.alias("_lo"), hi.alias("_hi"))
+    span = materialise(span, "statistics-span")
     width = (F.col("_hi") - F.col("_lo")) / buckets
-    placed = placed.withColumn(
+    placed = beside(base, span, keys).withColumn(
         "_b", F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).cast("int")
     ).select(*keys, "_v", "_b")
-    histogram = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    histogram = materialise(placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c")), "statistics-histogram")
     along = Window.partitionBy(*tag).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*tag)
     cum = histogram.select(
@@ -152,7 +160,7 @@ def order_statistics(df: DataFrame, keys, value: str, ranks: dict[str, Column],
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()])
     hit = (cum.withColumn("_w", F.explode(wanted))
               .filter((F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_c"))))
-    targets = hit.groupBy(*keys, "_b", "_before").agg(F.collect_list("_w").alias("_ws"))
+    targets = materialise(hit.groupBy(*keys, "_b", "_before").agg(F.collect_list("_w").alias("_ws")), "statistics-targets")
     values = (placed.join(targets.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
                     .groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_m")))
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
@@ -161,9 +169,10 @@ def order_statistics(df: DataFrame, keys, value: str, ranks: dict[str, Column],
                    .withColumn("_w", F.explode("_ws"))
                    .withColumn("_at", F.col("_w.rank") - F.col("_before"))
                    .filter((F.col("_at") >= F.col("_prior")) & (F.col("_at") < F.col("_prior") + F.col("_m"))))
-    return found.groupBy(*keys).agg(
+    found = found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in ranks]
     )
+    return beside(found, span.select(*keys, "n"), keys)
 
 
 def interpolated_percentiles(df: DataFrame, keys, value: str, points: dict[str, float]) -> DataFrame:
@@ -173,9 +182,7 @@ def interpolated_percentiles(df: DataFrame, keys, value: str, points: dict[str,
     for name, p in points.items():
         at = F.lit(p) * (F.col("n") - 1)
         ranks[f"{name}__lo"], ranks[f"{name}__hi"] = F.floor(at), F.ceil(at)
-    stats = order_statistics(df, keys, value, ranks)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
-    joined = stats.join(counted, keys) if keys else stats.withColumn("n", counted.scalar())
+    joined = _statistics(df, keys, value, ranks)
     out = list(map(F.col, keys))
     for name, p in points.items():
         at = F.lit(p) * (F.col("n") - 1)
