@@ -56,9 +56,17 @@ def shared_directory(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"aeroband-{spark.sparkContext.applicationId}")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the default file system, so that no task takes it for its own disk."""
+    if re.match(r"^[a-z][a-z0-9+.-]*:", path):
+        return path
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def run_directory(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for one run of one job."""
-    return f"{shared_directory(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, shared_directory(spark))}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -204,11 +204,12 @@ def write_captures(frames: DataFrame, directory: str, key: str, dtype: str = "co
                 open_files[name].write((values * scale).round().astype(kind).tobytes() if kind[-2] == "i" else values.astype(kind).tobytes())
                 placed.append((getattr(row, key), row.frame_id, f"{directory}/{name}", offsets[name], len(row.i)))
                 offsets[name] += len(row.i)
+            if placed:
+                yield pd.DataFrame(placed, columns=[key, "frame_id", "path", "sample_offset", "samples"])
+            placed = []
         for name, f in open_files.items():
             f.close()
             system.move(f"{root}/.{name}.{ctx.taskAttemptId()}", f"{root}/{name}")
-        if placed:
-            yield pd.DataFrame(placed, columns=[key, "frame_id", "path", "sample_offset", "samples"])
 
     order = [f.name for f in schema.fields]
     return frames.select(key, "frame_id", "i", "q").mapInPandas(lambda b: (p[order] for p in run(b)), schema)
