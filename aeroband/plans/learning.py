@@ -108,10 +108,19 @@ def _(spark, d):
     return rounded(E.averages(pairs.select("truth", C("predicted").cast("int").alias("predicted"), "n")))
 
 
+def _search(spark, d, sample=None):
+    _, scores = M.grid_search(vectors(spark, d), {"numTrees": [10, 20], "maxDepth": [4, 6]}, "id", folds=5, sample=sample)
+    return rounded(scores.select(F.element_at("params", F.lit("numTrees")).alias("trees"), F.element_at("params", F.lit("maxDepth")).alias("depth"), "f1"))
+
+
 @query("p13_grid_search")
 def _(spark, d):
-    _, scores = M.grid_search(vectors(spark, d), {"numTrees": [10, 20], "maxDepth": [4, 6]}, "id", folds=3, sample=2)
-    return rounded(scores.select(F.element_at("params", F.lit("numTrees")).alias("trees"), F.element_at("params", F.lit("maxDepth")).alias("depth"), "f1"))
+    return _search(spark, d)
+
+
+@query("p13_random_search")
+def _(spark, d):
+    return _search(spark, d, sample=2)
 
 
 @query("p14_model_comparison", """SELECT 'model-' || c AS model, round(avg(CASE WHEN predicted = truth AND score >= c * 0.2 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS f1
@@ -125,7 +134,7 @@ def _(spark, d):
 
 @query("p15_batch_scoring")
 def _(spark, d):
-    model, split = _forest(spark, d, 20, 8)
+    model, split = _forest(spark, d)
     return rounded(M.score(model, split).select("id", "predicted", "confidence"))
 
 
@@ -209,14 +218,15 @@ def _(spark, d):
 
 @query("p23_feature_importance")
 def _(spark, d):
-    model, _ = _forest(spark, d, 20, 8)
+    model, _ = _forest(spark, d)
     return rounded(M.feature_importance(model, [f"e{k}" for k in range(64)], spark))
 
 
-@query("p24_prediction_log", "SELECT 'model-1' AS model_id, id AS detection_id, predicted, score AS confidence, (id % 40)::DOUBLE AS processing_ms FROM predictions")
+@query("p24_prediction_log", """SELECT 'model-1' AS model_id, id AS detection_id, predicted, score AS confidence, '[' || truth || ',' || predicted || ']' AS alternatives,
+   (id % 40)::DOUBLE AS processing_ms, TIMESTAMP '2024-01-30' AS created_at FROM predictions""")
 def _(spark, d):
     p = V.predictions(spark, d).withColumn("alternatives", F.array("truth", "predicted")).withColumn("confidence", C("score"))
-    return M.prediction_log(p, "model-1", "alternatives", (C("id") % 40).cast("double"), F.lit("2024-01-30").cast("timestamp_ntz")).drop("alternatives", "created_at")
+    return M.prediction_log(p, "model-1", "alternatives", (C("id") % 40).cast("double"), F.lit("2024-01-30").cast("timestamp_ntz"))
 
 
 @query("p25_active_model", "SELECT p_partkey AS id, p_brand AS name FROM part WHERE p_size > 10 ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 1")

@@ -9,7 +9,7 @@ from aeroband.plans.registry import ENTRIES
 SF = "/root/testdata/sf0.001"
 catalog.load()
 # Training is covered by tests/test_learning.py; it dominates the run time here.
-SLOW = {"p11_random_forest", "p12_gradient_boosted", "p13_grid_search"}
+SLOW = {"p11_random_forest", "p12_gradient_boosted", "p13_grid_search", "p13_random_search"}
 
 
 @pytest.fixture(scope="module")
