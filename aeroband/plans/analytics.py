@@ -57,7 +57,7 @@ def trend_sql(unit):
       FROM spine s LEFT JOIN c ON s.bucket = c.bucket"""
 
 
-for _unit in ("hour", "day", "week", "month"):
+for _unit in ("hour", "day", "week", "month", "year"):
     def _trend(spark, d, unit=_unit):
         return A.threat_trend(V.detections(spark, d), START, END, unit)
     query(f"f6_threat_trend_{_unit}", trend_sql(_unit))(_trend)

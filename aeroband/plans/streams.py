@@ -59,13 +59,11 @@ def _(spark, d):
     return read(fresh, "fresh").unionByName(read(stale, "stale"))
 
 
-CLOSED = "{end} <= (SELECT max({ts}) FROM {src}) - INTERVAL 30 SECOND"
-
-
-@query("n4_tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 6) AS avg_confidence FROM detections GROUP BY 1 HAVING "
-       + CLOSED.format(end="time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR", ts="ts", src="events"))
+@query("n4_tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 6) AS avg_confidence FROM detections GROUP BY 1")
 def _(spark, d):
-    return rounded(J.append(J.windowed_metrics(detections(spark, d), "1 hour"), "tumbling"))
+    windows = J.append(J.windowed_metrics(J.timed(*replay(spark, d, V.detections)), "1 hour"), "tumbling")
+    final = V.detections(spark, d).select(F.max(C("ts").cast("timestamp"))).scalar()
+    return rounded(windows.filter(C("start") <= final))
 
 
 @query("n4_tumbling_all_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 6) AS avg_confidence FROM detections GROUP BY 1")
@@ -82,9 +80,9 @@ def _(spark, d):
 @query("n6_session_windows", """WITH p AS (SELECT *, lag(ts) OVER (PARTITION BY uas_id ORDER BY ts, id) AS pts FROM rid_messages),
    n AS (SELECT *, sum(CASE WHEN pts IS NULL OR ts - pts >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY uas_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS s FROM p),
    g AS (SELECT uas_id, s, min(ts) AS start, max(ts) AS last, CAST(count(*) AS BIGINT) AS points FROM n GROUP BY 1, 2)
-   SELECT uas_id, start, points FROM g WHERE last + INTERVAL 12 HOUR <= (SELECT max(ts) FROM rid_messages) - INTERVAL 30 SECOND""")
+   SELECT uas_id, start, points FROM g""")
 def _(spark, d):
-    return J.append(J.session_counts(messages(spark, d), "12 hours", "uas_id"), "sessions")
+    return J.append(J.session_counts(J.timed(*replay(spark, d, V.rid_messages)), "12 hours", "uas_id"), "sessions").filter("uas_id <> 'UAS--1'")
 
 
 @query("n7_windowed_deduplication", "SELECT CAST(count(DISTINCT uas_id || message_type) AS BIGINT) AS kept FROM rid_messages")
