@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from aeroband.llm import text
 from aeroband.llm.decontaminate import Lookup
 
-SAMPLE = 1500
+SAMPLE = 800
 SAMPLE_TERMS = 40_000
-VOCABULARY = 4000
+VOCABULARY = 3000
 FOLDS = 4
 L2 = 0.0003
-STEP, EVIDENCE, MOST = 4, 3.2, 120  # words taken up at once, their least z-score, columns of a model
+STEP, EVIDENCE, MOST = 16, 3.0, 160  # words taken up at once, their least z-score, columns of a model
 SHARES = 6
 TWICE = np.uint64(0x9E3779B97F4A7C15)
 STEMS = (4, 5, 6, 7, 8)  # bytes
@@ -129,24 +129,31 @@ def _newton(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 30) -> np.nda
     return at
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The dense columns and, a few at a time, the words that explain most of what is left."""
-    out = np.zeros(x.shape[1])
+def fit_linear(presence: np.ndarray, dense: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the presence columns, then the dense ones: the dense ones and, a few at a
+    time, the words that explain most of what is left."""
+    vocabulary = presence.shape[1]
+    out = np.zeros(vocabulary + dense.shape[1])
     if not len(y) or y.min() == y.max():
         out[-1] = -35.0 if not len(y) or y[0] == 0 else 35.0
         return out
-    kept = np.arange(vocabulary, x.shape[1])
+    chosen = np.zeros(0, np.int64)
     while True:
-        weights = _newton(x[:, kept], y, L2)
-        p = _sigmoid(x[:, kept] @ weights)
-        left = np.abs(x[:, :vocabulary].T @ (y - p).astype(np.float32)) / np.sqrt(x[:, :vocabulary].T @ (p * (1 - p)).astype(np.float32) + 1)
-        left[kept[kept < vocabulary]] = 0
+        x = np.hstack([presence[:, chosen], dense])
+        weights = _newton(x, y, L2)
+        p = _sigmoid(x @ weights)
+        sides = np.stack([y - p, p * (1 - p)], axis=1).astype(np.float32)
+        left = np.zeros(vocabulary)
+        for k in range(0, vocabulary, 500):  # bytes become floats a few columns at a time
+            slope, spread = sides.T @ presence[:, k:k + 500].astype(np.float32)
+            left[k:k + 500] = np.abs(slope) / np.sqrt(spread + 1)
+        left[chosen] = 0
         best = np.argsort(-left, kind="stable")[:STEP]
         best = best[left[best] > EVIDENCE]
-        if not len(best) or len(kept) >= MOST:
-            out[kept] = weights
+        if not len(best) or x.shape[1] >= MOST:
+            out[chosen], out[vocabulary:] = weights[:len(chosen)], weights[len(chosen):]
             return out
-        kept = np.concatenate([best, kept])
+        chosen = np.concatenate([chosen, best])
 
 
 @dataclass
@@ -180,7 +187,7 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def _matrix(documents: list[np.ndarray], lookup: Lookup) -> np.ndarray:
-    out = np.zeros((len(documents), len(lookup.values)), np.float32)
+    out = np.zeros((len(documents), len(lookup.values)), np.uint8)
     for row, own in enumerate(documents):
         out[row, lookup.find(own)[1]] = 1
     return out
@@ -202,22 +209,23 @@ def fit_chain(documents: list[np.ndarray], dense: np.ndarray, labels: dict[str,
         expected = counts * len(held) / max(1, len(documents))
         gain = np.maximum(gain, np.abs(inside - expected) / np.sqrt(counts + 1))
     chain = Chain(list(labels), Lookup(every[np.argsort(-gain, kind="stable")[:VOCABULARY]]))
-    x = np.hstack([_matrix(documents, chain.lookup), dense.astype(np.float32)])
+    presence, known_dense = _matrix(documents, chain.lookup), np.asarray(dense, np.float64)
     fold = np.arange(len(documents)) % FOLDS
-    earlier = np.zeros((len(documents), 0), np.float32)
     for y in labels.values():
         known = ~np.isnan(y)
-        full = np.hstack([x, earlier, np.ones((len(x), 1), np.float32)])
-        chain.weights.append(fit_linear(full[known], y[known], len(chain.lookup.values)))
+        columns = np.hstack([known_dense, np.ones((len(y), 1))])
+        chain.weights.append(fit_linear(presence[known], columns[known], y[known]))
         out_of_fold = np.zeros(len(y))
         for k in range(FOLDS):
-            there = fold == k
-            out_of_fold[there] = _sigmoid(full[there] @ fit_linear(full[known & ~there], y[known & ~there], len(chain.lookup.values)))
+            there, others = fold == k, known & (fold != k)
+            weights = fit_linear(presence[others], columns[others], y[others])
+            used = np.flatnonzero(weights[:presence.shape[1]])
+            out_of_fold[there] = _sigmoid(presence[there][:, used] @ weights[used] + columns[there] @ weights[presence.shape[1]:])
         both = known.any() and y[known].min() != y[known].max()
         chain.thresholds.append(_threshold(out_of_fold[known], y[known]) if both else 0.5)
-        earlier = np.hstack([earlier, out_of_fold[:, None].astype(np.float32)])
+        known_dense = np.hstack([known_dense, out_of_fold[:, None]])
     v = len(chain.lookup.values)
-    used = np.flatnonzero(sum(np.abs(w[:v]) for w in chain.weights))
+    used = np.flatnonzero(sum((np.abs(w[:v]) for w in chain.weights), np.zeros(v)))
     chain.lookup = Lookup(chain.lookup.values[used])
     chain.weights = [np.concatenate([w[:v][used], w[v:]]) for w in chain.weights]
     return chain
