@@ -18,7 +18,7 @@ from array import array
 import numpy as np
 
 #: Pieces kept in each of two generations; the older one goes when the younger is full.
-KEPT = 300_000
+KEPT = 250_000
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: Characters that str.split() takes for white space and the tokenizers' patterns do not.
 _UNCLEAR = "\x1c\x1d\x1e\x1f\x85"
@@ -56,6 +56,7 @@ class Encoder:
         #: Only where the merges alone give the ids of words, as in byte-level vocabularies.
         self.straight = sys.byteorder == "little" and all(
             self._merged(" ", x[1:]) == self._bytes(self._ids(x)) for x in (" word", " Größe", " thntner", " ÉLLEANT"))
+        self.lowers = self._ids("ABC É") == self._ids("abc é")
         self.stops = {x: self._bytes(self._ids(x)) for x in ",.!?"}
 
     def _ids(self, piece: str) -> list[int]:
@@ -69,7 +70,11 @@ class Encoder:
         if any(x in text for x in _UNCLEAR):
             return [text]
         if not self.joins:
-            return text.split()
+            try:
+                text.encode("latin-1")  # whose lower case is the tokenizer's, letter by letter
+            except UnicodeEncodeError:
+                return text.split()
+            return text.lower().split() if self.lowers else text.split()
         for k, line in enumerate(text.split("\n")):
             words = line.split(" ")
             if words != line.split():
@@ -115,27 +120,17 @@ class Encoder:
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text and the id ``end``; null and empty texts have the end alone."""
         tail, out = self._bytes([end]), []
-        run: list[list[str]] = []
-        size = 0
-
-        def flush():
-            needed = set().union(*run)
-            missing = needed - self.young.keys()
-            if missing:
+        for text in texts:
+            pieces = self.pieces(text) if text else []
+            ids = list(map(self.young.get, pieces))
+            if None in ids:
+                missing = {p for p, x in zip(pieces, ids) if x is None}
                 if len(self.young) + len(missing) > KEPT:
-                    self.old, self.young, missing = self.young, {}, needed
+                    self.old, self.young = self.young, {}
                 self._learn(missing)
-            young = self.young
-            out.extend(b"".join([young[p] for p in pieces]) + tail for pieces in run)
-            run.clear()
-
-        for text in texts:
-            run.append(self.pieces(text) if text else [])
-            size += len(run[-1])
-            if size > KEPT // 4:
-                flush()
-                size = 0
-        flush()
+                ids = [self.young[p] if x is None else x for p, x in zip(pieces, ids)]
+            ids.append(tail)
+            out.append(b"".join(ids))
         return out
 
 
