@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -58,16 +59,31 @@ def _power_tables(n: int):
 class Words:
     """Words of some documents: document d has words ``first[d]`` to ``first[d + 1]``."""
     data: np.ndarray
+    inside: np.ndarray
     bounds: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    hashes: np.ndarray
+    hashes: np.ndarray | None
     first: np.ndarray
 
+    @cached_property
+    def _single(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The text with one space after each word, and where words start and end in it."""
+        kept, data = self.inside.copy(), self.data
+        behind = self.ends[self.ends < len(data)]
+        behind = behind[~self.inside[behind]]
+        kept[behind] = True
+        place = np.cumsum(kept)
+        spaced = data.copy()
+        spaced[behind] = 32
+        return spaced[kept].tobytes(), place[self.starts] - 1, place[self.ends - 1]
+
     def joined(self, i: int, j: int) -> bytes:
-        """Words i to j with single spaces."""
-        raw = self.data
-        return b" ".join(raw[a:b].tobytes() for a, b in zip(self.starts[i:j], self.ends[i:j]))
+        """Words i to j of one document with single spaces."""
+        if i >= j:
+            return b""
+        data, starts, ends = self._single
+        return data[starts[i]:ends[j - 1]]
 
 
 def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -87,7 +103,7 @@ def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[tu
         row = end
 
 
-def words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray, lower: bool = True) -> Words:
+def words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray, lower: bool = True, hashed: bool = True) -> Words:
     """Words are runs of bytes not in ``between``; they never cross documents."""
     text = LOWER[data] if lower else data
     n = len(text)
@@ -99,11 +115,13 @@ def words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray, lower: bool
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[text] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(text, bounds, starts, ends, hashes, np.searchsorted(starts, bounds))
+    hashes = None
+    if hashed:
+        up, down = _power_tables(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUES[text] * up[:n], out=sums[1:])
+        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return Words(text, inside, bounds, starts, ends, hashes, np.searchsorted(starts, bounds))
 
 
 _FACTORS = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
