@@ -138,6 +138,15 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def ranges(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start to its end; the ranges may overlap and differ in length."""
+    n = len(hashes)
+    up, down = _power_tables(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * up[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def shingle_sets(w: Words, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each document; one for its whole sequence of fewer words."""
     every = runs(w.hashes, n)
