@@ -35,7 +35,6 @@ RULES = [
 SUPPORT = 0.002
 CONFIDENCE = 0.6
 LIFT = 1.5
-LONGEST = 3  # tokens of a mined rule
 BAD = "label:bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -100,7 +99,7 @@ def mined_rules(examples: DataFrame, support: float = SUPPORT, confidence: float
     """(rule_id, tokens, confidence, support) of token sets whose pages are mostly bad."""
     baskets = examples.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= LONGEST) & (F.col("lift") >= lift))
+    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift))
     rules = materialise(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
     rules = rules.withColumn("rule_id", F.xxhash64("tokens"))
     shorter = rules.select(F.col("tokens").alias("inner"), F.col("confidence").alias("sure"), F.explode("tokens").alias("token"))

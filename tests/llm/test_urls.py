@@ -60,3 +60,15 @@ def test_mined_rules(spark):
     assert all(abs(found[s].confidence - sure[s]) < 1e-12 for s in want)
     got = {r.page_id: r.verdict for r in urls.judged(df, labels).collect()}
     assert all(got[k] == ("block" if any(set(s) <= b for s in want) else "allow") for (k, _), (b, _) in zip(pages, baskets))
+
+
+def test_four_tokens_together(spark):
+    """Any three of scheme, host, segment and query key are bad in half the cases, all four always."""
+    pages = [(k, f"http{'s' if k & 1 else ''}://{'a' if k & 2 else 'b'}.org/{'x' if k & 4 else 'y'}/{k}?{'p' if k & 8 else 'q'}=1") for k in range(320)]
+    bad = {k for k in range(320) if k & 15 == 15}
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, int(k in bad)) for k in range(320)], "doc_id long, quality int, toxic int")
+    found = {tuple(r.tokens) for r in urls.mined_rules(urls.labelled(urls.parsed(df), labels)).collect()}
+    assert found == {("host:a.org", "key:p", "path:x", "scheme:https")}
+    got = {r.page_id: r.verdict for r in urls.judged(df, labels, [("allow", "none.example", "/")]).collect()}
+    assert {k for k, v in got.items() if v == "block"} == bad
