@@ -12,7 +12,9 @@ offset 0 of each file, finds the one true record at which each range is entered;
 is reachable.  A last pass walks the records from there, checks each, and parses it.
 
 Edge cases.  A null html is an empty payload, a null url an empty target.  Repeated pages
-get a record each; of equal (payload, page_id) rows one is the response.  Rows without page_id are
+get a record each; rows of a response's page_id and payload are responses too, and different
+payloads of one page_id are judged each.  Rows without page_id are written as responses of
+their own.  Other columns are ignored.  No pages, no archives, no rows.
 written as responses of their own.  Other columns are ignored.  No pages, no archives, no rows.
 """
 
@@ -92,9 +94,9 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     prints = pages.select(F.col("page_id").cast("long").alias("page_id"), payload.alias("payload")).filter((F.length("payload") >= REVISIT) & F.col("page_id").isNotNull())
     prints = materialise(prints.select("page_id", F.sha2("payload", 256).alias("payload_digest")), "warc-prints")
     first = materialise(prints.groupBy("payload_digest").agg(F.min("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").select("payload_digest", "response"), "warc-responses")
-    again = prints.join(first, "payload_digest").filter("page_id <> response").select("page_id", F.col("response").alias("refers_to")).distinct()
+    again = prints.join(first, "payload_digest").filter("page_id <> response").select("page_id", "payload_digest", F.col("response").alias("refers_to")).distinct()
     again = materialise(again, "warc-revisits")
-    typed = rows.join(again, "page_id", "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    typed = rows.join(again, ["page_id", "payload_digest"], "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     return materialise(typed.mapInArrow(partial(_write, folder=folder), "path string, size long, records long"), "warc-archives")
 
 

@@ -52,3 +52,11 @@ def test_magic_in_payloads(spark):
 
 def test_no_pages(spark):
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).collect() == []
+
+
+def test_different_payloads_of_one_page(spark):
+    a, b, alone = "a" * 150, "b" * 150, "c" * 150
+    pages = [(1, a), (2, b), (9, a), (9, b), (9, alone), (9, alone), (9, "short"), (8, a)]
+    found = warc.read(warc.write(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string")))
+    assert rows(found) == want(pages)
+    assert sorted(bytes(r.payload).decode() for r in found.collect() if r.payload is not None) == sorted([a, b, alone, alone, "short"])
