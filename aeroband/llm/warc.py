@@ -15,7 +15,6 @@ Edge cases.  A null html is an empty payload, a null url an empty target.  Repea
 get a record each; rows of a response's page_id and payload are responses too, and different
 payloads of one page_id are judged each.  Rows without page_id are written as responses of
 their own.  Other columns are ignored.  No pages, no archives, no rows.
-written as responses of their own.  Other columns are ignored.  No pages, no archives, no rows.
 """
 
 from __future__ import annotations
