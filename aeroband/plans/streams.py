@@ -12,9 +12,10 @@ from aeroband.plans.registry import query
 from aeroband.plans.spectrum import CLASSIFIED
 from aeroband.session import run_directory
 from aeroband.sources import topics
-from aeroband.streaming import jobs as J, stateful as S
+from aeroband.streaming import consumers, jobs as J, stateful as S
 
 C = F.col
+SLOT = 7 * 86400.0  # the replays wait for days, so slots may be long
 
 
 def events(spark, d):
@@ -85,10 +86,17 @@ def _(spark, d):
     return J.append(J.session_counts(J.timed(*replay(spark, d, V.rid_messages)), "12 hours", "uas_id"), "sessions").filter("uas_id <> 'UAS--1'")
 
 
-@query("n7_windowed_deduplication", "SELECT CAST(count(DISTINCT uas_id || message_type) AS BIGINT) AS kept FROM rid_messages")
+@query("n7_windowed_deduplication", """SELECT id, uas_id || '/' || message_type AS message FROM (SELECT id, ts, uas_id, message_type, lag(ts) OVER (PARTITION BY uas_id, message_type ORDER BY ts, id) AS p FROM rid_messages)
+   WHERE p IS NULL OR ts - p > INTERVAL 5 SECOND""")
 def _(spark, d):
-    out = J.append(J.deduplicated(messages(spark, d, "60 days"), ["uas_id", "message_type"]).select("id", "uas_id", "message_type"), "dedup")
-    return out.agg(F.count("*").alias("kept"))
+    m = J.timed(*replay(spark, d, V.rid_messages)).select(F.concat_ws("/", "uas_id", "message_type").alias("message"), "id", "ts")
+    return J.append(S.duplicates(m, "message", 5, slot_s=SLOT), "dedup").filter("id >= 0").select("id", "message")
+
+
+@query("n7_repeats_in_a_batch", "SELECT uas_id, message_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT uas_id, message_type FROM rid_messages) GROUP BY 1, 2")
+def _(spark, d):
+    out = J.append(J.deduplicated(messages(spark, d, "5 seconds"), ["uas_id", "message_type"]).select("id", "uas_id", "message_type"), "dedup-batch")
+    return out.groupBy("uas_id", "message_type").agg(F.count("*").alias("n"))
 
 
 @query("n8_stream_stream_correlation", """SELECT d.id AS detection_id, m.id AS message_id FROM detections d JOIN rid_messages m ON m.ts > d.ts - INTERVAL 500 MILLISECOND AND m.ts < d.ts + INTERVAL 500 MILLISECOND""")
@@ -109,7 +117,7 @@ FOLD = """WITH k AS (SELECT emitter, list([[epoch_us(ts), id]] ORDER BY ts, id)
 @query("n10_cooldown_state", FOLD)
 def _(spark, d):
     a = J.timed(*replay(spark, d, V.alerts)).select("emitter", "id", "ts")
-    return J.append(S.cooldown(a, "emitter", "long", 259200), "cooldown").filter("id >= 0").select("emitter", "id")
+    return J.append(S.cooldown(a, "emitter", "long", 259200, slot_s=SLOT), "cooldown").filter("id >= 0").select("emitter", "id")
 
 
 @query("n11_escalation_timers", """WITH o AS (SELECT id, ts, resolved_at FROM alerts) SELECT id AS alert_id, CAST(l.level AS INTEGER) AS level, ts + l.delay * INTERVAL 1 SECOND AS due_ts FROM o, (VALUES (1, 60), (2, 360), (3, 1560)) l(level, delay)
@@ -119,7 +127,7 @@ def _(spark, d):
     rows = F.array_compact(F.array(F.struct(F.lit(0).alias("closes"), C("ts").cast("timestamp").alias("at")),
                                    F.when(C("resolved"), F.struct(F.lit(1).alias("closes"), C("resolved_at").cast("timestamp").alias("at")))))
     stream = J.timed(a.select(C("id").alias("alert_id"), F.explode(rows).alias("e")).select("alert_id", "e.closes", C("e.at").alias("ts")), delay)
-    return J.append(S.escalation(stream, [60, 300, 1200]), "escalation").filter("alert_id >= 0")
+    return J.append(S.escalation(stream, [60, 300, 1200], slot_s=SLOT), "escalation").filter("alert_id >= 0")
 
 
 @query("n12_latest_positions", "SELECT uas_id, arg_max(latitude, (ts, id)) AS latitude, arg_max(longitude, (ts, id)) AS longitude FROM rid_messages GROUP BY 1")
@@ -132,20 +140,20 @@ def _(spark, d):
    UNION ALL SELECT uas_id, 'LOST', ts + INTERVAL 1 DAY FROM s WHERE nxt IS NULL""")
 def _(spark, d):
     m = J.timed(*replay(spark, d, V.rid_messages)).select("uas_id", "id", "ts")
-    return J.append(S.presence(m, "uas_id", 86400), "presence").filter("uas_id <> 'UAS--1'")
+    return J.append(S.presence(m, "uas_id", 86400, slot_s=SLOT), "presence").filter("uas_id <> 'UAS--1'")
 
 
 @query("n14_kalman_state")
 def _(spark, d):
     m = J.timed(*replay(spark, d, V.rid_messages)).select("uas_id", "id", "ts", "latitude", "longitude")
-    return rounded(J.append(S.kalman(m, "uas_id"), "kalman").filter("id >= 0"))
+    return rounded(J.append(S.kalman(m, "uas_id", slot_s=SLOT), "kalman").filter("id >= 0"))
 
 
 @query("n15_noise_floor_trigger", """WITH w AS (SELECT id, emitter, value, list(value) OVER (PARTITION BY emitter ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS v FROM detections),
    f AS (SELECT *, list_reduce(v, lambda a, b: 0.95::DOUBLE * a + 0.05::DOUBLE * b) AS floor FROM w) SELECT emitter, id, round(floor + 1e-10, 6) AS floor, value > floor + 10 AS triggered FROM f""")
 def _(spark, d):
     v = J.timed(*replay(spark, d, V.detections)).select("emitter", "id", "ts", "value")
-    out = J.append(S.noise_trigger(v, "emitter", "long", "value"), "trigger").filter("id >= 0")
+    out = J.append(S.noise_trigger(v, "emitter", "long", "value", slot_s=SLOT), "trigger").filter("id >= 0")
     return out.select("emitter", "id", F.round(C("floor") + 1e-10, 6).alias("floor"), "triggered")
 
 
@@ -165,11 +173,21 @@ def _(spark, d):
     return J.append(J.notifications(alerts(spark, d), channels), "notify").select("alert_id", "channel", "status")
 
 
-@query("n18_stream_health", "SELECT CAST(count(*) AS BIGINT) AS received, CAST(count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-10') AS BIGINT) AS dropped, CAST(count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-10') AS BIGINT) AS processed FROM detections")
+@query("n18_stream_health", """SELECT CAST(count(*) AS BIGINT) AS received, CAST(count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-10') AS BIGINT) AS dropped,
+   CAST(count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-10') AS BIGINT) AS processed, true AS rate_of_all, true AS latency_of_all FROM detections""")
 def _(spark, d):
     late = C("ts") < F.lit("2024-01-10").cast("timestamp")
     _, metrics = J.monitored(detections(spark, d), late, run_directory(spark, "health"))
-    return J.health(metrics).select("received", "dropped", "processed")
+    seconds = metrics.agg(F.sum("seconds")).scalar()
+    whole = (F.abs(C("rows_per_second") * seconds - C("received")) < 1e-6 * (1 + C("received"))).alias("rate_of_all")
+    bounded = ((C("mean_latency_s") > 0) & (C("mean_latency_s") <= C("max_latency_s")) & (C("max_latency_s") <= seconds)).alias("latency_of_all")
+    return J.health(metrics).select("received", "dropped", "processed", whole, bounded)
+
+
+@query("n18_stream_rates")
+def _(spark, d):
+    _, metrics = J.monitored(detections(spark, d), F.lit(False), run_directory(spark, "rates"))
+    return J.health(metrics)
 
 
 @query("a22_topic_source", f"SELECT CAST(id AS VARCHAR) AS key, t AS topic FROM (SELECT id, {TOPIC_SQL} AS t FROM detections) WHERE regexp_matches(t, '^site/3(/.*)?$')")
@@ -193,7 +211,39 @@ def _(spark, d):
     return spark.read.schema("key string, topic string").json(out).select("key", "topic")
 
 
-@query("a24_replay_from_position", "SELECT CAST(id AS VARCHAR) AS key FROM detections WHERE ts > TIMESTAMP '2024-01-15'")
-def _(spark, d):
-    stream = topics.after_position(topics.subscribe(spark, _published(spark, d)), "2024-01-15 00:00:00", "")
-    return J.append(stream.select("key"), "replay")
+def _log(spark, d, part):
+    """The detections as messages; ``part`` picks those of an even or odd number."""
+    t = V.detections(spark, d).filter(C("id") % 2 == part)
+    return t.select(F.concat(F.lit("site/"), (C("id") % 5).cast("string")).alias("topic"), C("id").cast("string").alias("key"), F.to_json(F.struct("confidence")).alias("value"), C("ts").cast("timestamp").alias("ts"))
+
+
+@query("a24_replay_from_position", "SELECT CAST(id AS VARCHAR) AS key, id % 2 AS run FROM detections WHERE ts > TIMESTAMP '2024-01-15'")
+def _(spark, d):
+    home = run_directory(spark, "consumers")
+    group = consumers.Group(spark, f"{home}/log", home, "late", start="2024-01-15 00:00:00")
+    runs = []
+    for part in (0, 1):  # the log grows between the runs of the consumer
+        consumers.append(_log(spark, d, part), group.log)
+        runs.append(group.deliver(f"2024-03-01 00:0{part}:00").select("key", F.lit(part).cast("long").alias("run")))
+    return runs[0].unionByName(runs[1])
+
+
+@query("a24_pending_and_claimed", """SELECT CAST(id AS VARCHAR) AS key, CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS deliveries, id % 3 = 0 AND id % 5 <> 1 AS pending FROM detections WHERE id % 5 < 3""")
+def _(spark, d):
+    home = run_directory(spark, "consumers")
+    names = [consumers.Group(spark, f"{home}/log", home, "workers", pattern=f"site/{k}") for k in range(3)]
+    for part in (0, 1):
+        consumers.append(_log(spark, d, part), names[0].log)
+    rows = []
+    for k, group in enumerate(names):
+        group.name = f"workers-{k}"
+        got = group.deliver("2024-03-01 00:00:00", members=("a", "b"))
+        group.acknowledge(got.filter("cast(key as long) % 3 <> 0"))
+        early = group.claim("b", "2024-03-01 00:00:30", idle_seconds=60)  # too early for any
+        again = group.claim("b", "2024-03-01 00:02:00", idle_seconds=60)
+        if k == 1:
+            group.acknowledge(again)
+        tries = got.select("key").unionByName(early.select("key")).unionByName(again.select("key")).groupBy("key").agg(F.count("*").alias("deliveries"))
+        open_ = group.pending().filter("deliveries = 2 and member = 'b'").select("key", F.lit(True).alias("pending"))
+        rows.append(tries.join(open_, "key", "left").select("key", "deliveries", F.coalesce("pending", F.lit(False)).alias("pending")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -1,10 +1,14 @@
 """Keyed state with event-time timers, right across micro-batches.
 
 Rows of a key may come in any order the watermark allows, also over several micro-batches.
-They wait in the key's state until the watermark has passed them and are then folded in
-(time, id) order, so the result is that of the whole sorted stream.  What waits is bounded
-by the watermark's delay.  A key that was silent for ``forget_s`` loses its state, and its
-next row starts afresh.
+They wait in the key's map state, one entry for each slot of time they fall into.  A timer at
+the slot's end fires once the watermark has passed it; the slot's rows are then folded in
+(time, id) order and its entry removed, so the result is that of the whole sorted stream.  A
+batch reads and writes the slots of its own rows and of the timers that fire, never what else
+waits.  What waits is bounded by the watermark's delay.
+
+A key that was silent for ``forget_s`` loses its state, and its next row starts afresh.  State
+is kept by the RocksDB provider, so it may outgrow an executor's memory.
 """
 
 from __future__ import annotations
@@ -14,76 +18,150 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 US = 1_000_000
 FORGET_S = 90 * 86400.0
-STATE = "times array<long>, ids array<long>, held array<double>, memory array<double>"
+SLOT_S = 60.0
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _micros(series) -> np.ndarray:
     return series.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-def in_order(stream: DataFrame, key: str, values: list[str], out: str, start: list[float], step: Callable, quiet: Callable | None = None,
-             ts: str = "ts", tie: str = "id", forget_s: float = FORGET_S) -> DataFrame:
-    """``step(key, memory, at, id, values)`` for each row in order, giving the new memory and rows out.
-
-    ``memory`` is a list of numbers that begins as ``start``.  ``quiet(key, memory, now)`` is
-    asked when nothing waits and the time has come that it named; it gives the new memory, rows
-    out and the next such time, or None.  Times are microseconds.
+class InOrder(StatefulProcessor):
+    """``fold(key, memory, times, ids, values)`` for the rows of a slot, in order, and
+    ``quiet(key, memory, now)`` when all rows before ``now`` are folded."""
+
+    def __init__(self, values, names, start, fold, quiet, ts, tie, slot_us, forget_us):
+        self.values, self.names, self.start, self.fold, self.quiet = values, names, start, fold, quiet
+        self.ts, self.tie, self.slot_us, self.forget_us = ts, tie, slot_us, forget_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slot long", "times array<long>, ids array<long>, held array<double>")
+        self.memory = handle.getValueState("memory", "numbers array<double>, latest long, timer_ms long, slots array<long>")
+
+    def _end_ms(self, us: int) -> int:
+        """End of the slot that holds a time."""
+        return -(-((us // self.slot_us + 1) * self.slot_us) // 1000)
+
+    def _known(self):
+        """Memory, time of the last row folded, the quiet or forgetting timer that stands, slots that wait."""
+        if not self.memory.exists():
+            return list(self.start), None, -1, []
+        numbers, latest, timer_ms, slots = self.memory.get()
+        return list(numbers), latest, timer_ms, list(slots)
+
+    def handleInputRows(self, key, rows, timerValues):
+        width, (numbers, latest, timer_ms, slots) = len(self.values), self._known()
+        held_slots = set(slots)
+        for pdf in rows:
+            times, ids = _micros(pdf[self.ts]), pdf[self.tie].to_numpy(np.int64)
+            held = pdf[self.values].to_numpy(float).reshape(len(pdf), width)
+            own_slot = times // self.slot_us
+            for slot in np.unique(own_slot).tolist():
+                own = own_slot == slot
+                new = times[own].tolist(), ids[own].tolist(), held[own].ravel().tolist()
+                if slot in held_slots:
+                    new = tuple(list(a) + b for a, b in zip(self.waiting.getValue((slot,)), new))
+                else:
+                    held_slots.add(slot)
+                    self.handle.registerTimer(self._end_ms(slot * self.slot_us))
+                self.waiting.updateValue((slot,), new)
+        self.memory.update((numbers, latest, timer_ms, sorted(held_slots)))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        fired_ms, mark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() * 1000
+        slot = (fired_ms * 1000 - 1) // self.slot_us
+        numbers, latest, timer_ms, slots = self._known()
+        made = []
+        if slot in slots:
+            slots.remove(slot)
+            times, ids, held = (np.array(x) for x in self.waiting.getValue((slot,)))
+            self.waiting.removeKey((slot,))
+            order = np.lexsort((ids, times))
+            times, ids = times[order].astype(np.int64), ids[order].astype(np.int64)
+            held = held.reshape(len(times), len(self.values)).astype(float)[order]
+            before = np.concatenate([[times[0] if latest is None else latest], times[:-1]])
+            cuts = np.flatnonzero(times - before > self.forget_us).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(times)]):
+                if a in cuts:  # silent for too long before this row
+                    if self.quiet is not None:
+                        made.append(self.quiet(key[0], numbers, int(times[a]))[1])
+                    numbers = list(self.start)
+                if a < b:
+                    numbers, rows = self.fold(key[0], numbers, times[a:b], ids[a:b], held[a:b])
+                    made.append(rows)
+            latest = int(times[-1])
+        if latest is None:
+            return iter([])
+        now, due = min([mark, *[s * self.slot_us for s in slots[:1]]]), None
+        if self.quiet is not None:
+            numbers, rows, due = self.quiet(key[0], numbers, now)
+            made.append(rows)
+        if not slots and latest + self.forget_us <= mark:
+            self.memory.clear()
+            return self._frames(made)
+        if timer_ms * 1000 <= mark:  # one timer stands at a time, for the earlier of both needs
+            wanted = min(latest + self.forget_us, int(due)) if due is not None and due > mark else latest + self.forget_us
+            timer_ms = self._end_ms(max(wanted, mark))
+            self.handle.registerTimer(timer_ms)
+        elif due is not None and mark < due and self._end_ms(int(due)) < timer_ms:
+            timer_ms = self._end_ms(int(due))
+            self.handle.registerTimer(timer_ms)
+        self.memory.update(([float(x) for x in numbers], latest, timer_ms, slots))
+        return self._frames(made)
+
+    def _frames(self, made: list):
+        return iter([pd.DataFrame(rows, columns=self.names) for rows in made if len(rows)])
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame, key: str, values: list[str], out: str, start: list[float], fold: Callable, quiet: Callable | None = None,
+             ts: str = "ts", tie: str = "id", forget_s: float = FORGET_S, slot_s: float = SLOT_S) -> DataFrame:
+    """``fold(key, memory, times, ids, values)`` for every key's rows in order, some at a time,
+    giving the new memory and rows out; ``values`` has a row of numbers for each.
+
+    ``memory`` is a list of numbers that begins as ``start``.  ``quiet(key, memory, now)`` gives
+    the new memory, rows out and the next time to ask, or None; all rows before ``now`` are
+    folded by then.  Times are microseconds.  Rows leave ``slot_s`` late at most; longer slots
+    mean fewer entries and timers.
     """
-    names, width = [f.split()[0] for f in out.split(", ")], len(values)
-
-    def update(k, pdfs, state: GroupState):
-        times, ids, held, memory = (list(x) for x in state.get) if state.exists else ([], [], [], list(start))
-        if not state.hasTimedOut:
-            for p in pdfs:
-                times += _micros(p[ts]).tolist()
-                ids += p[tie].tolist()
-                held += p[values].to_numpy(float).ravel().tolist()
-        mark, rows = state.getCurrentWatermarkMs() * 1000, []
-        order = sorted(range(len(times)), key=lambda i: (times[i], ids[i]))
-        ready = [i for i in order if times[i] <= mark]
-        for i in ready:
-            memory, made = step(k[0], memory, times[i], ids[i], held[i * width:(i + 1) * width])
-            rows += made
-        waiting = order[len(ready):]
-        latest = max([times[i] for i in ready], default=None)
-        due = None
-        if waiting:
-            due = times[waiting[0]]
-        elif quiet is not None:
-            memory, made, due = quiet(k[0], memory, mark)
-            rows += made
-        if due is None and not waiting:
-            if state.hasTimedOut and latest is None:  # silent for long enough
-                state.remove()
-                yield pd.DataFrame(rows, columns=names)
-                return
-            due = (mark if latest is None else latest) + int(forget_s * US)
-        state.update(([times[i] for i in waiting], [ids[i] for i in waiting], [x for i in waiting for x in held[i * width:(i + 1) * width]], [float(x) for x in memory]))
-        state.setTimeoutTimestamp(max(int(due) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=names)
-
-    return stream.groupBy(key).applyInPandasWithState(update, out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    spark = stream.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    names = [f.split()[0] for f in out.split(", ")]
+    processor = InOrder(values, names, start, fold, quiet, ts, tie, int(slot_s * US), int(forget_s * US))
+    return stream.groupBy(key).transformWithStateInPandas(processor, StructType.fromDDL(out), "append", "EventTime")
 
 
 def _stamp(us: float) -> pd.Timestamp:
     return pd.Timestamp(int(us), unit="us")
 
 
-def cooldown(stream: DataFrame, key: str, key_type: str, seconds: float, ts: str = "ts", tie: str = "id") -> DataFrame:
+def cooldown(stream: DataFrame, key: str, key_type: str, seconds: float, ts: str = "ts", tie: str = "id", slot_s: float = SLOT_S) -> DataFrame:
     """Alerts that fire when each firing silences its key."""
-    def step(k, memory, at, i, _):
-        if at < memory[0]:
-            return memory, []
-        return [at + int(seconds * US)], [(k, i, _stamp(at))]
+    silence = max(int(seconds * US), 0)
+
+    def fold(k, memory, times, ids, _):
+        until, made = memory[0], []
+        at = int(np.searchsorted(times, until))
+        while at < len(times):  # from firing to firing
+            made.append((k, ids[at], _stamp(times[at])))
+            until = int(times[at]) + silence
+            at = max(at + 1, int(np.searchsorted(times, until)))
+        return [until], made
 
-    return in_order(stream, key, [], f"{key} {key_type}, {tie} long, {ts} timestamp", [-float(2**62)], step, ts=ts, tie=tie, forget_s=max(seconds, 1.0))
+    return in_order(stream, key, [], f"{key} {key_type}, {tie} long, {ts} timestamp", [-float(2**62)], fold, ts=ts, tie=tie, forget_s=max(seconds, 1.0), slot_s=slot_s)
 
 
-def escalation(stream: DataFrame, schedule_seconds: list[int], ts: str = "ts") -> DataFrame:
+def escalation(stream: DataFrame, schedule_seconds: list[int], ts: str = "ts", slot_s: float = SLOT_S) -> DataFrame:
     """Alert events (alert_id, closes, ts): alerts that nothing closes emit level k at its cumulative delay.
 
     ``closes`` is 0 for the creation and 1 for an answer, which may come first.
@@ -97,31 +175,38 @@ def escalation(stream: DataFrame, schedule_seconds: list[int], ts: str = "ts") -
             made.append((k, level, _stamp(opened + due[level - 1])))
         return [opened, level], made
 
-    def step(k, memory, at, _, values):
-        memory, made = reach(k, memory, at)
-        return ([-1.0, 0.0] if values[0] else [float(at), 0.0]), made
+    def fold(k, memory, times, _, values):
+        made = []
+        for at, closes in zip(times.tolist(), values[:, 0].tolist()):
+            memory, reached = reach(k, memory, at)
+            made += reached
+            memory = [-1.0, 0.0] if closes else [float(at), 0.0]
+        return memory, made
 
     def quiet(k, memory, now):
         memory, made = reach(k, memory, now)
         opened, level = memory[0], int(memory[1])
         return memory, made, opened + due[level] if opened >= 0 and level < len(due) else None
 
-    return in_order(stream, "alert_id", ["closes"], "alert_id long, level int, due_ts timestamp", [-1.0, 0.0], step, quiet, ts=ts, tie="closes", forget_s=sum(schedule_seconds))
+    return in_order(stream, "alert_id", ["closes"], "alert_id long, level int, due_ts timestamp", [-1.0, 0.0], fold, quiet, ts=ts, tie="closes", forget_s=sum(schedule_seconds), slot_s=slot_s)
 
 
-def presence(stream: DataFrame, key: str, silence_seconds: float, ts: str = "ts", tie: str = "id") -> DataFrame:
+def presence(stream: DataFrame, key: str, silence_seconds: float, ts: str = "ts", tie: str = "id", slot_s: float = SLOT_S) -> DataFrame:
     """ACTIVE at the first message, LOST after the silence, RECOVERED at the next message."""
     silence = int(silence_seconds * US)
 
-    def step(k, memory, at, *_):
+    def fold(k, memory, times, *_):
         last, lost = memory
-        if last < 0:
-            made = [(k, "ACTIVE", _stamp(at))]
-        elif lost or at - last > silence:
-            made = ([] if lost else [(k, "LOST", _stamp(last + silence))]) + [(k, "RECOVERED", _stamp(at))]
-        else:
-            made = []
-        return [at, 0], made
+        made = [(k, "ACTIVE", _stamp(times[0]))] if last < 0 else []
+        before = np.concatenate([[times[0] if last < 0 else int(last)], times[:-1]])
+        breaks = times - before > silence
+        if lost:
+            breaks[0] = True
+        for i in np.flatnonzero(breaks).tolist():
+            if i or not lost:
+                made.append((k, "LOST", _stamp(before[i] + silence)))
+            made.append((k, "RECOVERED", _stamp(times[i])))
+        return [times[-1], 0], made
 
     def quiet(k, memory, now):
         last, lost = memory
@@ -131,32 +216,48 @@ def presence(stream: DataFrame, key: str, silence_seconds: float, ts: str = "ts"
             return [last, 1], [(k, "LOST", _stamp(last + silence))], None
         return memory, [], last + silence + 1000
 
-    return in_order(stream, key, [], f"{key} string, state string, {ts} timestamp", [-1.0, 0.0], step, quiet, ts=ts, tie=tie)
+    return in_order(stream, key, [], f"{key} string, state string, {ts} timestamp", [-1.0, 0.0], fold, quiet, ts=ts, tie=tie, slot_s=slot_s)
 
 
-def kalman(stream: DataFrame, key: str, dt: float = 0.1, q: float = 0.1, r: float = 1.0, ts: str = "ts", tie: str = "id") -> DataFrame:
+def kalman(stream: DataFrame, key: str, dt: float = 0.1, q: float = 0.1, r: float = 1.0, ts: str = "ts", tie: str = "id", slot_s: float = SLOT_S) -> DataFrame:
     """Constant-velocity smoothing of latitude and longitude, one small state per track."""
     f, noise = np.array([[1.0, dt], [0.0, 1.0]]), np.diag([q * dt**4 / 4, q * dt**2 / 2])
 
-    def step(k, memory, _, i, z):
-        x, p = np.array(memory[1:5]).reshape(2, 2), np.array(memory[5:]).reshape(2, 2)
-        if not memory[0]:
-            x = np.vstack([z, [0.0, 0.0]])
-        else:
-            x, p = f @ x, f @ p @ f.T + noise
-            g = p[:, 0] / (p[0, 0] + r)
-            x, p = x + np.outer(g, z - x[0]), p - np.outer(g, p[0])
-        return [1.0, *x.ravel(), *p.ravel()], [(k, i, x[0, 0], x[0, 1])]
+    def fold(k, memory, _, ids, values):
+        begun, x, p, made = memory[0], np.array(memory[1:5]).reshape(2, 2), np.array(memory[5:]).reshape(2, 2), []
+        for i, z in zip(ids.tolist(), values):
+            if not begun:
+                begun, x = 1.0, np.vstack([z, [0.0, 0.0]])
+            else:
+                x, p = f @ x, f @ p @ f.T + noise
+                g = p[:, 0] / (p[0, 0] + r)
+                x, p = x + np.outer(g, z - x[0]), p - np.outer(g, p[0])
+            made.append((k, i, x[0, 0], x[0, 1]))
+        return [begun, *x.ravel(), *p.ravel()], made
 
     start = [0.0] * 5 + [100.0, 0.0, 0.0, 100.0]
-    return in_order(stream, key, ["latitude", "longitude"], f"{key} string, {tie} long, latitude double, longitude double", start, step, ts=ts, tie=tie)
+    return in_order(stream, key, ["latitude", "longitude"], f"{key} string, {tie} long, latitude double, longitude double", start, fold, ts=ts, tie=tie, slot_s=slot_s)
 
 
-def noise_trigger(stream: DataFrame, key: str, key_type: str, value: str, margin: float = 10.0, weight: float = 0.05, initial: float | None = None, ts: str = "ts", tie: str = "id") -> DataFrame:
+def noise_trigger(stream: DataFrame, key: str, key_type: str, value: str, margin: float = 10.0, weight: float = 0.05, initial: float | None = None, ts: str = "ts", tie: str = "id", slot_s: float = SLOT_S) -> DataFrame:
     """Running floor per key and the flag ``value > floor + margin``."""
-    def step(k, memory, _, i, values):
-        x = values[0]
-        floor = x if np.isnan(memory[0]) else (1 - weight) * memory[0] + weight * x
-        return [floor], [(k, i, floor, bool(x > floor + margin))]
+    def fold(k, memory, _, ids, values):
+        floor, floors, x = memory[0], [], values[:, 0]
+        for v in x.tolist():
+            floor = v if floor != floor else (1 - weight) * floor + weight * v
+            floors.append(floor)
+        return [floor], list(zip([k] * len(x), ids.tolist(), floors, (x > np.array(floors) + margin).tolist()))
+
+    return in_order(stream, key, [value], f"{key} {key_type}, {tie} long, floor double, triggered boolean", [float("nan") if initial is None else initial], fold, ts=ts, tie=tie, slot_s=slot_s)
+
+
+def duplicates(stream: DataFrame, key: str, window_s: float, ts: str = "ts", tie: str = "id", slot_s: float = SLOT_S) -> DataFrame:
+    """Rows whose key was not seen within ``window_s`` before; every row renews the window."""
+    width = int(window_s * US)
+
+    def fold(k, memory, times, ids, _):
+        before = np.concatenate([[memory[0]], times[:-1]])
+        fresh = times - before > width
+        return [times[-1]], [(k, i, _stamp(t)) for i, t in zip(ids[fresh].tolist(), times[fresh].tolist())]
 
-    return in_order(stream, key, [value], f"{key} {key_type}, {tie} long, floor double, triggered boolean", [float("nan") if initial is None else initial], step, ts=ts, tie=tie)
+    return in_order(stream, key, [], f"{key} string, {tie} long, {ts} timestamp", [-float(2**62)], fold, ts=ts, tie=tie, forget_s=max(window_s, 1.0), slot_s=slot_s)

@@ -46,3 +46,34 @@ def test_answer_before_creation(spark, tmp_path):
     stream = rows.select(F.col("id").alias("alert_id"), F.col("value").cast("int").alias("closes"), "ts")
     got = {(r.alert_id, r.level) for r in jobs.append(stateful.escalation(stream, [60, 60]), "out").collect() if r.alert_id > 0}
     assert got == {(1, 1), (2, 1), (2, 2)}
+
+
+def test_slots_change_nothing(spark, tmp_path):
+    """Short and long slots, and rows dealt over batches out of order, give the same rows."""
+    import random
+    rng = random.Random(3)
+    rows = [("ab"[k % 2], k, 10.0 * k + rng.random(), float(rng.randrange(20))) for k in range(120)]
+    late = sorted(rows, key=lambda r: r[2] + rng.random() * 80)
+    found = []
+    for n, slot in enumerate((1.0, 45.0, 5000.0)):
+        stream = replay(spark, tmp_path / f"{n}", [late[k:k + 40] for k in range(0, 120, 40)] + [END], ["id", "ts", "value"])
+        out = [stateful.noise_trigger(stream, "key", "string", "value", slot_s=slot), stateful.cooldown(stream, "key", "string", 75, slot_s=slot), stateful.duplicates(stream, "key", 20.2, slot_s=slot)]
+        found.append([sorted(map(str, jobs.append(o, f"out-{n}-{k}").filter("id >= 0").collect())) for k, o in enumerate(out)])
+    assert found[0] == found[1] == found[2] and all(found[0])
+    ordered = {key: sorted((r for r in rows if r[0] == key), key=lambda r: r[2]) for key in "ab"}
+    want = []
+    for own in ordered.values():
+        until = float("-inf")
+        for r in own:
+            if r[2] >= until:
+                want.append(r[1])
+                until = r[2] + 75
+    assert len(found[0][1]) == len(want)
+
+
+def test_silent_key_starts_afresh(spark, tmp_path):
+    stream = replay(spark, tmp_path, [[("k", 1, 10.0, 50.0)], [("x", 9, 5_000.0, 0.0)], [("k", 2, 6_000.0, 0.0)], END], ["id", "ts", "value"])
+    def fold(k, memory, times, ids, values):
+        return [memory[0] + len(times)], [(k, int(i), memory[0] + n + 1) for n, i in enumerate(ids)]
+    out = stateful.in_order(stream, "key", ["value"], "key string, id long, seen double", [0.0], fold, forget_s=1000.0)
+    assert {(r.id, r.seen) for r in jobs.append(out, "out").collect() if r.id > 0 and r.key == "k"} == {(1, 1.0), (2, 1.0)}
