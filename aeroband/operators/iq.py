@@ -409,3 +409,16 @@ def lagged_products(df: DataFrame, key: str, t: str, value: str, lags: list[int]
     shifted = df.select(key, F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"), C(t).alias("_t"), C(value).alias("_y"))
     shifted = shifted.select(key, "lag", (C("_t") - C("lag")).alias(t), "_y")
     return df.join(shifted, [key, t]).groupBy(key, "lag").agg(F.sum(C(value) * C("_y")).alias("correlation"))
+
+
+def lagged_products_of_bins(df: DataFrame, key: str, t: str, values: str, lags: list[int], bins: int) -> DataFrame:
+    """Σ x[t]·x[t+lag] per key, lag and bin of the array ``values``.
+
+    Arrays meet whole, one row for each frame and lag; the sums of all bins are partial
+    aggregates of one pass, and only they are taken apart.
+    """
+    shifted = df.select(key, F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"), C(t).alias("_t"), C(values).alias("_y"))
+    shifted = shifted.select(key, "lag", (C("_t") - C("lag")).alias(t), "_y")
+    sums = [F.sum(F.get(C(values), F.lit(b)) * F.get(C("_y"), F.lit(b))).alias(f"_{b}") for b in range(bins)]
+    summed = df.join(shifted, [key, t]).groupBy(key, "lag").agg(*sums)
+    return summed.select(key, "lag", F.posexplode(F.array(*[f"_{b}" for b in range(bins)])).alias("bin", "correlation")).filter("correlation is not null")

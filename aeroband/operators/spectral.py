@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aeroband.functions import arrays as X
@@ -286,6 +289,29 @@ def periodicity(series, update_hz: float = 10.0, minimum: int = 10) -> Column:
     return X.let(series, build)
 
 
+def _periods(batches, scale: float, update_hz: float, minimum: int):
+    for pdf in batches:
+        rows = []
+        for band, history in pdf.itertuples(index=False):
+            x = np.array([list(r) for r in history], float) * scale  # spectra by bins
+            n = len(x)
+            lags = np.array([(x[:n - k] * x[k:]).sum(axis=0) for k in range(n)])
+            inner = lags[1:-1]
+            peak = (inner > lags[:-2]) & (inner > lags[2:]) & (inner >= 0.3 * lags.max(axis=0)) if n > 2 else np.zeros((0, x.shape[1]), bool)
+            for b in range(x.shape[1]):
+                at = np.flatnonzero(peak[:, b])
+                rows.append((band, b, float(at[1] - at[0]) / update_hz if n >= minimum and len(at) > 1 else None))
+        yield pd.DataFrame(rows, columns=["band", "bin", "period_s"])
+
+
+def bin_periods(newest: DataFrame, band: str, order: str, values: str, scale: float = 1.0, update_hz: float = 10.0, minimum: int = 10) -> DataFrame:
+    """(band, bin, period_s): ``periodicity`` of every bin of the bounded histories of a waterfall."""
+    history = newest.groupBy(band).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, values))), lambda r: r[values]).alias("_history"))  # the waterfall's rows
+    kind = newest.schema[band].dataType.simpleString()
+    found = history.mapInPandas(partial(_periods, scale=scale, update_hz=update_hz, minimum=minimum), f"band {kind}, bin int, period_s double")
+    return found.withColumnRenamed("band", band)
+
+
 # Channel bands (Hz).
 DRONE_BANDS = {"2.4GHz": (2.4e9, 2.4835e9), "5.2GHz": (5.15e9, 5.25e9), "5.8GHz": (5.725e9, 5.875e9)}
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aeroband.functions import arrays as X, numeric
 from aeroband.functions.numeric import rounded
-from aeroband.operators import iq as I, ordered, peaks as K, spectral as S, transforms as T
+from aeroband.operators import baselines as B, iq as I, ordered, peaks as K, spectral as S, transforms as T
 from aeroband.plans import views as V
 from aeroband.plans.registry import query
 from aeroband.plans.sequences import FRAME, MAXIMA
@@ -376,12 +376,14 @@ def _(spark, d):
     return S.match_signatures(V.psd_frames(spark, d), _signatures(spark, d), 8.0, 5).select("frame_id", "signature_id")
 
 
-@query("d22_lagged_self_join", """SELECT a.label, l.k AS lag, round(sum(a.v * b.v), 6) AS correlation FROM (SELECT label, vec_id, embedding[1]::DOUBLE * 10 AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t FROM embeddings) a
-   JOIN (SELECT label, embedding[1]::DOUBLE * 10 AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t FROM embeddings) b ON a.label = b.label, (VALUES (0),(1),(2),(5)) l(k) WHERE b.t = a.t + l.k GROUP BY 1, 2""")
+@query("d22_lagged_self_join", """WITH s AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t FROM embeddings),
+   x AS (SELECT label, t, generate_subscripts(embedding, 1) - 1 AS bin, unnest(embedding)::DOUBLE * 10 AS v FROM s)
+   SELECT a.label, l.k AS lag, CAST(a.bin AS INTEGER) AS bin, round(sum(a.v * b.v), 6) AS correlation
+   FROM (VALUES (0),(1),(2),(5)) l(k), x a JOIN x b ON a.label = b.label AND a.bin = b.bin WHERE b.t = a.t + l.k GROUP BY 1, 2, 3""")
 def _(spark, d):
-    s = table(spark, d, "embeddings").select("label", "vec_id", (F.element_at("embedding", 1).cast("double") * 10).alias("v"))
+    s = table(spark, d, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double") * 10).alias("v"))
     t = ordered.row_numbers(s, "label", ["vec_id"], F.floor(C("vec_id") / 4096), "t")
-    return r6(I.lagged_products(t, "label", "t", "v", [0, 1, 2, 5]))
+    return r6(I.lagged_products_of_bins(t, "label", "t", "v", [0, 1, 2, 5], bins=64))
 
 
 # ------------------------------------------------------------------------ interference
@@ -390,20 +392,48 @@ def _(spark, d):
     return r6(V.psd_frames(spark, d).select("frame_id", F.inline(S.interference("psd"))))
 
 
+HISTORY = """WITH h AS (SELECT label, frame_id, bin, floor(psd_db / 0.01 + 0.5) AS level FROM spectra),
+   b AS (SELECT frame_id, bin, (median(level) OVER (PARTITION BY label, bin ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) * 0.01 AS baseline FROM h)"""
+
+
+def _with_history(spark, d):
+    f = V.psd_frames(spark, d)
+    return B.history_median(f, "label", "frame_id", "psd", F.floor(C("frame_id") / 4096))
+
+
+@query("o36_history_baseline", HISTORY + " SELECT frame_id, bin, round(baseline + 1e-10, 6) AS baseline FROM b")
+def _(spark, d):
+    rows = _with_history(spark, d).select("frame_id", F.posexplode("baseline").alias("bin", "baseline"))
+    return rows.withColumn("baseline", F.round(C("baseline") + 1e-10, 6))
+
+
+@query("o36_history_excess", HISTORY + """ SELECT s.frame_id, CAST(count(*) FILTER (WHERE psd_db - baseline > 10) AS BIGINT) AS bins_over, round(max(psd_db - baseline), 4) AS most
+   FROM spectra s JOIN b USING (frame_id, bin) GROUP BY 1""")
+def _(spark, d):
+    over = F.zip_with("psd", "baseline", lambda x, b: x - b)
+    return _with_history(spark, d).select("frame_id", F.size(F.filter(over, lambda x: x > 10)).cast("long").alias("bins_over"), F.round(F.array_max(over), 4).alias("most"))
+
+
+@query("o36_history_interference")
+def _(spark, d):
+    found = S.interference("psd", baseline=lambda v: F.when(F.exists("baseline", lambda b: b.isNull()), K.moving_median(v)).otherwise(C("baseline")))
+    return r6(_with_history(spark, d).select("frame_id", F.inline(found)))
+
+
 @query("o37_interference_types")
 def _(spark, d):
     found = V.psd_frames(spark, d).select("frame_id", F.inline(S.interference("psd")))
     return found.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("severity"), 6).alias("mean_severity"))
 
 
-@query("o38_interference_periodicity", """WITH h AS (SELECT label, list(v ORDER BY vec_id) AS s FROM (SELECT label, vec_id, embedding[5]::DOUBLE * 100 AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) r FROM embeddings) WHERE r <= 100 GROUP BY 1),
-   a AS (SELECT label, len(s) AS n, list_transform(range(len(s)), lambda k: list_sum(list_transform(range(1, len(s) - k + 1), lambda t: s[t] * s[t + k]))) AS ac FROM h),
-   p AS (SELECT label, n, list_filter(range(2, n), lambda k: ac[k] > ac[k-1] AND ac[k] > ac[k+1] AND ac[k] >= 0.3 * list_max(ac)) AS pk FROM a)
-   SELECT label, round(CASE WHEN n >= 10 AND len(pk) > 1 THEN (pk[2] - pk[1]) / 10.0::DOUBLE END, 6) AS period_s FROM p""")
+@query("o38_interference_periodicity", """WITH h AS (SELECT label, bin, list(v ORDER BY vec_id) AS s FROM (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS bin, unnest(embedding)::DOUBLE * 100 AS v
+     FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) r FROM embeddings) WHERE r <= 100) GROUP BY 1, 2),
+   a AS (SELECT label, bin, len(s) AS n, list_transform(range(len(s)), lambda k: list_sum(list_transform(range(1, len(s) - k + 1), lambda t: s[t] * s[t + k]))) AS ac FROM h),
+   p AS (SELECT label, bin, n, list_filter(range(2, n), lambda k: ac[k] > ac[k-1] AND ac[k] > ac[k+1] AND ac[k] >= 0.3 * list_max(ac)) AS pk FROM a)
+   SELECT label, CAST(bin AS INTEGER) AS bin, round(CASE WHEN n >= 10 AND len(pk) > 1 THEN (pk[2] - pk[1]) / 10.0::DOUBLE END, 6) AS period_s FROM p""")
 def _(spark, d):
-    w = S.waterfall(table(spark, d, "embeddings").select("label", "vec_id", (F.element_at("embedding", 5).cast("double") * 100).alias("v")), "label", "vec_id", 100)
-    series = w.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "v"))), lambda r: r["v"]).alias("s"))
-    return r6(series.select("label", S.periodicity("s").alias("period_s")))
+    newest = S.waterfall(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", 100)
+    return r6(S.bin_periods(newest, "label", "vec_id", "embedding", scale=100.0).select("label", "bin", "period_s"))
 
 
 @query("o39_channel_analysis", """SELECT frame_id, round(sum(psd_db), 6) AS total_power, round(max(psd_db), 6) AS peak_power, round(avg(psd_db), 6) AS average_power, round(quantile_cont(psd_db, 0.1), 6) AS noise_floor,
@@ -566,12 +596,14 @@ def _(spark, d):
     return long_iq(I.resample_linear(frames(spark, d), 2e6, 1.5e6))
 
 
-@query("o59_triggered_capture", """WITH t AS (SELECT id AS trigger_id, emitter, ts FROM detections WHERE confidence > 0.85)
+@query("o59_triggered_capture", """WITH k AS (SELECT emitter, list([[epoch_us(ts), id]] ORDER BY ts, id) AS v FROM detections WHERE confidence > 0.85 GROUP BY 1),
+   f AS (SELECT emitter, unnest(list_reduce(v, lambda a, b: CASE WHEN b[1][1] - a[-1][1] >= 36000000000 THEN list_concat(a, b) ELSE a END)) AS x FROM k),
+   t AS (SELECT CAST(x[2] AS BIGINT) AS trigger_id, emitter, make_timestamp(CAST(x[1] AS BIGINT)) AS ts FROM f)
    SELECT t.trigger_id, d.id FROM t JOIN detections d ON d.emitter = t.emitter AND d.ts BETWEEN t.ts - INTERVAL 2 HOUR AND t.ts + INTERVAL 4 HOUR""")
 def _(spark, d):
     from aeroband.operators.detectors import triggered_capture
     det = V.detections(spark, d).select("id", "emitter", "ts", "confidence")
-    return triggered_capture(det, C("confidence") > 0.85, ["emitter"], before_s=7200, after_s=14400, spacing_s=0).select("trigger_id", "id")
+    return triggered_capture(det, C("confidence") > 0.85, ["emitter"], before_s=7200, after_s=14400, spacing_s=36000).select("trigger_id", "id")
 
 
 @query("o61_window_statistics", """SELECT frame_id, round(max(psd_db),6) AS peak, round(min(psd_db),6) AS floor, round(avg(psd_db),6) AS average, round(max(psd_db)-min(psd_db),6) AS dynamic_range,
