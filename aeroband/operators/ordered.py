@@ -126,9 +126,9 @@ def beside(df: DataFrame, facts: DataFrame, keys) -> DataFrame:
     return df.join(facts, list(keys)) if keys else df.crossJoin(F.broadcast(facts))
 
 
-def order_statistics(df: DataFrame, keys, value: str, ranks: dict[str, Column]) -> DataFrame:
+def order_statistics(df: DataFrame, keys, value: str, ranks: dict[str, Column], buckets: int = 4096) -> DataFrame:
     """Exact order statistics of unbounded groups: (keys, names of ``ranks``); see ``_statistics``."""
-    return _statistics(df, keys, value, ranks).drop("n")
+    return _statistics(df, keys, value, ranks, buckets).drop("n")
 
 
 def _statistics(df: DataFrame, keys, value: str, ranks: dict[str, Column], buckets: int = 4096) -> DataFrame:

@@ -48,8 +48,8 @@ def _whole_groups(batches, names: list[str]):
 
 def _scan(df: DataFrame, keys: list[str], order: list[str], segment: Column, needs: list[str], summary_fields, summarise, entry_fields, chain,
           output_fields, emit) -> DataFrame:
-    """``summarise(columns)`` → summary values; ``chain(summary columns)`` → entry states per slice;
-    ``emit(columns, state)`` → (row mask or None, new columns).  Columns are NumPy arrays of ``needs``."""
+    """``summarise(columns)`` → summary values; ``chain(state, *summary)`` → a slice's entry state and the
+    next slice's state, from None on; ``emit(columns, state)`` → (row mask or None, new columns).  Columns are NumPy arrays of ``needs``."""
     key_fields = [_field(df, k) for k in keys]
     seg_field = T.StructField(SEG, T.LongType())
     group = [*keys, SEG]
@@ -69,12 +69,14 @@ def _scan(df: DataFrame, keys: list[str], order: list[str], segment: Column, nee
         summaries_of, T.StructType([*key_fields, seg_field, *summary_fields]))
 
     def entries_of(batches):
-        for pdf, starts in _whole_groups(batches, keys):
-            cols = {c: pdf[c].to_numpy() for c in summary_names}
-            states = []
-            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
-                states.extend(chain({c: a[lo:hi] for c, a in cols.items()}))
-            out = pdf[group].copy()
+        held, state = None, None
+        for pdf in batches:
+            out, states = pdf[group].copy(), []
+            for key, row in zip(pdf[keys].itertuples(index=False, name=None), pdf[summary_names].itertuples(index=False, name=None)):
+                if held != key:
+                    held, state = key, None
+                entry, state = chain(state, *row)
+                states.append(entry)
             for k, name in enumerate(entry_names):
                 out[name] = [s[k] for s in states]
             yield out
@@ -128,13 +130,9 @@ def exponential_mean(df: DataFrame, keys, ts: str, tie: str, value: str, weight:
         x = cols[value]
         return len(x), float(x[0]), float(fold(x, 0.0)[-1])
 
-    def chain(cols):
-        state, out = None, []
-        for n, first, local in zip(cols["n"], cols["first"], cols["local"]):
-            state = first if state is None else state
-            out.append((float(state),))
-            state = keep**int(n) * state + local
-        return out
+    def chain(state, n, first, local):
+        state = first if state is None else state
+        return (float(state),), keep**int(n) * state + local
 
     def emit(cols, entry):
         return None, {name: fold(cols[value], entry[0])}
@@ -146,8 +144,10 @@ def exponential_mean(df: DataFrame, keys, ts: str, tie: str, value: str, weight:
 def cooldown(df: DataFrame, keys, ts: str, tie: str, seconds: str, slice_seconds: int = 3600) -> DataFrame:
     """Rows that fire when each firing silences its key for the row's ``seconds`` (constant per key).
 
-    A slice is summarised as a step function from the entry silence end to the exit one;
-    only rows within one cooldown of the slice start can be the first to fire in it.
+    A slice is summarised as a step function from the entry silence end to the exit one, a
+    point for each step; only rows within one cooldown of the slice start can be the first to
+    fire in it, and firings that meet later share a step.  The functions are applied one after
+    another as they stream by, never gathered per key.
     """
     keys = list(keys)
     work = df.withColumn("_us", epoch_us(ts))
@@ -165,16 +165,13 @@ def cooldown(df: DataFrame, keys, ts: str, tie: str, seconds: str, slice_seconds
                 exits[i] = exits[nxt[i]]
         start = int(cols[SEG][0]) * width
         cut = min(int(np.searchsorted(t, start + c, side="left")) + 1, len(t))
-        return t[:cut].tolist(), exits[:cut].tolist()
-
-    def chain(cols):
-        state, out = -(2**62), []
-        for times, exits in zip(cols["times"], cols["exits"]):
-            out.append((int(state),))
-            at = int(np.searchsorted(np.asarray(times, dtype=np.int64), state, side="left"))
-            if at < len(times):
-                state = int(exits[at])
-        return out
+        step = np.append(exits[1:cut] != exits[:cut - 1], True)  # the last time of each step stands for it
+        return t[:cut][step].tolist(), exits[:cut][step].tolist()
+
+    def chain(state, times, exits):
+        state = -(2**62) if state is None else state
+        at = int(np.searchsorted(np.asarray(times, dtype=np.int64), state, side="left"))
+        return (int(state),), int(exits[at]) if at < len(times) else state
 
     def emit(cols, entry):
         t, c = micros(cols)
@@ -252,12 +249,9 @@ def kalman_smooth(df: DataFrame, keys, ts: str, tie: str, axes: list[str], dt: f
             a, b = m @ a, m @ b + np.outer(g, zs[i])
         return a.ravel().tolist(), b.ravel().tolist()
 
-    def chain(cols):
-        state, out = np.zeros((2, len(axes))), []
-        for a, b in zip(cols["a"], cols["b"]):
-            out.append((state.ravel().tolist(),))
-            state = np.asarray(a).reshape(2, 2) @ state + np.asarray(b).reshape(2, -1)
-        return out
+    def chain(state, a, b):
+        state = np.zeros((2, len(axes))) if state is None else state
+        return (state.ravel().tolist(),), np.asarray(a).reshape(2, 2) @ state + np.asarray(b).reshape(2, -1)
 
     def emit(cols, entry):
         k0 = int(cols["_k0"][0])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aeroband.functions import geo
 from aeroband.functions.timing import epoch_us, instant
 from aeroband.operators import ordered
+from aeroband.operators.ordered import SEG
+from aeroband.session import materialise
 
 C = F.col
 STEP_FIELDS = ("_plat", "_plon", "_palt", "_pspeed", "_pus")
@@ -93,28 +95,64 @@ def newest_points(messages: DataFrame, key: str = "uas_id", n: int = 1000) -> Da
     return ordered.top_per_key(messages, [key], [C("ts").desc(), C("id").desc()], n, spread=ordered.time_slice("ts", 86400))
 
 
-def simplify(messages: DataFrame, tolerance_m: float, key: str = "uas_id") -> DataFrame:
+def simplify(messages: DataFrame, tolerance_m: float, key: str = "uas_id", slice_seconds: int = 86400, rounds: int = 8) -> DataFrame:
     """Radial-distance simplification of whole tracks.
 
-    The first point is kept; a later one is kept when it lies at least the tolerance from
-    the last kept point.  That point depends on all before it, so a track is folded in its
-    order; sorted partitions stream through, and only the last kept point is held.
+    The first point is kept; a later one is kept when it lies at least the tolerance from the
+    last kept point.  That point depends on all before it, so slices are folded on trial: first
+    each from its own first point, then again from the last point that the slice before it has
+    kept, until no slice's last kept point changes.  Once a slice keeps a point that it had kept
+    before, all that follows is the same, so few slices change a second time.  Tracks that still
+    change after ``rounds`` are folded from end to end, each in one task that holds one point.
     """
-    ordered_points = messages.select(key, "ts", "id", "latitude", "longitude").repartition(key).sortWithinPartitions(key, "ts", "id")
-    return ordered_points.mapInArrow(partial(_kept_points, tolerance_m=tolerance_m), ordered_points.schema)
+    points = messages.select(key, "ts", "id", "latitude", "longitude").withColumn(SEG, ordered.time_slice("ts", slice_seconds))
+    points = materialise(points, "simplify-points")
+    group, point = [key, SEG], F.struct("latitude", "longitude", "ts", "id")
+    last = lambda kept: kept.groupBy(*group).agg(F.max_by(point, F.struct("ts", "id")).alias("leaves"))
+    kept = [materialise(_folded(points, group, tolerance_m), "simplify-kept")]
+    state = last(kept[0]).select(*group, F.lit(None).cast("struct<latitude:double,longitude:double,ts:timestamp,id:bigint>").alias("enters"), "leaves", F.lit(0).alias("round"))
+    state = materialise(state.withColumn("leaves", C("leaves").cast(state.schema["enters"].dataType)), "simplify-state")
+    along = Window.partitionBy(key).orderBy(SEG)  # a row a slice
+    for turn in range(1, rounds + 2):
+        due = state.withColumn("due", F.lag("leaves").over(along))
+        changed = materialise(due.filter(~C("due").eqNullSafe(C("enters"))), "simplify-changed")
+        if changed.isEmpty() or turn > rounds:
+            break
+        entries = changed.select(key, C("due.ts").cast(points.schema["ts"].dataType).alias("ts"), C("due.id").alias("id"), C("due.latitude").alias("latitude"), C("due.longitude").alias("longitude"), SEG, F.lit(True).alias("_entry"))
+        again = points.join(changed.select(*group), group, "left_semi").withColumn("_entry", F.lit(False))
+        kept.append(materialise(_folded(again.unionByName(entries), group, tolerance_m), "simplify-kept"))
+        leaves = last(kept[-1]).withColumn("leaves", C("leaves").cast(state.schema["leaves"].dataType))
+        new = changed.drop("leaves").join(leaves, group, "left").select(*group, C("due").alias("enters"), F.coalesce("leaves", "due").alias("leaves"), F.lit(turn).alias("round"))
+        state = materialise(state.join(changed.select(*group), group, "left_anti").unionByName(new), "simplify-state")
+    every = reduce(DataFrame.unionByName, [k.withColumn("round", F.lit(n)) for n, k in enumerate(kept)])
+    unsettled = changed.select(key).distinct()
+    settled = every.join(state.select(*group, "round"), [*group, "round"], "left_semi").join(unsettled, key, "left_anti")
+    whole = _folded(points.join(unsettled, key, "left_semi").withColumn(SEG, F.lit(0).cast("long")), group, tolerance_m)
+    return settled.select(key, "ts", "id", "latitude", "longitude").unionByName(whole.select(key, "ts", "id", "latitude", "longitude"))
+
+
+def _folded(points: DataFrame, group: list[str], tolerance_m: float) -> DataFrame:
+    """Kept points of every group; a group's entry row (``_entry``) comes first and is not kept again."""
+    key, seg = group
+    if "_entry" not in points.columns:
+        points = points.withColumn("_entry", F.lit(False))
+    rows = points.select(key, "ts", "id", "latitude", "longitude", seg, "_entry").repartition(*group).sortWithinPartitions(*group, C("_entry").desc(), "ts", "id")
+    return rows.mapInArrow(partial(_kept_points, tolerance_m=tolerance_m), rows.schema).drop("_entry")
 
 
 def _kept_points(batches, tolerance_m: float):
     begun, current, lat, lon = False, None, 0.0, 0.0
     for batch in batches:
-        keys = batch.column(0).to_pylist()
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(5).to_pylist()))
+        entry = batch.column(6).to_numpy(zero_copy_only=False)
         lats, lons = (np.radians(batch.column(k).to_numpy(zero_copy_only=False).astype(float)) for k in (3, 4))
         edges = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
         kept = []
         for at, stop in zip([0, *edges], [*edges, len(keys)]):
             if at < stop and (not begun or keys[at] != current):
                 begun, current, lat, lon = True, keys[at], lats[at], lons[at]
-                kept.append(at)
+                if not entry[at]:
+                    kept.append(at)
                 at += 1
             width = 32
             while at < stop:  # look ahead in growing steps

@@ -19,6 +19,38 @@ def test_long_track(spark):
     assert wide == set(range(0, 4000, 3))
 
 
+@pytest.mark.parametrize("rounds", [8, 1])
+def test_slices_of_a_track_meet(spark, rounds):
+    """Slices folded on trial give the fold of the whole track, also where they never meet."""
+    rng = np.random.default_rng(8)
+    steps = np.cumsum(rng.normal(0, 0.0004, (20000, 2)), axis=0)
+    rows = [("walk", 5 * k, k, *map(float, p)) for k, p in enumerate(steps)] + [("even", 7 * k, k, k * 0.0001, 1.0) for k in range(3000)] + [("one", 5, 1, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "uas_id string, s long, id long, latitude double, longitude double").select("uas_id", F.timestamp_seconds("s").alias("ts"), "id", "latitude", "longitude")
+    got = {k: {r.id for r in tracking.simplify(df, 150.0, slice_seconds=1800, rounds=rounds).filter(F.col("uas_id") == k).collect()} for k in ("walk", "even", "one")}
+    for key in got:
+        want, last = set(), None
+        for _, _, i, lat, lon in (r for r in rows if r[0] == key):
+            at = np.radians([lat, lon])
+            if last is None or tracking.geo.haversine_radians_m(*last, *at) >= 150.0:
+                want.add(i)
+                last = at
+        assert got[key] == want
+
+
+def test_steps_of_a_hot_key(spark):
+    """A cooldown longer than a slice over one key: firings equal a plain loop, steps are few where firings meet."""
+    rng = np.random.default_rng(2)
+    at = np.unique(rng.integers(0, 400_000, 60_000))
+    df = spark.createDataFrame([("hot", int(s), int(k)) for k, s in enumerate(at)], "k string, s long, id long").select("k", F.timestamp_seconds("s").alias("ts"), "id", F.lit(9000.0).alias("c"))
+    got = {r.id for r in scans.cooldown(df, ["k"], "ts", "id", "c", slice_seconds=3600).collect()}
+    want, until = set(), -1
+    for k, s in enumerate(at.tolist()):
+        if s >= until:
+            want.add(k)
+            until = s + 9000
+    assert got == want
+
+
 def test_large_catalogue_keeps_its_types(spark):
     frames = spark.range(3).select(F.col("id").alias("frame_id"), F.lit(2.4e9).alias("f0_hz"), F.lit(1e5).alias("bin_hz"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: -90 + 40.0 * (k == 20).cast("double") + 0.0 * k).alias("psd"))
     sig = spark.range(12_000).select((F.col("id") + (1 << 40)).alias("signature_id"), (2.4e9 + F.col("id") * 10).alias("start_hz"), (2.4e9 + F.col("id") * 10 + 1e6).alias("stop_hz"), (F.lit(-50.0) - F.col("id") % 17).alias("expected_peak"))
