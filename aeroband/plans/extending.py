@@ -37,14 +37,16 @@ def _(spark, d):
     return U.process_chunks(table(spark, d, "embeddings").select("vec_id", "label"), keep)
 
 
-@query("r3_trigger_predicate", """WITH t AS (SELECT id AS trigger_id, emitter, ts FROM detections WHERE value > 250)
+@query("r3_trigger_predicate", """WITH k AS (SELECT emitter, list([[epoch_us(ts), id]] ORDER BY ts, id) AS v FROM detections WHERE value > 250 GROUP BY 1),
+   f AS (SELECT emitter, unnest(list_reduce(v, lambda a, b: CASE WHEN b[1][1] - a[-1][1] >= 7200000000 THEN list_concat(a, b) ELSE a END)) AS x FROM k),
+   t AS (SELECT CAST(x[2] AS BIGINT) AS trigger_id, emitter, make_timestamp(CAST(x[1] AS BIGINT)) AS ts FROM f)
    SELECT t.trigger_id, d.id FROM t JOIN detections d ON d.emitter = t.emitter AND d.ts BETWEEN t.ts - INTERVAL 1 HOUR AND t.ts + INTERVAL 3 HOUR""")
 def _(spark, d):
     def loud(values: pd.Series) -> pd.Series:
         return values > 250
 
     base = V.detections(spark, d).select("id", "emitter", "ts", "value")
-    return U.capture_when(base, loud, ["emitter"], "value", before_s=3600, after_s=10800, spacing_s=0).select("trigger_id", "id")
+    return U.capture_when(base, loud, ["emitter"], "value", before_s=3600, after_s=10800, spacing_s=7200).select("trigger_id", "id")
 
 
 @query("r4_event_handler", "SELECT drone_type, CAST(count(*) AS BIGINT) AS n FROM detections GROUP BY 1")

@@ -394,13 +394,17 @@ def _(spark, d):
     return rounded(scans.kalman_smooth(base, ["uas_id"], "ts", "id", ["latitude", "longitude", "altitude"], slice_seconds=7 * 86400))
 
 
-@query("m26_fix_statistics", f"""SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS converged, 0.0::DOUBLE AS mean_residual, 100.0::DOUBLE AS success_percent
-   FROM emissions WHERE {FULL_ARRAY.format(n=4)}""")
+@query("m26_fix_statistics", HROWS + INVERSE + f""", f AS (SELECT event_id FROM emissions WHERE {FULL_ARRAY.format(n=4)})
+   SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS converged, 0.0::DOUBLE AS mean_residual, 100.0::DOUBLE AS success_percent, round(avg(sqrt(q0+q1+q2)), 3) AS mean_gdop
+   FROM f LEFT JOIN q USING (event_id)""")
 def _(spark, d):
     linear = T.linear_fix(_flat_events(spark, d).filter(F.size("m") >= 3), 2)
-    fixed = T.residuals(T.refine(linear.withColumn("start", C("fix")), C("start")), 2)
-    stats = T.fix_statistics(fixed.select((C("residual_m") < 1.0).alias("converged"), F.lit(1.0).alias("gdop"), "residual_m"))
-    return stats.select("total", "converged", F.round("mean_residual", 4).alias("mean_residual"), "success_percent")
+    fixed = T.residuals(T.refine(linear.withColumn("start", C("fix")), C("start")), 2).select("event_id", "fix", "residual_m")
+    rs = V.receivers(spark, d).groupBy("array_id").agg(F.array_sort(F.collect_list(F.struct("receiver_id", "x", "y", "z"))).alias("rs"))
+    heights = V.emissions(spark, d).select("event_id", "array_id", C("z").alias("pz")).join(rs, "array_id")
+    points = fixed.join(heights, "event_id").withColumn("px", C("fix.x")).withColumn("py", C("fix.y"))
+    stats = T.fix_statistics(T.dilution(points).select((C("residual_m") < 1.0).alias("converged"), C("dop.gdop").alias("gdop"), "residual_m"))
+    return stats.select("total", "converged", F.round("mean_residual", 4).alias("mean_residual"), "success_percent", F.round("mean_gdop", 3).alias("mean_gdop"))
 
 
 @query("m27_privacy_retention", """SELECT CAST(count(*) FILTER (WHERE ts >= TIMESTAMP '2024-04-10' - INTERVAL 90 DAY) AS BIGINT) AS kept,

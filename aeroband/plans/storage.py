@@ -39,20 +39,19 @@ def _(spark, d):
 @query("a5_csv_samples", """SELECT round(sum(i), 4) AS sum_i, round(sum(q), 4) AS sum_q, CAST(count(*) AS BIGINT) AS n, 2e6 AS sample_rate FROM (SELECT round(i, 4) AS i, round(q, 4) AS q FROM iq_samples)""")
 def _(spark, d):
     folder = run_directory(spark, "csv-iq")
-    s = V.iq_samples(spark, d).select(F.format_string("%.4f,%.4f", F.round("i", 4), F.round("q", 4)).alias("value"))
-    head = spark.range(1).select(F.lit('#{"sample_rate": 2e6, "center_freq": 2.45e9}').alias("value"))
-    head.unionByName(s).coalesce(1).write.text(folder)
+    s = V.iq_samples(spark, d).select("frame_id", "n", F.round("i", 4).alias("i"), F.round("q", 4).alias("q"))
+    K.write_csv(s, folder, ["frame_id", "n"], sample_rate=2e6, center_freq=2.45e9)
     back = K.read_csv(spark, folder, "*.txt")
     return back.agg(F.round(F.sum(C("i").cast("double")), 4).alias("sum_i"), F.round(F.sum(C("q").cast("double")), 4).alias("sum_q"), F.count("*").alias("n"), F.max("sample_rate").alias("sample_rate"))
 
 
-@query("a8_format_detection", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'raw' WHEN 1 THEN 'numpy' WHEN 2 THEN 'zstd' WHEN 3 THEN 'csv' WHEN 4 THEN 'wav' ELSE 'sigmf' END AS format FROM pages""")
+@query("a8_format_detection", r"""SELECT page_id, CASE WHEN e IN ('iq', 'bin', 'raw') THEN 'raw' WHEN e IN ('csv', 'txt') THEN 'csv' WHEN e = 'npy' THEN 'numpy' WHEN e IN ('h5', 'hdf5') THEN 'hdf5' WHEN e = 'zst' THEN 'zstd'
+     WHEN e = 'gz' THEN 'gzip' WHEN e = 'bz2' THEN 'bzip2' WHEN e = 'cfile' THEN 'gnuradio' WHEN e = 'dat' THEN 'uhd' WHEN e IN ('lz4', 'sigmf', 'wav', 'rf64', 'scp') THEN e
+     WHEN html LIKE 'SIGM%' THEN 'sigmf' WHEN html LIKE 'RIFF____WAVE%' THEN 'wav' ELSE 'unknown' END AS format
+   FROM (SELECT page_id, html, lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) AS e FROM pages)""")
 def _(spark, d):
-    k = C("page_id") % 6
-    ext = F.when(k == 0, ".iq").when(k == 1, ".NPY").when(k == 2, ".zst").when(k == 3, ".csv").otherwise("")
-    body = F.when(k == 4, F.encode(F.lit("RIFF1234WAVEfmt "), "ISO-8859-1")).otherwise(F.encode(F.lit("SIGM...."), "ISO-8859-1"))
-    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("/captures/f"), C("page_id").cast("string"), ext).alias("path"), body.alias("content"))
-    return p.select("page_id", K.detect_format(C("path"), C("content")).alias("format"))
+    p = table(spark, d, "pages")
+    return p.select("page_id", K.detect_format(C("url"), F.encode("html", "UTF-8")).alias("format"))
 
 
 @query("a9_offset_limit_chunks", "SELECT frame_id, n, i, q FROM iq_samples WHERE n >= 5 AND n < 23")

@@ -216,18 +216,24 @@ def _(spark, d):
     return G.lockouts(f, "user_id", 5, 3 * 1440).select("event_id", "attempts")
 
 
-@query("u17_attack_patterns", r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'xss' WHEN 2 THEN 'path_traversal' WHEN 3 THEN 'command_injection' END AS attack FROM events""")
+ATTACKS = r"""CASE WHEN regexp_matches(t, '(?i)(union\s+select|or\s+1=1|drop\s+table)') THEN 'sql_injection' WHEN regexp_matches(t, '(?i)(<script|onerror=|javascript:)') THEN 'xss'
+   WHEN regexp_matches(t, '(\.\./|\.\.\\)') THEN 'path_traversal' WHEN regexp_matches(t, '(;|\|\||&&)\s*(cat|ls|rm|wget|curl)\b') THEN 'command_injection' END"""
+
+
+@query("u17_attack_patterns", f"""SELECT kind, id, {ATTACKS} AS attack FROM (SELECT 'page' AS kind, page_id AS id, url || ' ' || html AS t FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents)""")
 def _(spark, d):
-    k = C("event_id") % 5
-    text = (F.when(k == 0, "q=1 UNION  SELECT x").when(k == 1, "<SCRIPT>go()").when(k == 2, "f=../../etc").when(k == 3, "x; cat y").otherwise("plain"))
-    return table(spark, d, "events").select("event_id", G.attack_class(F.concat(text, C("event_type"))).alias("attack"))
+    pages = table(spark, d, "pages").select(F.lit("page").alias("kind"), C("page_id").alias("id"), F.concat("url", F.lit(" "), "html").alias("t"))
+    docs = table(spark, d, "documents").select(F.lit("document").alias("kind"), C("doc_id").alias("id"), C("text").alias("t"))
+    return pages.unionByName(docs).select("kind", "id", G.attack_class("t").alias("attack"))
 
 
-@query("u17_attack_bursts", """SELECT 'sql_injection' AS attack, time_bucket(INTERVAL 1 DAY, ts) AS start, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'click' GROUP BY 2 HAVING count(*) >= 60""")
+@query("u17_attack_bursts", f"""SELECT attack, time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(count(*) AS BIGINT) AS n FROM (SELECT ts, {ATTACKS} AS attack
+   FROM (SELECT TIMESTAMP '2024-01-01' + page_id * INTERVAL 1 MINUTE AS ts, url || ' ' || html AS t FROM pages)) WHERE attack IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20""")
 def _(spark, d):
-    text = F.when(C("event_type") == "click", "x or 1=1").otherwise("plain")
-    e = table(spark, d, "events").select("ts", G.attack_class(text).alias("attack")).filter("attack is not null")
-    return G.bursts(e, ["attack"], 60, "1 day")
+    """Pages as requests, one a minute by their number."""
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + C("page_id") * 60)
+    e = table(spark, d, "pages").select(at.alias("ts"), G.attack_class(F.concat("url", F.lit(" "), "html")).alias("attack")).filter("attack is not null")
+    return G.bursts(e, ["attack"], 20, "1 hour")
 
 
 @query("u18_subject_erasure", """SELECT 'detections' AS src, id, emitter FROM detections WHERE emitter <> 8 UNION ALL

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import json
 import re
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 C = F.col
@@ -152,17 +155,35 @@ def slice_samples(frames: DataFrame, offset: int = 0, limit: int | None = None)
     return kept.select("path", "chunk", (C("sample_offset") + lo).alias("sample_offset"), F.slice("i", lo + 1, hi - lo).alias("i"), F.slice("q", lo + 1, hi - lo).alias("q"))
 
 
+def _lines(batches, head: str):
+    for k, batch in enumerate(batches):
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([head]), batch.column(0).cast(pa.string())]) if k == 0 else batch.column(0)], ["value"])
+
+
+def write_csv(samples: DataFrame, path: str, order: list[str], sample_rate: float, center_freq: float) -> None:
+    """I,Q lines in files of consecutive samples by ``order``, each behind a ``#``-JSON line of its own.
+
+    Samples are dealt in ranges of the order, so many tasks write and no file holds them all.
+    """
+    head = "#" + json.dumps({"sample_rate": sample_rate, "center_freq": center_freq})
+    dealt = samples.repartitionByRange(*order).sortWithinPartitions(*order)
+    lines = dealt.select(F.concat_ws(",", C("i").cast("string"), C("q").cast("string")).alias("value"))
+    lines.mapInArrow(partial(_lines, head=head), "value string").write.text(path)
+
+
 def read_csv(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """I,Q lines (one column is real) with the rate and centre of a leading ``#``-JSON line.
 
-    Line positions come from the file's byte order through the row index of the scan.
+    ``line`` counts the lines of a block of the file, from 0; (path, block, line) is the order of the samples.
     """
     text = spark.read.option("pathGlobFilter", glob).text(path).select("value", C("_metadata.file_path").alias("path"), C("_metadata.file_block_start").alias("block"),
-                                                                     F.monotonically_increasing_id().alias("line"))
+                                                                     F.monotonically_increasing_id().alias("_at"))
     header = text.filter(C("value").startswith("#")).select("path", F.from_json(F.expr("substring(value, 2)"), "sample_rate double, center_freq double").alias("h"))
+    first = text.groupBy("path", "block").agg(F.min("_at").alias("_first"))  # ids rise by one along a block
     parts = F.split("value", ",")
-    body = text.filter(~C("value").startswith("#") & (F.trim("value") != "")).select(
-        "path", "block", "line", F.trim(F.get(parts, F.lit(0))).cast("float").alias("i"), F.coalesce(F.trim(F.get(parts, F.lit(1))).cast("float"), F.lit(0.0).cast("float")).alias("q"))
+    body = text.join(first, ["path", "block"]).filter(~C("value").startswith("#") & (F.trim("value") != "")).select(
+        "path", "block", (C("_at") - C("_first")).alias("line"), F.trim(F.get(parts, F.lit(0))).cast("float").alias("i"),
+        F.coalesce(F.trim(F.get(parts, F.lit(1))).cast("float"), F.lit(0.0).cast("float")).alias("q"))
     return body.join(header, "path", "left").select("path", "block", "line", "i", "q", C("h.sample_rate").alias("sample_rate"), C("h.center_freq").alias("center_freq"))
 
 

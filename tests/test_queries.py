@@ -20,7 +20,7 @@ def con():
 @pytest.mark.parametrize("name", [n for n in ENTRIES if n not in SLOW])
 def test_query(spark, con, name):
     found = difference(spark, con, SF, name)
-    assert found is None or found in ("empty result", "no rows (unchecked values)"), found
+    assert found is None or found == "empty result", found
 
 
 def test_contract():
