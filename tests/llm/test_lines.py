@@ -113,3 +113,26 @@ def test_differing_texts_of_one_document(spark):
     rows = [(1, long), (2, "new words before " + long), (2, long), (2, "x")]
     got = sorted((r.n_lines, r.n_removed, r.text.strip()) for r in lines.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.row.doc_id == 2)
     assert got == [(1, 0, "x"), (80, 80, ""), (83, 80, "new words before")]
+
+
+def test_physical_lines(spark):
+    """A block of three short lines repeats; single lines that repeat stay."""
+    block = "Copyright A B\nAll rights reserved\n  see the file"
+    rows = [(1, f"one text\n{block}\nmore of one"), (2, f"two text\n\n{block}\r\nmore of two"), (3, "All rights reserved\nthree"), (4, block.replace("reserved", "Reserved")), (5, block)]
+    got = {r.row.doc_id: (r.n_lines, r.spans, r.text) for r in lines.repeated(spark.createDataFrame(rows, "doc_id long, text string"), 3, "line").collect()}
+    assert got[1] == (5, [], rows[0][1]) and got[3][1] == [] and got[4][1] == []
+    assert got[2] == (5, [1, 4], "two text\n\nmore of two") and got[5][:2] == (3, [0, 3])
+    assert {r.doc_id for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 3, "line").collect()} == {1, 2, 3, 4}
+
+
+def test_forged_hashes(spark, monkeypatch):
+    """Different passages of equal hashes are told apart by their bytes."""
+    from pyspark.sql import functions as F
+    words = [[f"{c}{k}" for k in range(70)] for c in "xyz"]
+    rows = [(1, " ".join(words[0])), (2, " ".join(words[1])), (3, " ".join(words[0])), (4, " ".join(words[2][:60]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = df.select("doc_id", F.xxhash64("text").alias("part"), "text")
+    part = {r.doc_id: r.part for r in texts.collect()}
+    claims = [(i, part[i], 5, 65, (1, part[1], 5)) for i in (2, 3)] + [(4, part[4], 0, 60, (2, part[2], 10)), (3, part[3], 0, 52, (1, part[1], 1))]
+    spans = spark.createDataFrame(claims, "doc_id long, part long, line int, to int, source struct<doc_id long, part long, line int>")
+    assert {(r.doc_id, r.line, r.to) for r in lines.compared(spans, texts, "word").collect()} == {(3, 5, 65)}
