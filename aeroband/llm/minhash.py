@@ -19,8 +19,9 @@ The number of bands follows from the threshold so that a pair at the threshold s
 bucket with a probability under 1e-7.
 
 Edge cases.  Null and empty texts have an empty set, are linked with nothing and kept.
-Fewer words than a shingle: the whole sequence is one shingle.  Rows of one doc_id count
-as one document, with the union of their buckets; each gets a row in the result.  A row
+Fewer words than a shingle: the whole sequence is one shingle.  Rows of one doc_id are one
+document: where their texts differ, a link of one counts for all (rows without words keep to
+themselves); each gets a row in the result.  A row
 without doc_id keeps to itself: its component is null and it is kept.  Other columns are
 ignored.  An empty table gives an empty result.
 """
@@ -77,6 +78,13 @@ def signature(shingles: np.ndarray, bands: int, rows: int = ROWS) -> tuple[np.nd
     return keys.view(np.int64), packed.view(np.int64)
 
 
+def fingerprint(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two hashes of a set."""
+    if not len(shingles):
+        return np.uint64(0), np.uint64(0)
+    return np.add.reduce(text.mix(shingles)), np.bitwise_xor.reduce(text.mix(shingles + np.uint64(77)))
+
+
 SIGNED = "doc_id long, n long, print_a long, print_b long, bits array<long>, keys array<long>"
 
 
@@ -86,7 +94,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, bands: int) -> Iterator[pa.
             size, prints, bits, keys = [], [], [], []
             for shingles in text.shingle_sets(text.words(data, bounds, text.WHITE), n):
                 size.append(len(shingles))
-                prints.append((np.add.reduce(text.mix(shingles)), np.bitwise_xor.reduce(text.mix(shingles + np.uint64(77)))) if len(shingles) else (np.uint64(0), np.uint64(0)))
+                prints.append(fingerprint(shingles))
                 k, s = signature(shingles, bands) if len(shingles) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 keys.append(k)
                 bits.append(s)
@@ -99,8 +107,11 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, bands: int) -> Iterator[pa.
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, bounds in text.slices(batch.column(1)):
-            sets = [s.view(np.int64) for s in text.shingle_sets(text.words(data, bounds, text.WHITE), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            sets = list(text.shingle_sets(text.words(data, bounds, text.WHITE), n))
+            pairs = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(a, b - a), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "print_a", "print_b", "n", "shingles"])
 
 
 def _equal_lanes(count: int):
@@ -169,6 +180,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     Sets are linked when ``denominator * |A and B| >= numerator * |A or B|``.  class_id is the
     smallest doc_id of equal sets, component_id the smallest one reachable over links.
     """
+    text.lean(docs.sparkSession)
     threshold = numerator / denominator
     bands = bands_for(threshold)
     count = bands * ROWS
@@ -178,9 +190,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
 
     known = signed.filter("n > 0 and doc_id is not null")
     prints = ["print_a", "print_b", "n"]
-    classes = materialise(known.groupBy(*prints).agg(F.min("doc_id").alias("class_id")), "minhash-classes")
-    heads = known.join(classes.select(*prints, F.col("class_id").alias("doc_id")), [*prints, "doc_id"]).dropDuplicates(["doc_id", *prints])
-    heads = materialise(heads.select(F.col("doc_id").alias("class_id"), "bits", "keys"), "minhash-heads")
+    several = known.groupBy("doc_id").agg(F.min(F.struct(*prints)).alias("low"), F.max(F.struct(*prints)).alias("high"))
+    several = materialise(several.filter("low <> high").select("doc_id"), "minhash-several")  # documents of several sets
+    classes = known.groupBy(*prints).agg(F.min("doc_id").alias("first_id"))
+    classes = classes.join(several.select(F.col("doc_id").alias("first_id"), F.lit(True).alias("several")), "first_id", "left")
+    classes = materialise(classes.select(*prints, "first_id", F.when(F.col("several"), F.xxhash64(*prints)).otherwise(F.col("first_id")).alias("class_id")), "minhash-classes")
+    heads = known.join(classes.select(*prints, F.col("first_id").alias("doc_id"), "class_id"), [*prints, "doc_id"]).dropDuplicates(["doc_id", *prints])
+    heads = materialise(heads.select("class_id", "bits", "keys"), "minhash-heads")
     entries = heads.select("class_id", F.explode("keys").alias("key"))
     buckets = materialise(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "minhash-buckets")
     shared = materialise(entries.join(buckets, "key"), "minhash-shared")
@@ -192,12 +208,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     spokes = beside_hubs(materialise(spokes, "minhash-met"), bits, "bits").filter((_equal_lanes(count) >= least) | F.col("crowded")).select("u", "v", "crowded")
     spokes = materialise(spokes, "minhash-spokes")
 
-    involved = spokes.select("u").union(spokes.select("v")).distinct().withColumnRenamed("u", "doc_id")
+    involved = spokes.select("u").union(spokes.select("v")).distinct().withColumnRenamed("u", "class_id")
+    involved = materialise(classes.join(involved, "class_id").withColumnRenamed("first_id", "doc_id"), "minhash-involved")
     candidates = sieve.sifted(texts, "doc_id", sieve.bitmap(involved, "doc_id")).filter("__maybe").join(involved, "doc_id", "left_semi").select("doc_id", "text")
-    sets = candidates.mapInArrow(partial(_sets, n=words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    sets = materialise(sets, "minhash-sets")
+    sets = candidates.mapInArrow(partial(_sets, n=words), "doc_id long, print_a long, print_b long, n long, shingles array<long>").dropDuplicates(["doc_id", *prints])
+    sets = materialise(sets.join(involved, ["doc_id", *prints]).select(F.col("class_id").alias("doc_id"), "shingles"), "minhash-sets")
     spokes = materialise(measured(spokes, sets, numerator, denominator), "minhash-measured")
     links = spokes.filter("linked").select("u", "v")
+    tied = not several.isEmpty()
+    if tied:  # a document's sets hold together
+        own = materialise(known.join(several, "doc_id", "left_semi").join(classes, prints).select("doc_id", F.col("class_id").alias("u")).distinct(), "minhash-own")
+        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("u").alias("v")), "doc_id").select("u", "v"))
     parts = materialise(graph.components(links), "minhash-parts")
 
     more = materialise(around_hubs(spokes, parts, numerator, denominator), "minhash-more")
@@ -206,7 +227,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
         parts = materialise(graph.components(links.unionByName(more)), "minhash-parts")
 
     reached = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
-    reached = materialise(reached.select(*prints, "class_id", "component_id"), "minhash-reached")
+    if tied:  # then classes are not all named by their smallest document
+        least = reached.groupBy("component_id").agg(F.min("first_id").alias("least_id"))
+        reached = reached.join(least, "component_id").withColumn("component_id", F.col("least_id"))
+    reached = materialise(reached.select(*prints, F.col("first_id").alias("class_id"), "component_id"), "minhash-reached")
     grouped = known.select("doc_id", *prints).join(reached, prints)
     alone = signed.filter("n = 0 or doc_id is null").select("doc_id", *prints, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone).select(

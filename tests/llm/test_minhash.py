@@ -60,3 +60,14 @@ def test_edges(spark):
     assert got == sorted([(5, 1, 3, False), (5, 1, 3, False), (3, 1, 3, True), (9, 0, 9, True), (10, 0, 10, True), (11, 0, 11, True), (None, 1, None, True), (12, 1, 12, True)], key=str)
     assert minhash.near_duplicates(df.limit(0)).collect() == []
     assert minhash.deduplicated(df).columns == df.columns
+
+
+def test_differing_texts_of_one_document(spark):
+    """Each text of a document links, whichever row comes first; documents join what they hold."""
+    rng = random.Random(9)
+    one, other, third = ([f"v{rng.randrange(10 ** 7)}" for _ in range(60)] for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(1, " ".join(one)), (1, " ".join(other)), (2, near(one)), (3, near(other)), (5, " ".join(one)), (7, " ".join(third)), (5, near(third)), (8, " ".join(rng.sample(one, 60)))]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), 3, 85, 100).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (5, 1), (7, 1), (8, 8)}
