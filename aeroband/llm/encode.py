@@ -46,7 +46,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        #: Strings that are tokens of their own wherever they stand; a text with one is encoded whole.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         sample = [self._ids(x) for x in ("a b", "a", " b", "b")]
         self.joins = sample[0] != sample[1] + sample[3]
@@ -121,6 +122,9 @@ class Encoder:
         """Ids of each text and the id ``end``; null and empty texts have the end alone."""
         tail, out = self._bytes([end]), []
         for text in texts:
+            if text and any(t in text.lower() for t in self.added):
+                out.append(self._bytes(self._ids(text)) + tail)
+                continue
             pieces = self.pieces(text) if text else []
             ids = list(map(self.young.get, pieces))
             if None in ids:

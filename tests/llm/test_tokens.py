@@ -11,13 +11,12 @@ from aeroband.llm import packing, queries, tokenfiles
 from aeroband.llm.encode import Encoder
 
 SF = "/root/testdata/sf0.001"
-ODD = ["a  b", "\n\na b", " x", "x ", "a\tb c d", "a \n b", "it's don't 're", "a\x1cb c", "a\xa0b c", "é \xe9", "<|endoftext|> hi", "Hello,world. ok! 12.5 3,4 x.",
+ODD = ["a  b", "\n\na b", " x", "x ", "a\tb c d", "a \n b", "it's don't 're", "a\x1cb c", "a\xa0b c", "é \xe9", "<|endoftext|> hi", "a <|endoftext|> b", "A b<|ENDOFTEXT|> c. <|startoftext|>", "Hello,world. ok! 12.5 3,4 x.",
        "　a b", "Σας ΣΑΣ. ΟΔΟΣ", "a\r\nb c", "x..", "x.. y", "ﬁ. Ǆ, İ. İ", "a​. b", "“q”. …", "", "a\n\nb. c\n", "\x85a b", "ñ. n", "日本. 語,", " .", "a ,b", "É. ÉA ßß", "word 'll", "a" * 9000]
 
 
 def plain(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
