@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from aeroband.llm import encode
-from aeroband.session import materialise
+from aeroband.llm import encode, files, text
+from aeroband.session import materialise, run_directory
 
 LIMIT = 2048
 SLACK = 0.0005
@@ -156,41 +156,70 @@ class Slots:
         return sorted((a, b, s + rank - r, o) for r, _, a, b, s, o in own.tolist())
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], slots, limit: int, width: int) -> Iterator[pa.RecordBatch]:
+def _write_offsets(batches: Iterator[pa.RecordBatch], folder: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Columns (task, whole, rests, ranks): a file a task, whole sequences before it and ranks before it by length."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            table = np.zeros(limit + 1, "<i8")
+            table[r["rests"]] = r["ranks"]
+            table[limit] = r["whole"]
+            with files.written(f"{folder}/{r['task']}") as out:
+                out.write(table.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0)], ["task"])
+
+
+def _offsets(folder: str, task: int) -> np.ndarray:
+    system, path = files.opened(f"{folder}/{task}")
+    with system.open_input_stream(path) as source:
+        return np.frombuffer(source.read(), "<i8")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], slots, limit: int, width: int, folder: str) -> Iterator[pa.RecordBatch]:
     slots = slots.value
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    task, before = None, None
     for batch in batches:
         for k in range(0, batch.num_rows, ROWS):
             out = []
             for r in batch.slice(k, ROWS).to_pylist():
+                if r["task"] != task:  # rows of one task lie together in its file
+                    task, before = r["task"], _offsets(folder, r["task"])
                 cut = lambda a, b: np.frombuffer(r["ids"], f"<u{width}")[a:b].astype("<u4").tobytes()  # noqa: E731, B023
                 full = r["doc_tokens"] // limit
+                whole = r["whole"] + int(before[limit])
                 for j in range(full):
-                    out.append((r["doc_id"], j * limit, limit, cut(j * limit, (j + 1) * limit), r["doc_tokens"], slots.sequences + r["whole"] + j, 0))
+                    out.append((r["doc_id"], j * limit, limit, cut(j * limit, (j + 1) * limit), r["doc_tokens"], slots.sequences + whole + j, 0))
                 if r["rest"]:
-                    for a, b, sequence, offset in slots.of(r["rest"], r["rank"]):
+                    for a, b, sequence, offset in slots.of(r["rest"], r["rank"] + int(before[r["rest"]])):
                         out.append((r["doc_id"], full * limit + a, b - a, cut(full * limit + a, full * limit + b), r["doc_tokens"], sequence, offset))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(types)], names)
 
 
 def pack(docs: DataFrame, path: str, end: int = 1, limit: int = LIMIT) -> DataFrame:
-    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset); ids are unsigned 32-bit, little-endian."""
+    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset); ids are unsigned 32-bit, little-endian.
+
+    What a task needs to know of the tasks before it is a small file of its own in the shared
+    folder, so nothing that grows with the number of tasks is broadcast."""
+    text.lean(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = materialise(texts.mapInArrow(partial(_encode, path=path, end=end, limit=limit), ENCODED), "packing-encoded")
     counts = materialise(encoded.groupBy("task", "rest").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("doc_tokens") / limit)).alias("whole")), "packing-counts")
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("task", "rest", F.coalesce(F.sum("n").over(before.partitionBy("rest")), F.lit(0)).alias("rank_before"))
+    ranks = ranks.groupBy("task").agg(F.collect_list(F.struct("rest", "rank_before")).alias("r"))  # fewer than ``limit`` a task
     tasks = counts.groupBy("task").agg(F.sum("whole").alias("whole"))  # a row a task
     tasks = tasks.select("task", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("whole_before"))
     histogram = {r[0]: r[1] for r in counts.groupBy("rest").agg(F.sum("n")).collect() if r[0]}  # fewer than ``limit`` rows
     slots = Slots(fill_gaps(shortest_pack_first(histogram, limit), limit))
-    offsets = materialise(ranks.join(tasks, "task"), "packing-offsets")
-    placed = encoded.join(offsets, ["task", "rest"]).select(
-        "doc_id", "ids", "doc_tokens", "rest", (F.col("rank") + F.col("rank_before")).alias("rank"), (F.col("whole") + F.col("whole_before")).alias("whole"))
+    folder = run_directory(spark, "packing-offsets")
+    offsets = ranks.join(tasks, "task").select("task", F.col("whole_before").alias("whole"), F.col("r.rest").alias("rests"), F.col("r.rank_before").alias("ranks"))
+    offsets.mapInArrow(partial(_write_offsets, folder=folder, limit=limit), "task int").count()
+    placed = encoded.select("doc_id", "ids", "doc_tokens", "task", "rest", "rank", "whole")
     made = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInArrow(partial(_pieces, slots=spark.sparkContext.broadcast(slots), limit=limit, width=encode.encoder(path).dtype.itemsize), made)
+    return placed.mapInArrow(partial(
+        _pieces, slots=spark.sparkContext.broadcast(slots), limit=limit, width=encode.encoder(path).dtype.itemsize, folder=folder), made)
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:
