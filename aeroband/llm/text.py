@@ -12,8 +12,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE = 1 << 19
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -46,13 +49,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int):
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers[0][:n], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1]
+    size, made = 1 << int(n - 1).bit_length(), []
+    for base in (_BASE, _INVERSE):
+        factors = np.full(size, base, np.uint64)
+        factors[0] = 1
+        made.append(np.multiply.accumulate(factors))
+    if size <= 2 * SLICE:  # those of a very long text are not kept
+        _powers[:] = made
+    return made[0][:n], made[1]
 
 
 @dataclass
@@ -86,15 +92,26 @@ class Words:
         return data[starts[i]:ends[j - 1]]
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes: whole texts would else come ten thousand at a time."""
+    if spark.conf.get(BATCH) != str(BATCH_BYTES):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, document bounds) of runs of whole documents."""
+    """(from row, to row, bytes, document bounds) of runs of whole documents, without a copy."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
     if not len(column):
         return
+    if column.type not in (pa.string(), pa.binary(), pa.large_string(), pa.large_binary()):
+        column = column.cast(pa.string())
+    wide = column.type in (pa.large_string(), pa.large_binary())
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    if column.null_count and np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        yield from slices(column.fill_null(""), size)  # bytes under a null
+        return
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
