@@ -4,9 +4,10 @@ Host and path follow the text alone.  A written rule (host, path) fits its host
 subdomains if the path starts with the rule's; the longest wins.  Every other URL is judged
 by token combinations that FP-growth finds in labelled URLs: baskets hold a URL's tokens and
 its label, and of the itemsets those ending in a block label make rules, pruned by support,
-confidence, lift and by shorter rules that are as sure.  Rules are looked up through an
-inverted index from token to rule; one whose tokens are all met blocks.  Everything runs in
-DataFrame operations.
+confidence, lift and by shorter rules that are as sure.  Tokens that the same examples hold
+are one item, and a set takes one host suffix at most, so deep hosts don't multiply sets.
+Rules are looked up through an inverted index from their rarest token; one whose tokens are
+all met blocks.  Everything runs in DataFrame operations.
 
 A page's label is that of the document its URL numbers (the first all-digit path segment):
 bad if toxic or of quality 0.
@@ -18,6 +19,8 @@ there are no mined rules.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -95,27 +98,76 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return numbered.join(bad, "doc_id").select("tokens", "bad")
 
 
-def mined_rules(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
-    """(rule_id, tokens, confidence, support) of token sets whose pages are mostly bad."""
-    baskets = examples.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift))
-    rules = materialise(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
-    rules = rules.withColumn("rule_id", F.xxhash64("tokens"))
+def groups(examples: DataFrame, support: float) -> DataFrame:
+    """(token, rep, n) of the tokens that ``support`` of all examples hold.
+
+    Tokens held by the same examples, like the parts of one deep host, are one item for mining:
+    ``rep`` names them all, the shortest host suffix first.  There are no more than some tokens
+    of a URL divided by the support."""
+    least = F.ceil(examples.agg(F.count("*")).scalar() * F.lit(support))
+    held = examples.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")).filter(F.col("n") >= least)
+    held = materialise(held, "url-tokens")
+    first = F.struct((~F.startswith(F.col("token"), F.lit("host:"))).alias("other"), F.length("token").alias("length"), "token")
+    reps = held.groupBy("n", "a", "b").agg(F.min(first).alias("first")).select("n", "a", "b", F.col("first.token").alias("rep"))
+    return materialise(held.join(reps, ["n", "a", "b"]).select("token", "rep", "n"), "url-groups")
+
+
+def mined_rules(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, found: DataFrame | None = None) -> DataFrame:
+    """(rule_id, tokens, confidence, support) of token sets whose pages are mostly bad; of tokens held
+    by the same examples, the first stands for all.
+
+    A host suffix holds all shorter ones, so sets need one host token at most.  Baskets are
+    mined with none, and once for each length of suffix with those of that length; tokens
+    carry the length, so one run mines all."""
+    examples = examples if "row" in examples.columns else numbered(examples)
+    found = groups(examples, support) if found is None else found
+    total, share = examples.agg(F.count("*"), F.avg(F.col("bad").cast("double"))).first()
+    items = examples.select("row", "bad", F.explode("tokens").alias("token")).join(found, "token").groupBy("row", "bad").agg(F.collect_set("rep").alias("reps"))
+    is_host = lambda t: F.startswith(t, F.lit("host:"))
+    length = lambda t: F.size(F.split(t, r"\."))
+    levels = F.concat(F.array(F.lit(0)), F.array_distinct(F.transform(F.filter("reps", is_host), length)))
+    copies = items.select("bad", "reps", F.explode(levels).alias("level"))
+    kept = F.filter("reps", lambda t: ~is_host(t) | (length(t) == F.col("level")))
+    kept = F.when(F.col("bad"), F.concat(kept, F.array(F.lit(BAD)))).otherwise(kept)
+    baskets = materialise(copies.select(F.transform(kept, lambda t: F.concat(F.col("level").cast("string"), F.lit("|"), t)).alias("items")), "url-baskets")
+    rows = baskets.count()
+    if not rows or not share:
+        return examples.limit(0).select(F.lit(0).cast("long").alias("rule_id"), "tokens", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
+    model = FPGrowth(itemsCol="items", minSupport=(math.ceil(support * total) - 0.5) / rows, minConfidence=confidence).fit(baskets)
+    level = F.split(F.element_at("consequent", 1), r"\|", 2)
+    plain = F.array_sort(F.transform("antecedent", lambda t: F.element_at(F.split(t, r"\|", 2), 2)))
+    rules = model.associationRules.filter((F.element_at(level, 2) == BAD) & (F.col("confidence") / share >= lift))
+    rules = rules.select(plain.alias("tokens"), "confidence", (F.col("support") * rows / total).alias("support"), F.element_at(level, 1).alias("level"))
+    rules = rules.filter((F.col("level") == "0") | F.exists("tokens", is_host)).drop("level")
+    rules = materialise(rules, "url-rules").withColumn("rule_id", F.xxhash64("tokens"))
     shorter = rules.select(F.col("tokens").alias("inner"), F.col("confidence").alias("sure"), F.explode("tokens").alias("token"))
     longer = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(shorter, "token")
     needless = longer.filter((F.size("inner") < F.size("tokens")) & (F.size(F.array_except("inner", "tokens")) == 0) & (F.col("sure") >= F.col("confidence"))).select("rule_id").distinct()
     return rules.join(needless, "rule_id", "left_anti")
 
 
+def numbered(examples: DataFrame) -> DataFrame:
+    """Written examples with the number of their row."""
+    return materialise(examples, "url-examples").withColumn("row", F.monotonically_increasing_id())
+
+
 def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, confidence): confidence of the mined rule that blocked, if one did."""
+    """(page_id, host, path, rule, verdict, confidence): confidence of the mined rule that blocked, if one did.
+
+    A rule is found under its rarest token and then compared with all tokens of the URL."""
     base = ruled(parsed(pages), rules)
-    mined = materialise(mined_rules(labelled(parsed(pages), labels)), "url-mined")
-    index = mined.select("rule_id", "confidence", F.size("tokens").alias("needed"), F.explode("tokens").alias("token"))
-    open_urls = base.filter("rule is null and host <> ''").select("url").distinct().withColumn("token", F.explode(tokens(F.col("url"))))
-    met = open_urls.join(index, "token").groupBy("url", "rule_id").agg(F.count("*").alias("n"), F.first("needed").alias("needed"), F.first("confidence").alias("confidence"))
-    blocked = met.filter("n = needed").groupBy("url").agg(F.max("confidence").alias("confidence"))
+    examples = numbered(labelled(parsed(pages), labels))
+    found = groups(examples, SUPPORT)
+    mined = materialise(mined_rules(examples, found=found), "url-mined")
+    counts = found.groupBy("rep").agg(F.max("n").alias("n"))
+    index = mined.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("rep")).join(counts, "rep")
+    index = index.groupBy("rule_id").agg(F.min(F.struct("n", "rep")).alias("key"), F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence"))
+    index = materialise(index.select(F.col("key.rep").alias("rep"), F.col("tokens").alias("needed"), "confidence"), "url-index")
+    open_urls = base.filter("rule is null and host <> ''").select("url").distinct()
+    held = open_urls.withColumn("token", F.explode(tokens(F.col("url")))).join(found, "token").groupBy("url").agg(F.collect_set("rep").alias("reps"))
+    met = held.withColumn("rep", F.explode("reps")).join(index, "rep").filter(F.size(F.array_except("needed", "reps")) == 0)
+    blocked = met.groupBy("url").agg(F.max("confidence").alias("confidence"))
     open_rows = base.filter("rule is null and host <> ''").join(blocked, "url", "left")
     rest = base.filter("rule is not null or host = ''").withColumn("confidence", F.lit(None).cast("double"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))

@@ -72,3 +72,20 @@ def test_four_tokens_together(spark):
     assert found == {("host:a.org", "key:p", "path:x", "scheme:https")}
     got = {r.page_id: r.verdict for r in urls.judged(df, labels, [("allow", "none.example", "/")]).collect()}
     assert {k for k, v in got.items() if v == "block"} == bad
+
+
+def test_deep_hosts(spark):
+    """Twenty host labels, with and without branches at every depth: no combinations of suffixes are listed."""
+    import time
+    deep = [f"l{k}" for k in range(20)]
+    branch = lambda k: ".".join(["other", *deep[-(k % 19 + 1):]]) if k % 3 == 0 else ".".join(deep)
+    pages = [(k, f"https://{branch(k) if k % 2 else 'good.org'}/{k}") for k in range(1200)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, int(k % 2 and k % 3 > 0)) for k in range(1200)], "doc_id long, quality int, toxic int")
+    began = time.time()
+    got = {r.page_id: r.verdict for r in urls.judged(df, labels).collect()}
+    assert time.time() - began < 60
+    assert {k for k, v in got.items() if v == "block"} >= {k for k in range(1200) if k % 2 and k % 3}
+    assert all(v == "allow" for k, v in got.items() if k % 2 == 0)
+    found = urls.mined_rules(urls.labelled(urls.parsed(df), labels)).collect()
+    assert all(sum(t.startswith("host:") for t in r.tokens) <= 1 for r in found)
