@@ -2,7 +2,9 @@
 
 Writing.  Records of equal payloads of at least ``REVISIT`` bytes form a group; the one with
 the smallest page_id is a response, the others are revisits without a body that name it.
-Each task streams one archive into the shared folder; it appears when whole.
+Each task streams one archive into the shared folder; it appears when whole.  A body is the
+bare html as ``text/html``, without the lines of an HTTP answer.  A response is named by its
+page_id and digest, which is what its revisits refer to; rows equal in both share the name.
 
 Reading.  Archives are read in byte ranges.  A payload may hold anything, whole WARC records
 too, so a range cannot trust the version line alone.  Each task emits, for every version
@@ -21,8 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -56,6 +60,11 @@ def parse_header(raw: bytes) -> dict[str, str] | None:
     return fields if fields.get("content-length", "").isdecimal() and len(fields["content-length"]) < 19 else None
 
 
+def record_id(page_id, digest: str) -> str:
+    """Of a response: by page and payload, so a revisit can name it."""
+    return f"<urn:page:{page_id}:{digest}>"
+
+
 def _quoted(url: str) -> str:
     """A target that cannot break the header: white space and controls are percent-encoded."""
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
@@ -72,10 +81,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                 for r in first.slice(k, ROWS).to_pylist():
                     body = b"" if r["refers_to"] is not None else r["payload"]
                     key = "" if r["page_id"] is None else str(r["page_id"])
-                    fields = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", f"<urn:page:{key}:{TaskContext.get().partitionId()}:{count}>"), ("WARC-Date", DATE),
+                    own = record_id(key, r["payload_digest"]) if r["refers_to"] is None else f"<urn:revisit:{key}:{TaskContext.get().partitionId()}:{count}>"
+                    fields = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", own), ("WARC-Date", DATE),
                               ("WARC-Target-URI", _quoted(r["url"] or "")), ("WARC-Payload-Digest", f"sha256:{r['payload_digest']}"), ("X-Page-Id", key), ("X-Payload-Length", str(len(r["payload"])))]
                     if r["refers_to"] is not None:
-                        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{r['refers_to']}>")]
+                        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(r["refers_to"], r["payload_digest"]))]
                     size += out.write(header([*fields, ("Content-Type", "text/html"), ("Content-Length", str(len(body)))]))
                     size += out.write(body)
                     size += out.write(b"\r\n\r\n")
@@ -114,6 +124,40 @@ def _header_at(file, at: int, size: int, data: bytes, base: int) -> tuple[dict[s
     return None if fields is None else (fields, at + end + 4)
 
 
+class Lines:
+    """The lines up to a blank line, read once for all version lines that stand in them."""
+
+    def __init__(self, raw: bytes, begin: int):
+        lines = raw.split(b"\r\n")
+        self.starts = list(accumulate((len(line) + 2 for line in lines), initial=begin))[:-1]
+        self.whole, self.length_at, self.length = len(lines), -1, -1
+        for k in range(len(lines) - 1, -1, -1):
+            name, colon, value = lines[k].partition(b":")
+            if not colon or not name:
+                break
+            self.whole = k  # from here on every line is a field
+            if self.length_at < 0 and name.lower() == b"content-length":
+                text = value.strip().decode("utf-8", "replace")
+                self.length_at, self.length = k, int(text) if text.isdecimal() and len(text) < 19 else -1
+
+    def content_length(self, at: int) -> int:
+        """What a header whose version line begins at ``at`` says; -1 where it is none."""
+        first = bisect_left(self.starts, at + len(VERSION))
+        return self.length if first < len(self.starts) and first >= self.whole and self.length_at >= first else -1
+
+
+def _blank(file, begin: int, size: int, data: bytes, base: int) -> tuple[int, bytes]:
+    """Offset of the next blank line from ``begin`` on (-1: none) and the bytes before it."""
+    raw, look, seen = data[begin - base:], LOOK, 0
+    while (at := raw.find(b"\r\n\r\n", seen)) < 0:
+        if begin + len(raw) >= size:
+            return -1, b""
+        seen = max(0, len(raw) - 3)
+        raw += file.read_at(min(look, size - begin - len(raw)), begin + len(raw))
+        look *= 2
+    return begin + at, raw[:at]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges to (path, at, onward): each possible record and the first one of its chain outside the range."""
     for batch in batches:
@@ -123,11 +167,17 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stop = min(r["size"], r["stop"] + LOOK)
                 data = file.read_at(stop - r["start"], r["start"])
                 follow: dict[int, int] = {}
-                k = data.find(VERSION)
+                blank, lines, k = -1, None, data.find(VERSION)
                 while 0 <= k < r["stop"] - r["start"]:
-                    found = _header_at(file, r["start"] + k, r["size"], data[k:k + LOOK], r["start"] + k)
-                    if found:
-                        follow[r["start"] + k] = found[1] + int(found[0]["content-length"]) + 4
+                    at = r["start"] + k
+                    if blank < at:  # else it ends where the version line before it ended
+                        blank, raw = _blank(file, at, r["size"], data, r["start"])
+                        if blank < 0:
+                            break
+                        lines = Lines(raw, at)
+                    length = lines.content_length(at)
+                    if length >= 0:
+                        follow[at] = blank + 4 + length + 4
                     k = data.find(VERSION, k + 1)
             onward: dict[int, int] = {}
             for at in sorted(follow, reverse=True):
@@ -161,7 +211,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest = fields["warc-payload-digest"].removeprefix("sha256:")
                     if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"{r['path']}: the record at {at} differs from its digest")
-                    refers = fields.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
+                    refers = fields.get("warc-refers-to", "").removeprefix("<urn:page:").partition(":")[0]
                     out.append((int(fields["x-page-id"]) if fields["x-page-id"] else None, fields["warc-target-uri"], fields["warc-type"], int(refers) if refers else None,
                                 digest, length if payload is not None else int(fields["x-payload-length"]), payload))
                     held += length

@@ -60,3 +60,42 @@ def test_different_payloads_of_one_page(spark):
     found = warc.read(warc.write(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string")))
     assert rows(found) == want(pages)
     assert sorted(bytes(r.payload).decode() for r in found.collect() if r.payload is not None) == sorted([a, b, alone, alone, "short"])
+
+
+def test_version_lines_without_a_blank_line(spark):
+    """Megabytes of version lines, alone or within fields, take time in proportion."""
+    import time
+    version = warc.VERSION.decode()
+    pages = [(1, version * 300_000), (2, f"X: {version}" * 200_000 + "Content-Length: 5\r\n\r\nhello"), (3, "plain")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string").coalesce(1)
+    archives = warc.write(df)
+    began = time.time()
+    assert rows(warc.read(archives)) == want(pages)
+    assert time.time() - began < 60
+
+
+def test_revisits_name_records(spark):
+    pages = [(k, "h" * (150 + k // 10)) for k in range(30)]
+    archives = warc.write(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string").repartition(3))
+    ids, named = set(), set()
+    for r in archives.collect():
+        for line in open(r.path.removeprefix("file:"), "rb").read().split(b"\r\n"):
+            if line.startswith(b"WARC-Record-ID: "):
+                ids.add(line.split(b": ")[1])
+            if line.startswith(b"WARC-Refers-To: "):
+                named.add(line.split(b": ")[1])
+    assert len(ids) == 30 and len(named) == 3 and named <= ids
+
+
+def test_lines_agree_with_the_parser():
+    import random
+    rng = random.Random(1)
+    parts = [warc.VERSION, b"A: b\r\n", b"Content-Length: 7\r\n", b"content-length: x\r\n", b"junk\r\n", b": v\r\n", b"X: WARC/1.1\r\n", b"Content-Length:12\r\n"]
+    for _ in range(2000):
+        raw = warc.VERSION + b"".join(rng.choice(parts) for _ in range(rng.randrange(0, 9)))
+        raw = raw[:-2]  # its blank line is cut off
+        lines, at = warc.Lines(raw, 1000), raw.find(warc.VERSION)
+        while at >= 0:
+            fields = warc.parse_header(raw[at:])
+            assert lines.content_length(1000 + at) == (-1 if fields is None else int(fields["content-length"])), raw[at:]
+            at = raw.find(warc.VERSION, at + 1)
