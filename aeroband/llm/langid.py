@@ -5,7 +5,8 @@ and one backwards; every byte position gets language probabilities from both sta
 document's probabilities are the mean over all its positions.  Gates are clipped lines
 instead of sigmoids, which keeps a step cheap.  The network is trained here, on the driver,
 by backpropagation through time with Adam, on ``SAMPLE`` documents of each language at most
-(in hash order of their ids) and ``PARTS`` pieces of ``LESSON`` bytes of each.  Prediction
+(in hash order of their ids) and ``PARTS`` pieces of ``LESSON`` bytes of each, in ``UPDATES``
+steps for every four languages.  Prediction
 reads whole texts in one pass without a shuffle.
 
 Edge cases.  A text that is null or has no letter is ``und`` with score 0.  Without any
@@ -184,7 +185,7 @@ def _grid(pieces: list[bytes], length: int) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network from ``docs`` (doc_id, text, lang); None where no text is labelled."""
     known = docs.filter("lang is not null and text is not null and doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    languages = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()]
+    languages = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]  # one row a language, as the network has
     order = Window.partitionBy("lang", "__part").orderBy("__hash", "doc_id")
     # A language may hold most rows: keep the first of each of many parts, then the first of those.
     ranked = known.withColumn("__hash", F.xxhash64("doc_id")).withColumn("__part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64)))
@@ -197,7 +198,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     if not data:
         return None
     data.sort()
-    return train_network([p for p, _ in data], np.array([x for _, x in data]), languages)
+    return train_network([p for p, _ in data], np.array([x for _, x in data]), languages, UPDATES * max(1, -(-len(languages) // 4)))
 
 
 def pooled(net: Network, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
