@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aeroband.functions import arrays as X
+from aeroband.session import small_side
 
 C = F.col
 LIGHT_M_S = 299792458.0
@@ -40,13 +41,26 @@ def best_reference(measurements: DataFrame) -> DataFrame:
         F.max_by("receiver_id", F.struct("mean_snr", -C("receiver_id"))).alias("receiver_id"), F.max("mean_snr").alias("mean_snr"))
 
 
+def installations(receivers: DataFrame) -> DataFrame:
+    """(array_id, rs): the receivers of each installation, a handful, as one array."""
+    return receivers.groupBy("array_id").agg(F.array_sort(F.collect_list(F.struct("receiver_id", "x", "y", "z"))).alias("rs"))
+
+
 def gathered(measurements: DataFrame, receivers: DataFrame) -> DataFrame:
-    """One row per event: reference coordinates and rows ``m`` of (x, y, z, d, w)."""
-    ref = receivers.select(C("receiver_id").alias("ref_id"), *[C(c).alias(f"r{c}") for c in "xyz"])
-    other = receivers.select(C("receiver_id").alias("other_id"), *[C(c).alias(f"o{c}") for c in "xyz"])
-    joined = measurements.join(ref, "ref_id").join(other, "other_id")
-    row = F.struct("other_id", C("ox").alias("x"), C("oy").alias("y"), C("oz").alias("z"), distance_difference().alias("d"), C("quality").alias("w"))
-    return joined.groupBy("event_id", "array_id", "ref_id", "rx", "ry", "rz").agg(F.array_sort(F.collect_list(row)).alias("m"))
+    """One row per event: reference coordinates and rows ``m`` of (x, y, z, d, w).
+
+    Measurements meet by event, so a busy installation's events are spread over all tasks;
+    its receivers come to them as one array and are looked up in the row.
+    """
+    row = F.struct("other_id", distance_difference().alias("d"), C("quality").alias("w"))
+    events = measurements.groupBy("event_id", "array_id", "ref_id").agg(F.collect_list(row).alias("_m"))
+    placed = events.join(small_side(installations(receivers)), "array_id")
+    at = lambda i: F.get(F.filter("rs", lambda r: r["receiver_id"] == i), F.lit(0))
+    met = F.transform("_m", lambda r: F.struct(r["other_id"].alias("other_id"), at(r["other_id"]).alias("p"), r["d"].alias("d"), r["w"].alias("w")))
+    known = F.filter(met, lambda r: r["p"].isNotNull())
+    m = F.transform(known, lambda r: F.struct(r["other_id"].alias("other_id"), *[r["p"][c].alias(c) for c in "xyz"], r["d"].alias("d"), r["w"].alias("w")))
+    found = placed.withColumn("_ref", at(C("ref_id"))).filter(C("_ref").isNotNull()).withColumn("m", F.array_sort(m)).filter(F.size("m") > 0)
+    return found.select("event_id", "array_id", "ref_id", *[C(f"_ref.{c}").alias(f"r{c}") for c in "xyz"], "m")
 
 
 def _sum(m: Column, fn) -> Column:

@@ -109,7 +109,7 @@ SQL: dict[str, str] = {
                s_acctbal / 500.0 AS snr
         FROM supplier""",
     "emissions": """
-        SELECT c_custkey AS event_id, c_custkey % 16 AS array_id, ((c_custkey * 37) % 900 + 50)::DOUBLE AS x,
+        SELECT c_custkey AS event_id, c_custkey % (SELECT max(s_suppkey) // 6 + 1 FROM supplier) AS array_id, ((c_custkey * 37) % 900 + 50)::DOUBLE AS x,
                ((c_custkey * 53) % 900 + 50)::DOUBLE AS y, ((c_custkey * 17) % 100 + 10)::DOUBLE AS z
         FROM customer""",
     "tdoa_measurements": """
@@ -278,8 +278,9 @@ def receivers(spark: SparkSession, d: str) -> DataFrame:
 
 def emissions(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("c_custkey")
+    arrays = table(spark, d, "supplier").agg(F.floor(F.max("s_suppkey") / 6) + 1).scalar()
     return table(spark, d, "customer").select(
-        c.alias("event_id"), (c % 16).alias("array_id"), ((c * 37) % 900 + 50).cast("double").alias("x"),
+        c.alias("event_id"), (c % arrays).alias("array_id"), ((c * 37) % 900 + 50).cast("double").alias("x"),
         ((c * 53) % 900 + 50).cast("double").alias("y"), ((c * 17) % 100 + 10).cast("double").alias("z"))
 
 
