@@ -345,7 +345,7 @@ def multipath_delay_s(sample_rate: float, i="i", q="q") -> Column:
             return X.dot(F.slice(z["i"], k + 1, n - k), F.slice(z["i"], F.lit(1), n - k)) + X.dot(F.slice(z["q"], k + 1, n - k), F.slice(z["q"], F.lit(1), n - k))
 
         base = X.dot(z["i"], z["i"]) + X.dot(z["q"], z["q"])
-        low = X.let(base, lambda b: F.filter(X.indices(z["i"]), lambda k: real(k) / b < 0.1))
+        low = X.let(base, lambda b: F.filter(X.indices(z["i"]), lambda k: (b > 0) & (real(k) < 0.1 * b)))
         return F.coalesce(F.array_min(low) / sample_rate, F.lit(0.0))
 
     return X.let(F.struct(X._c(i).alias("i"), X._c(q).alias("q")), build)

@@ -127,3 +127,45 @@ def power_spectrum(re="re", im="im", decibels: bool = False):
 
 def magnitude_spectrum(re="re", im="im", decibels: bool = False):
     return F.zip_with(re, im, (lambda a, b: 20 * F.log10(F.sqrt(a * a + b * b) + F.lit(1e-12))) if decibels else (lambda a, b: F.sqrt(a * a + b * b)))
+
+
+def multipath_delay(frames: DataFrame, sample_rate: float, keep=("frame_id",), i="i", q="q", limit: float = 0.1) -> DataFrame:
+    """``delay_s``: the first lag whose real autocorrelation falls below ``limit`` of that at zero.
+
+    All lags come from one transform of the zero-padded frame; short frames may use
+    ``iq.multipath_delay_s`` in the row.
+    """
+    def work(x):
+        n = x.shape[1]
+        size = 1 << (2 * n - 1).bit_length()
+        power = np.abs(np.fft.fft(x, size, axis=1)) ** 2
+        lags = np.fft.ifft(power, axis=1)[:, :n].real
+        low = lags < limit * lags[:, :1]
+        low[lags[:, 0] <= 0] = False
+        return 1, {"delay_s": pa.array(np.where(low.any(axis=1), low.argmax(axis=1), 0) / sample_rate)}
+
+    return _map_frames(frames, list(keep), [T.StructField("delay_s", T.DoubleType())], work, i, q)
+
+
+def symbol_rates(spectra: DataFrame, sample_rate: float, keep=("frame_id",), minimum: float = 0.1, candidates: int = 20) -> DataFrame:
+    """``symbol_rate``: median of the candidate rates whose spectral correlation passes the limit, else zero.
+
+    Spectra (``re``, ``im``) are matrices; each candidate is one shifted product of all of them.
+    """
+    low, high = sample_rate / 1000, sample_rate / 10
+    rates = np.array([low + (high - low) * k / (candidates - 1) for k in range(candidates)])
+
+    def work(x):
+        n = x.shape[1]
+        passed = np.zeros((len(x), candidates), bool)
+        for k, rate in enumerate(rates):
+            shift = int(np.floor(rate * n / sample_rate))
+            if 1 <= shift < n:
+                passed[:, k] = np.abs((x * np.conj(np.roll(x, shift, axis=1))).sum(axis=1)) / n > minimum
+        count = passed.sum(axis=1)
+        order = np.sort(np.where(passed, rates, np.inf), axis=1)
+        at = lambda k: order[np.arange(len(x)), np.maximum(k, 0)]
+        middle = (at((count - 1) // 2) + at(count // 2 - (count == 0))) / 2
+        return 1, {"symbol_rate": pa.array(np.where(count > 0, middle, 0.0))}
+
+    return _map_frames(spectra, list(keep), [T.StructField("symbol_rate", T.DoubleType())], work, "re", "im")

@@ -464,7 +464,7 @@ def _(spark, d):
    SELECT e.vec_id AS frame_id, round(coalesce(median(s.rate), 0), 4) AS symbol_rate FROM embeddings e LEFT JOIN s ON s.frame_id = e.vec_id AND s.m > 0.1 GROUP BY 1""")
 def _(spark, d):
     s = T.build_spectra(frames(spark, d), "hann")
-    return rounded(s.select("frame_id", I.symbol_rate(FS).alias("symbol_rate")), 4)
+    return rounded(T.symbol_rates(s, FS), 4)
 
 
 @query("o43_carrier_offset", """WITH x AS (SELECT frame_id, n, (pow(i*i-q*q, 2) - pow(2*i*q, 2)) * 1e4 AS a, 2*(i*i-q*q)*2*i*q * 1e4 AS b FROM iq_samples),
@@ -490,7 +490,7 @@ def _(spark, d):
 @query("o46_multipath_delay", """WITH r AS (SELECT a.frame_id, b.n - a.n AS k, sum(a.i*b.i + a.q*b.q) AS r FROM iq_samples a JOIN iq_samples b ON a.frame_id = b.frame_id AND b.n >= a.n GROUP BY 1, 2)
    SELECT r.frame_id, coalesce(min(r.k) FILTER (WHERE r.r / z.r < 0.1), 0) / 2e6 AS delay_s FROM r JOIN r z ON z.frame_id = r.frame_id AND z.k = 0 GROUP BY 1""")
 def _(spark, d):
-    return frames(spark, d).select("frame_id", I.multipath_delay_s(FS).alias("delay_s"))
+    return T.multipath_delay(frames(spark, d), FS)
 
 
 @query("o47_rf_fingerprint", """SELECT a.frame_id, round(s.sd, 6) AS phase_noise_std, round(s.mx, 6) AS phase_noise_max, round(20*log10(abs(avg(i)/(avg(q)+1e-12))), 4) AS imbalance_db,

@@ -205,3 +205,30 @@ def test_catalogue_parts_give_the_same_ranking(spark, monkeypatch):
     whole = sorted(tuple(r) for r in detectors.rank_signatures(df, sig).collect())
     monkeypatch.setattr(detectors, "CATALOGUE_PART", 7)
     assert sorted(tuple(r) for r in detectors.rank_signatures(df, sig).collect()) == whole
+
+
+@pytest.mark.parametrize("n", [32, 100, 2048])
+def test_matrix_forms_of_lag_measures(spark, n):
+    """Autocorrelation by transform and shifted products of whole matrices against plain loops."""
+    rng = np.random.default_rng(n)
+    echo = rng.normal(size=n) + 1j * rng.normal(size=n)
+    slow = np.convolve(echo, np.ones(9) / 3, "same")
+    signals = [echo, slow, np.ones(n) + 0j, np.zeros(n) + 0j, np.exp(2j * np.pi * 3 * np.arange(n) / n)]
+    frames = frames_of(spark, *signals)
+    delays = {r.frame_id: r.delay_s for r in transforms.multipath_delay(frames, 2e6).collect()}
+    spectra = transforms.build_spectra(frames, "hann")
+    rates = {r.frame_id: r.symbol_rate for r in transforms.symbol_rates(spectra, 2e6, minimum=0.05).collect()}
+    for k, z in enumerate(signals):
+        r = np.array([(z[lag:] * np.conj(z[:n - lag])).sum().real for lag in range(n)])
+        low = np.flatnonzero(r < 0.1 * r[0]) if r[0] > 0 else []
+        assert delays[k] == (low[0] / 2e6 if len(low) else 0.0)
+        x = np.fft.fftshift(np.fft.fft(z * transforms.window_values("hann", n)))
+        kept = []
+        for j in range(20):
+            rate = 2e3 + (2e5 - 2e3) * j / 19
+            a = int(rate * n / 2e6)
+            if 1 <= a < n and abs((x * np.conj(np.roll(x, a))).sum()) / n > 0.05:
+                kept.append(rate)
+        assert np.isclose(rates[k], np.median(kept) if kept else 0.0)
+    if n == 32:
+        assert {r.frame_id: r.d for r in frames.select("frame_id", iq.multipath_delay_s(2e6).alias("d")).collect()} == delays
