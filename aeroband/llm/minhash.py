@@ -157,8 +157,9 @@ def around_hubs(spokes: DataFrame, parts: DataFrame, numerator: int, denominator
     known = spokes.filter("prefix is not null").join(part.withColumnRenamed("node", "v"), "v", "left").withColumnRenamed("part", "own_part")
     known = known.join(part.withColumnRenamed("node", "u"), "u", "left").select(
         "u", "v", "n", "own", F.coalesce("own_part", "v").alias("part"), (F.coalesce("own_part", "v") != F.coalesce("part", "u")).alias("outside"), F.posexplode("prefix").alias("at", "shingle"))
-    level = lambda n: F.floor(F.log(n) / math.log(1.04)).cast("int")
     t = numerator / denominator
+    # Sizes of linked sets differ by a factor of 1/t at most: a probe meets three levels of that ratio.
+    level = lambda n: F.floor(F.log(n) / math.log(max(1 / t, 1.04))).cast("int")
     rare = F.col("at") < F.col("own")
     index = known.withColumn("level", F.when(rare, -1).otherwise(level(F.col("n"))))
     most = F.least(F.col("n") / t, (F.col("n") - F.col("own")) * (1 + t) / t - F.col("n"))
