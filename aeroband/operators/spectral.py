@@ -365,13 +365,14 @@ def peak_bandwidth_hz(peaks, df="bin_hz") -> Column:
 def match_signatures(frames: DataFrame, signatures: DataFrame, threshold_db: float, min_distance: int) -> DataFrame:
     """First signature, in catalogue order, whose bandwidth interval holds and whose confidence is met.
 
-    Intervals meet frames through cells of bandwidth, so the catalogue may grow freely.
+    Intervals meet frames through cells of their length class, thinned to those that can be
+    first, so the catalogue may grow freely.
     """
-    from aeroband.operators.relational import interval_join
+    from aeroband.operators.relational import first_match
     found = frames.withColumn("_p", K.detect("psd", threshold_db, min_distance)).filter(F.size("_p") > 0)
     scored = found.select("frame_id", peak_bandwidth_hz(C("_p")).alias("bandwidth"), signature_confidence("psd", lambda v: K.detect(v, threshold_db, min_distance)).alias("confidence"))
-    pairs = interval_join(scored, "bandwidth", signatures, "min_bandwidth", "max_bandwidth", cell=1e6).filter(C("confidence") >= C("min_confidence"))
-    return pairs.groupBy("frame_id").agg(F.min_by(F.struct("signature_id", "bandwidth", "confidence"), "position").alias("m")).select("frame_id", "m.*")
+    met = first_match(scored, "frame_id", "bandwidth", "confidence", signatures, "min_bandwidth", "max_bandwidth", "min_confidence", "position", ["signature_id"])
+    return met.select("frame_id", "signature_id", "bandwidth", "confidence")
 
 
 def spectral_features(psd, f0="f0_hz", df="bin_hz") -> Column:

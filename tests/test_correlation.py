@@ -40,3 +40,21 @@ def test_crowds_at_other_places_never_meet(spark, monkeypatch):
     monkeypatch.setattr(correlation, "_scored", lambda pairs, us: met.append(pairs.count()) or scored(pairs, us))
     every, few = correlation.candidates(det, msg).count(), correlation.above(det, msg, 0.7).count()
     assert few <= met[1] < met[0] / 5 and every > 5 * few
+
+
+def test_first_match_of_intervals(spark, monkeypatch):
+    """Intervals of all lengths, many of them hopeless behind earlier ones."""
+    from aeroband.operators import relational
+    rng = random.Random(4)
+    sigs = [(k, a := rng.uniform(-50, 900), a + rng.choice([0.0, 0.01, 1.0, 30.0, 400.0]) * rng.random(), rng.random()) for k in range(400)] + [(500, 3.0, 2.0, 0.0), (501, 0.0, 1000.0, 0.2)]
+    pts = [(k, rng.choice([rng.uniform(-60, 1000), sigs[k % 400][1], sigs[k % 400][2]]), rng.random()) for k in range(500)]
+    p = spark.createDataFrame(pts, "id long, x double, c double")
+    s = spark.createDataFrame(sigs, "position long, lo double, hi double, least double").withColumn("name", F.col("position") * 10)
+    got = {r.id: r.name for r in relational.first_match(p, "id", "x", "c", s, "lo", "hi", "least", "position", ["name"]).collect()}
+    want = {}
+    for i, x, c in pts:
+        hits = [k for k, lo, hi, least in sigs if lo <= x <= hi and c >= least]
+        if hits:
+            want[i] = 10 * min(hits)
+    assert got == want
+    assert relational.first_match(p, "id", "x", "c", s.limit(0), "lo", "hi", "least", "position", ["name"]).collect() == []
