@@ -11,8 +11,9 @@
    are measured on full sets: links, and how each class differs from its hub.
 4. What is left are pairs around one hub in different components.  Shingles that the hub
    lacks come first in each class's order, so a class far from the hub has a prefix of its
-   own edits, and a join on necessary prefix shingles, with length and positional bounds,
-   names few pairs even in a group of any size.  These are confirmed on full sets as well.
+   own edits, and a join on necessary prefix shingles, with length and positional bounds and
+   bitmaps of what each lacks of the hub, names few pairs even in a group of any size.  These
+   are confirmed on full sets as well.
    Pairs within one component need no check, so no link that matters is lost.
 
 The number of bands follows from the threshold so that a pair at the threshold shares no
@@ -142,13 +143,18 @@ def _ratio(common, numerator: int, denominator: int):
 
 
 def measured(spokes: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(u, v, n, own, linked, prefix): v's size, how many of its shingles u lacks, and for
-    crowded buckets v's necessary prefix with those first."""
+    """(u, v, n, own, linked, prefix, lacks, gone): v's size, how many of its shingles u lacks, for
+    crowded buckets v's necessary prefix with those first; how many of u's shingles v lacks, and these
+    as a bitmap of 512 places."""
     both = beside_hubs(spokes, sets, "shingles").withColumn("common", F.array_intersect("shingles_v", "shingles_u"))
     n = F.size("shingles_v")
     length = n - F.ceil(F.lit(numerator) * n / F.lit(denominator)).cast("int") + 1
     prefix = F.when(F.col("crowded"), F.slice(F.concat(F.array_except("shingles_v", "shingles_u"), "common"), F.lit(1), length))
-    return both.select("u", "v", n.alias("n"), (n - F.size("common")).alias("own"), _ratio(F.size("common"), numerator, denominator).alias("linked"), prefix.alias("prefix"))
+    places = F.expr("""transform(sequence(0, 7), w -> aggregate(filter(missing, s -> (shiftright(s, 6) & 7) = w), 0L,
+        (a, s) -> a | shiftleft(1L, cast(s & 63 as int))))""")
+    both = both.withColumn("missing", F.when(F.col("crowded"), F.array_except("shingles_u", "shingles_v")))
+    return both.select("u", "v", n.alias("n"), (n - F.size("common")).alias("own"), _ratio(F.size("common"), numerator, denominator).alias("linked"),
+                       prefix.alias("prefix"), (F.size("shingles_u") - F.size("common")).alias("lacks"), places.alias("gone"))
 
 
 def around_hubs(spokes: DataFrame, parts: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -156,7 +162,7 @@ def around_hubs(spokes: DataFrame, parts: DataFrame, numerator: int, denominator
     part = parts.withColumnRenamed("component", "part")
     known = spokes.filter("prefix is not null").join(part.withColumnRenamed("node", "v"), "v", "left").withColumnRenamed("part", "own_part")
     known = known.join(part.withColumnRenamed("node", "u"), "u", "left").select(
-        "u", "v", "n", "own", F.coalesce("own_part", "v").alias("part"), (F.coalesce("own_part", "v") != F.coalesce("part", "u")).alias("outside"), F.posexplode("prefix").alias("at", "shingle"))
+        "u", "v", "n", "own", "lacks", "gone", F.coalesce("own_part", "v").alias("part"), (F.coalesce("own_part", "v") != F.coalesce("part", "u")).alias("outside"), F.posexplode("prefix").alias("at", "shingle"))
     t = numerator / denominator
     # Sizes of linked sets differ by a factor of 1/t at most: a probe meets three levels of that ratio.
     level = lambda n: F.floor(F.log(n) / math.log(max(1 / t, 1.04))).cast("int")
@@ -172,6 +178,12 @@ def around_hubs(spokes: DataFrame, parts: DataFrame, numerator: int, denominator
     met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key]
     may = (F.col("x.part") != F.col("y.part")) & (F.lit(numerator) * F.greatest("x.n", "y.n") <= F.lit(denominator) * F.least("x.n", "y.n")) & (
         (numerator + denominator) * bound >= numerator * (F.col("x.n") + F.col("y.n")))
+    # A shingle of the hub counts only where no other one meets: then both share, of the hub's, all
+    # but what either lacks, and lack in common no more than the places their bitmaps share allow.
+    unlike = lambda a, b: F.aggregate(F.zip_with(f"{a}.gone", f"{b}.gone", lambda p, q: p.bitwiseAND(F.bitwise_not(q))), F.lit(0), lambda s, z: s + F.bit_count(z).cast("int"))
+    lacked = F.least(F.col("x.lacks") - unlike("x", "y"), F.col("y.lacks") - unlike("y", "x"))
+    shared = F.col("x.n") - F.col("x.own") - F.col("y.lacks") + lacked
+    may = may & ((F.col("x.at") < F.col("x.own")) | ((numerator + denominator) * shared >= numerator * (F.col("x.n") + F.col("y.n"))))
     return x.join(y, [*met, may]).select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v")).distinct()
 
 

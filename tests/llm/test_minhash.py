@@ -71,3 +71,18 @@ def test_differing_texts_of_one_document(spark):
     for order in (rows, rows[::-1]):
         got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), 3, 85, 100).collect()}
         assert got == {(1, 1), (2, 1), (3, 1), (5, 1), (7, 1), (8, 8)}
+
+
+def test_crowd_around_one_text(spark):
+    """Near copies of one text with edits of their own, at both sides of the threshold; some share edits."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(160)]
+    rows, shared = [(0, " ".join(base))], [rng.sample(range(160), 9) for _ in range(4)]
+    for i in range(1, 130):
+        w = list(base)
+        for p in (shared[i % 4] if i % 3 == 0 else []) + rng.sample(range(160), rng.choice([3, 5, 6, 8, 10])):
+            w[p] = f"{'s' if i % 6 == 0 else f'u{i}_'}{p}"
+        rows.append((i, " ".join(w)))
+    for n, num in ((5, 80), (3, 85)):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert result(minhash.near_duplicates(df, n, num, 100)) == brute(rows, n, num, 100)
