@@ -54,6 +54,9 @@ def gathered(measurements: DataFrame, receivers: DataFrame) -> DataFrame:
     """
     row = F.struct("other_id", distance_difference().alias("d"), C("quality").alias("w"))
     events = measurements.groupBy("event_id", "array_id", "ref_id").agg(F.collect_list(row).alias("_m"))
+    if "array_id" not in receivers.columns:  # then by the measurements they take part in
+        used = measurements.select("array_id", F.explode(F.array("ref_id", "other_id")).alias("receiver_id")).distinct()
+        receivers = receivers.join(used, "receiver_id")
     placed = events.join(small_side(installations(receivers)), "array_id")
     at = lambda i: F.get(F.filter("rs", lambda r: r["receiver_id"] == i), F.lit(0))
     met = F.transform("_m", lambda r: F.struct(r["other_id"].alias("other_id"), at(r["other_id"]).alias("p"), r["d"].alias("d"), r["w"].alias("w")))
