@@ -180,7 +180,8 @@ def around_hubs(spokes: DataFrame, parts: DataFrame, numerator: int, denominator
         (numerator + denominator) * bound >= numerator * (F.col("x.n") + F.col("y.n")))
     # A shingle of the hub counts only where no other one meets: then both share, of the hub's, all
     # but what either lacks, and lack in common no more than the places their bitmaps share allow.
-    unlike = lambda a, b: F.aggregate(F.zip_with(f"{a}.gone", f"{b}.gone", lambda p, q: p.bitwiseAND(F.bitwise_not(q))), F.lit(0), lambda s, z: s + F.bit_count(z).cast("int"))
+    gone = lambda a, k: F.col(f"{a}.gone").getItem(k)
+    unlike = lambda a, b: sum((F.bit_count(gone(a, k).bitwiseAND(F.bitwise_not(gone(b, k)))).cast("int") for k in range(8)), F.lit(0))
     lacked = F.least(F.col("x.lacks") - unlike("x", "y"), F.col("y.lacks") - unlike("y", "x"))
     shared = F.col("x.n") - F.col("x.own") - F.col("y.lacks") + lacked
     may = may & ((F.col("x.at") < F.col("x.own")) | ((numerator + denominator) * shared >= numerator * (F.col("x.n") + F.col("y.n"))))
