@@ -120,7 +120,7 @@ def _(spark, d):
     stale = msg.filter(F.array_contains(P.message_errors("2024-01-30 00:00:00", 5), "stale"))
     return L.condition_alerts({
         "no_remote_id": correlation.without_message(det, msg), "stale_data": stale,
-        "geofence_violation": G.containment(msg, V.zones(spark, d).filter("active")).select("id").distinct(),
+        "geofence_violation": G.positions_in_zones(msg, V.zones(spark, d).filter("active")).select("id").distinct(),
         "operator_unauthorized": correlation.unregistered(msg, _registry(spark, d))})
 
 
