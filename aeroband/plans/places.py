@@ -9,6 +9,7 @@ from aeroband.functions.numeric import rounded
 from aeroband.operators import correlation, filters as P, geofence as G, ordered, positioning as T, scans, tracking
 from aeroband.plans import views as V
 from aeroband.plans.registry import query
+from aeroband.session import small_side
 from aeroband.plans.sequences import SESSION_CTE, STEPS, dist_sql
 
 C = F.col
@@ -296,7 +297,7 @@ def _flat_events(spark, d):
     """Planar variant: receivers and emissions share one height."""
     r = V.receivers(spark, d).withColumn("z", F.lit(0.0))
     e = V.emissions(spark, d).select("event_id", C("x").alias("ex"), C("y").alias("ey"))
-    m = V.tdoa_measurements(spark, d).join(e, "event_id")
+    m = V.tdoa_measurements(spark, d).join(e.hint("merge"), "event_id")  # events grow: none goes whole to the driver
     at = {t: r.select(C("receiver_id").alias(f"{t}_id"), C("x").alias(f"{t}x"), C("y").alias(f"{t}y")) for t in ("ref", "other")}
     j = m.join(at["ref"], "ref_id").join(at["other"], "other_id")
 
@@ -333,7 +334,7 @@ def _(spark, d):
    SELECT event_id, round(sqrt(avg(miss * miss)), 6) AS residual_m FROM g GROUP BY 1""")
 def _(spark, d):
     guess = V.emissions(spark, d).select("event_id", F.struct((C("x") + 5).alias("x"), (C("y") - 3).alias("y"), "z").alias("fix"))
-    return rounded(T.residuals(_events(spark, d).join(guess, "event_id"), 3).select("event_id", "residual_m"))
+    return rounded(T.residuals(_events(spark, d).join(guess.hint("merge"), "event_id"), 3).select("event_id", "residual_m"))
 
 
 HROWS = """WITH h AS (SELECT e.event_id, (e.x-r.x)/d AS a, (e.y-r.y)/d AS b, (e.z-r.z)/d AS c FROM (SELECT e.event_id, e.x, e.y, e.z, r.x AS rx, r.y AS ry, r.z AS rz,
@@ -397,9 +398,9 @@ def _(spark, d):
 def _(spark, d):
     linear = T.linear_fix(_flat_events(spark, d).filter(F.size("m") >= 3), 2)
     fixed = T.residuals(T.refine(linear.withColumn("start", C("fix")), C("start")), 2).select("event_id", "fix", "residual_m")
-    rs = V.receivers(spark, d).groupBy("array_id").agg(F.array_sort(F.collect_list(F.struct("receiver_id", "x", "y", "z"))).alias("rs"))
-    heights = V.emissions(spark, d).select("event_id", "array_id", C("z").alias("pz")).join(rs, "array_id")
-    points = fixed.join(heights, "event_id").withColumn("px", C("fix.x")).withColumn("py", C("fix.y"))
+    heights = V.emissions(spark, d).select("event_id", "array_id", C("z").alias("pz"))
+    placed = fixed.join(heights.hint("merge"), "event_id").join(small_side(T.installations(V.receivers(spark, d))), "array_id")
+    points = placed.withColumn("px", C("fix.x")).withColumn("py", C("fix.y"))
     stats = T.fix_statistics(T.dilution(points).select((C("residual_m") < 1.0).alias("converged"), C("dop.gdop").alias("gdop"), "residual_m"))
     return stats.select("total", "converged", F.round("mean_residual", 4).alias("mean_residual"), "success_percent", F.round("mean_gdop", 3).alias("mean_gdop"))
 
