@@ -100,19 +100,25 @@ def first_match(points: DataFrame, key: str, at: str, height: str, intervals: Da
     Intervals are listed under cells a quarter of their length class wide, whatever their
     lengths, six at most.  In a cell that an interval covers whole, it matters only if no earlier
     one that does asks for as little; the rest of the skyline falls away before points meet it.
+    Of equal intervals that ask for the same only the first is listed, so what is sorted and
+    written per cell grows with the different ones.
     """
-    lengths = intervals.filter((F.col(high) >= F.col(low))).withColumn(
+    carried = [c for c in keep if c not in (low, high, least, position)]
+    first = F.min_by(F.struct(position, *carried), position).alias("_i")
+    different = intervals.filter(F.col(high) >= F.col(low)).groupBy(low, high, least).agg(first).select(low, high, least, "_i.*")
+    lengths = different.withColumn(
         "_level", F.when(F.col(high) > F.col(low), F.ceil(F.log2(F.col(high) - F.col(low))).cast("int") - 2).otherwise(F.lit(-40)))
     width = F.pow(F.lit(2.0), F.col("_level"))
     cells = F.sequence(F.floor(F.col(low) / width).cast("long"), F.floor(F.col(high) / width).cast("long"))
     spread = lengths.withColumn("_cell", F.explode(cells))
     spread = spread.withColumn("_whole", (F.col("_cell") * width >= F.col(low)) & ((F.col("_cell") + 1) * width <= F.col(high)))
-    earlier = Window.partitionBy("_level", "_cell", "_whole").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    spread = spread.withColumn("_asked", F.min(least).over(earlier)).filter(~F.col("_whole") | F.col("_asked").isNull() | (F.col(least) < F.col("_asked")))
+    earlier = Window.partitionBy("_level", "_cell").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    whole = spread.filter("_whole").withColumn("_asked", F.min(least).over(earlier)).filter(F.col("_asked").isNull() | (F.col(least) < F.col("_asked")))
+    spread = whole.drop("_asked").unionByName(spread.filter(~F.col("_whole")))
     levels = lengths.agg(F.array_sort(F.collect_set("_level"))).scalar()  # a handful: length classes
     placed = points.select(key, at, height).withColumn("_level", F.explode(levels)).withColumn("_cell", F.floor(F.col(at) / width).cast("long"))
     inside = (F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)) & (F.col(height) >= F.col(least))
-    met = placed.join(spread.select("_level", "_cell", low, high, least, position, *[c for c in keep if c not in (low, high, least, position)]), ["_level", "_cell"]).filter(inside)
+    met = placed.join(spread.select("_level", "_cell", low, high, least, position, *carried), ["_level", "_cell"]).filter(inside)
     best = met.groupBy(key, at, height).agg(F.min_by(F.struct(*keep), position).alias("_m"))
     return best.select(key, at, height, *[F.col(f"_m.{c}").alias(c) for c in keep])
 

@@ -58,3 +58,19 @@ def test_first_match_of_intervals(spark, monkeypatch):
             want[i] = 10 * min(hits)
     assert got == want
     assert relational.first_match(p, "id", "x", "c", s.limit(0), "lo", "hi", "least", "position", ["name"]).collect() == []
+
+
+def test_equal_intervals_are_listed_once(spark):
+    """Repeats in a catalogue took disk for every cell of every copy."""
+    from aeroband.operators import relational
+    s = spark.range(5000).selectExpr("id AS position", "id AS name", "1.0D * (id % 3) AS lo", "1.0D * (id % 3) + 4 AS hi", "(id % 4) / 10.0D AS least").repartition(8)
+    p = spark.createDataFrame([(1, 0.5, 0.05), (2, 2.5, 0.35), (3, 5.5, 0.15), (4, 9.0, 1.0)], "id long, x double, c double")
+    met = relational.first_match(p, "id", "x", "c", s, "lo", "hi", "least", "position", ["name"])
+    want = {}
+    for i, x, c in p.collect():
+        hits = [k for k in range(5000) if k % 3 <= x <= k % 3 + 4 and c >= (k % 4) / 10]
+        if hits:
+            want[i] = hits[0]
+    assert {r.id: r.name for r in met.collect()} == want
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [lo" in plan[plan.index("Generate explode(sequence"):]
