@@ -17,20 +17,36 @@ from aeroband.operators.ordered import SEG
 
 C = F.col
 STEP = 0.01
+#: Levels of histograms that leave together.
+ENTRY_LEVELS = 500_000
+
+
+def _merged(levels: np.ndarray, counts: np.ndarray, more, n) -> tuple[np.ndarray, np.ndarray]:
+    joined, at = np.unique(np.concatenate([levels, np.asarray(more, np.int64)]), return_inverse=True)
+    summed = np.zeros(len(joined), np.int64)
+    np.add.at(summed, at, np.concatenate([counts, np.asarray(n, np.int64)]))
+    return joined, summed
 
 
 def _entries(batches):
-    """Rows (band, bin, slice, levels, counts) in that order to the histogram before each slice."""
-    held, known = None, {}
+    """Rows (band, bin, slice, levels, counts) in that order to the histogram before each slice.
+
+    A histogram grows with its history, so rows leave by their levels, not by the batch.
+    """
+    held, nothing = None, np.zeros(0, np.int64)
+    levels = counts = nothing
     for pdf in batches:
-        rows = []
-        for band, at, piece, levels, counts in pdf.itertuples(index=False):
+        rows, weight = [], 0
+        for band, at, piece, own, n in pdf.itertuples(index=False):
             if (band, at) != held:
-                held, known = (band, at), {}
-            order = sorted(known)
-            rows.append((band, at, piece, order, [known[x] for x in order]))
-            for level, n in zip(levels.tolist(), counts.tolist()):
-                known[level] = known.get(level, 0) + n
+                held, levels, counts = (band, at), nothing, nothing
+            rows.append((band, at, piece, levels, counts))
+            weight += len(levels)
+            if weight >= ENTRY_LEVELS:
+                yield pd.DataFrame(rows, columns=pdf.columns)
+                rows, weight = [], 0
+            if len(own):
+                levels, counts = _merged(levels, counts, own, n)
         yield pd.DataFrame(rows, columns=pdf.columns)
 
 

@@ -40,3 +40,23 @@ def test_running_median():
             assert (np.isnan(running.median()) and not seen) or running.median() == np.median(seen)
             running.add(x)
             seen.append(x)
+
+
+def test_entries_leave_by_their_levels():
+    """A batch of long histories held every one of their histograms at once."""
+    import tracemalloc
+
+    import pandas as pd
+    from aeroband.operators import baselines
+    width = 2000
+    rows = [(1, 0, k, np.arange(width) + (k % 2) * width, np.ones(width, np.int64)) for k in range(1000)] + [(2, 0, 0, np.array([7, 7]), np.array([1, 2])), (2, 0, 1, np.array([3]), np.array([4])), (2, 0, 2, np.zeros(0), np.zeros(0))]
+    pdf = pd.DataFrame(rows, columns=["band", "bin", "slice", "levels", "counts"])
+    tracemalloc.start()
+    n, last = 0, []
+    for out in baselines._entries([pdf]):
+        n += len(out)
+        last = out.values.tolist()[-3:]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(rows) and peak < 40e6
+    assert [(b, s, list(x), list(c)) for b, _, s, x, c in last] == [(2, 0, [], []), (2, 1, [7], [3]), (2, 2, [3, 7], [4, 3])]
