@@ -30,6 +30,8 @@ SUFFIXES = {
 }
 MAGIC = [("\x93NUMPY", 0, "numpy"), ("\x89HDF\r\n\x1a\n", 0, "hdf5"), ("SIGM", 0, "sigmf")]
 CHUNK_SAMPLES = 16384
+#: Samples of chunk rows that leave together.
+FRAME_SAMPLES = 1 << 18
 
 FRAME_SCHEMA = "path string, chunk long, sample_offset long, i array<float>, q array<float>, _error string"
 
@@ -133,14 +135,24 @@ def build_frames(spark: SparkSession, path: str, dtype: str = "complex64", chunk
             i, q = decode_samples(pending, dtype)
             yield offset, i, q
 
+    def frame(made):
+        return pd.DataFrame(made, columns=["path", "chunk", "sample_offset", "i", "q", "_error"])
+
     def run(batches):
+        made, samples = [], 0
         for pdf in batches:
             for p, fmt, start in zip(pdf["path"], pdf["format"], pdf["start"]):
                 try:
                     for offset, i, q in rows(p, fmt, int(start)):
-                        yield pd.DataFrame({"path": [p], "chunk": [offset // chunk], "sample_offset": [offset], "i": [i], "q": [q], "_error": [None]})
+                        made.append((p, offset // chunk, offset, i, q, None))
+                        samples += len(i)
+                        if samples >= FRAME_SAMPLES:
+                            yield frame(made)
+                            made, samples = [], 0
                 except Exception as ex:  # one bad file must not end the job
-                    yield pd.DataFrame({"path": [p], "chunk": [-1], "sample_offset": [-1], "i": [None], "q": [None], "_error": [f"{type(ex).__name__}: {ex}"]})
+                    made.append((p, -1, -1, None, None, f"{type(ex).__name__}: {ex}"))
+        if made:
+            yield frame(made)
 
     return ranges.repartition(C("path"), C("start")).mapInPandas(run, FRAME_SCHEMA)
 
