@@ -1,11 +1,15 @@
 """Keyed state with event-time timers, right across micro-batches.
 
 Rows of a key may come in any order the watermark allows, also over several micro-batches.
-They wait in the key's map state, one entry for each slot of time they fall into.  A timer at
-the slot's end fires once the watermark has passed it; the slot's rows are then folded in
-(time, id) order and its entry removed, so the result is that of the whole sorted stream.  A
-batch reads and writes the slots of its own rows and of the timers that fire, never what else
-waits.  What waits is bounded by the watermark's delay.
+Keys are dealt to a fixed number of buckets, and a bucket's rows wait in its map state, one
+entry for each slot of time and batch they fall into.  A timer at the slot's end fires once
+the watermark has passed it; the slot's rows are then folded key by key in (time, id) order
+and its entries removed, so the result is that of the whole sorted stream.  A batch writes its
+own rows and reads the slots of the timers that fire, never what else waits.  What waits is
+bounded by the watermark's delay.
+
+Calls of the state store and timers grow with buckets and slots, not with keys: a bucket's
+keys are remembered in one value, which is read and written when a slot of the bucket ends.
 
 A key that was silent for ``forget_s`` loses its state, and its next row starts afresh.  State
 is kept by the RocksDB provider, so it may outgrow an executor's memory.
@@ -17,13 +21,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 US = 1_000_000
 FORGET_S = 90 * 86400.0
 SLOT_S = 60.0
+#: Part of the layout of the state: a checkpoint goes on with the number it began with.
+BUCKETS = 512
+FRAME = 10_000  # rows out at once
+NEVER = 2**62
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,114 +39,150 @@ def _micros(series) -> np.ndarray:
     return series.astype("datetime64[us]").astype("int64").to_numpy()
 
 
+def _longs(x) -> bytes:
+    return np.asarray(x, np.int64).tobytes()
+
+
 class InOrder(StatefulProcessor):
-    """``fold(key, memory, times, ids, values)`` for the rows of a slot, in order, and
-    ``quiet(key, memory, now)`` when all rows before ``now`` are folded."""
+    """``fold(key, memory, times, ids, values)`` for a key's rows of a slot, in order, and
+    ``quiet(key, memory, now)`` when all rows before ``now`` are folded; for the keys of a bucket."""
 
-    def __init__(self, values, names, start, fold, quiet, ts, tie, slot_us, forget_us):
-        self.values, self.names, self.start, self.fold, self.quiet = values, names, start, fold, quiet
+    def __init__(self, key, values, names, start, fold, quiet, ts, tie, slot_us, forget_us):
+        self.key, self.values, self.names, self.start, self.fold, self.quiet = key, values, names, start, fold, quiet
         self.ts, self.tie, self.slot_us, self.forget_us = ts, tie, slot_us, forget_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot long", "times array<long>, ids array<long>, held array<double>")
-        self.memory = handle.getValueState("memory", "numbers array<double>, latest long, timer_ms long, slots array<long>")
+        self.waiting = handle.getMapState("waiting", "slot long, part long", "keys array<string>, places binary, times binary, ids binary, held binary")
+        self.standing = handle.getValueState("standing", "slots array<long>, parts array<long>, timer_ms long")
+        self.memory = handle.getValueState("memory", "keys array<string>, numbers binary, latest binary, due binary")
 
     def _end_ms(self, us: int) -> int:
         """End of the slot that holds a time."""
         return -(-((us // self.slot_us + 1) * self.slot_us) // 1000)
 
-    def _known(self):
-        """Memory, time of the last row folded, the quiet or forgetting timer that stands, slots that wait."""
-        if not self.memory.exists():
-            return list(self.start), None, -1, []
-        numbers, latest, timer_ms, slots = self.memory.get()
-        return list(numbers), latest, timer_ms, list(slots)
+    def _standing(self) -> tuple[dict, int]:
+        """Slots that wait with their numbers of parts, and the quiet or forgetting timer that stands."""
+        found = self.standing.get()
+        return (dict(zip(found[0], found[1])), found[2]) if found else ({}, -1)
+
+    def _known(self) -> dict:
+        """For each key its memory, the time of its last row folded and when to ask ``quiet`` again."""
+        found = self.memory.get()
+        if not found:
+            return {}
+        keys, numbers, latest, due = found
+        numbers = np.frombuffer(numbers, float).reshape(len(keys), len(self.start)).tolist()
+        return {k: [*own] for k, *own in zip(keys, numbers, np.frombuffer(latest, np.int64).tolist(), np.frombuffer(due, np.int64).tolist())}
+
+    def _keep(self, slots: dict, timer_ms: int, known: dict) -> None:
+        if slots or known:
+            self.standing.update((list(slots), list(slots.values()), timer_ms))
+        else:
+            self.standing.clear()
+        if known:
+            numbers, latest, due = zip(*known.values())
+            self.memory.update((list(known), np.array(numbers, float).tobytes(), _longs(latest), _longs(due)))
+        else:
+            self.memory.clear()
+
+    def _taken(self, slot: int, parts: int):
+        """The rows of a slot (keys, and for each row a place among them, time, id and values), removed."""
+        index, taken = {}, []
+        for part in range(parts):
+            keys, places, times, ids, held = self.waiting.getValue((slot, part))
+            self.waiting.removeKey((slot, part))
+            own = np.array([index.setdefault(k, len(index)) for k in keys], np.int64)
+            taken.append((own[np.frombuffer(places, np.int64)], np.frombuffer(times, np.int64), np.frombuffer(ids, np.int64),
+                          np.frombuffer(held, float).reshape(-1, len(self.values)) if self.values else np.zeros((len(times) // 8, 0))))
+        return list(index), *(np.concatenate(x) for x in zip(*taken))
 
     def handleInputRows(self, key, rows, timerValues):
-        width, (numbers, latest, timer_ms, slots) = len(self.values), self._known()
-        held_slots = set(slots)
+        slots, timer_ms = self._standing()
         for pdf in rows:
             times, ids = _micros(pdf[self.ts]), pdf[self.tie].to_numpy(np.int64)
-            held = pdf[self.values].to_numpy(float).reshape(len(pdf), width)
-            own_slot = times // self.slot_us
+            held = pdf[self.values].to_numpy(float).reshape(len(pdf), len(self.values))
+            keys, own_slot = pdf[self.key].to_numpy(object), times // self.slot_us
             for slot in np.unique(own_slot).tolist():
-                own = own_slot == slot
-                new = times[own].tolist(), ids[own].tolist(), held[own].ravel().tolist()
-                if slot in held_slots:
-                    new = tuple(list(a) + b for a, b in zip(self.waiting.getValue((slot,)), new))
-                else:
-                    held_slots.add(slot)
+                own, index = own_slot == slot, {}
+                places = [index.setdefault(k if isinstance(k, str) else None, len(index)) for k in keys[own].tolist()]
+                if slot not in slots:
                     self.handle.registerTimer(self._end_ms(slot * self.slot_us))
-                self.waiting.updateValue((slot,), new)
-        self.memory.update((numbers, latest, timer_ms, sorted(held_slots)))
+                part = slots.get(slot, 0)
+                self.waiting.updateValue((slot, part), (list(index), _longs(places), _longs(times[own]), _longs(ids[own]), held[own].tobytes()))
+                slots[slot] = part + 1
+        self.standing.update((list(slots), list(slots.values()), timer_ms))
         return iter([])
 
+    def _fold_slot(self, known: dict, slot: int, parts: int) -> list:
+        keys, places, times, ids, held = self._taken(slot, parts)
+        order = np.lexsort((ids, times, places))
+        places, times, ids, held = places[order], times[order], ids[order], held[order]
+        first, before, made = np.diff(places, prepend=-1) != 0, np.concatenate([times[:1], times[:-1]]), []
+        for i in np.flatnonzero(first).tolist():
+            own = known.setdefault(keys[places[i]], [list(self.start), None, NEVER])
+            before[i] = times[i] if own[1] is None else own[1]
+        cut = times - before > self.forget_us
+        begins = np.flatnonzero(first | cut).tolist()
+        for a, b in zip(begins, [*begins[1:], len(times)]):
+            k = keys[places[a]]
+            own = known[k]
+            if cut[a]:  # silent for too long before this row
+                if self.quiet is not None:
+                    made.extend(self.quiet(k, own[0], int(times[a]))[1])
+                own[0] = list(self.start)
+            own[0], rows = self.fold(k, own[0], times[a:b], ids[a:b], held[a:b])
+            made.extend(rows)
+            own[1:] = int(times[b - 1]), -NEVER
+        return made
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         fired_ms, mark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() * 1000
         slot = (fired_ms * 1000 - 1) // self.slot_us
-        numbers, latest, timer_ms, slots = self._known()
-        made = []
-        if slot in slots:
-            slots.remove(slot)
-            times, ids, held = (np.array(x) for x in self.waiting.getValue((slot,)))
-            self.waiting.removeKey((slot,))
-            order = np.lexsort((ids, times))
-            times, ids = times[order].astype(np.int64), ids[order].astype(np.int64)
-            held = held.reshape(len(times), len(self.values)).astype(float)[order]
-            before = np.concatenate([[times[0] if latest is None else latest], times[:-1]])
-            cuts = np.flatnonzero(times - before > self.forget_us).tolist()
-            for a, b in zip([0, *cuts], [*cuts, len(times)]):
-                if a in cuts:  # silent for too long before this row
-                    if self.quiet is not None:
-                        made.append(self.quiet(key[0], numbers, int(times[a]))[1])
-                    numbers = list(self.start)
-                if a < b:
-                    numbers, rows = self.fold(key[0], numbers, times[a:b], ids[a:b], held[a:b])
-                    made.append(rows)
-            latest = int(times[-1])
-        if latest is None:
-            return iter([])
-        now, due = min([mark, *[s * self.slot_us for s in slots[:1]]]), None
-        if self.quiet is not None:
-            numbers, rows, due = self.quiet(key[0], numbers, now)
-            made.append(rows)
-        if not slots and latest + self.forget_us <= mark:
-            self.memory.clear()
-            return self._frames(made)
-        if timer_ms * 1000 <= mark:  # one timer stands at a time, for the earlier of both needs
-            wanted = min(latest + self.forget_us, int(due)) if due is not None and due > mark else latest + self.forget_us
-            timer_ms = self._end_ms(max(wanted, mark))
-            self.handle.registerTimer(timer_ms)
-        elif due is not None and mark < due and self._end_ms(int(due)) < timer_ms:
-            timer_ms = self._end_ms(int(due))
-            self.handle.registerTimer(timer_ms)
-        self.memory.update(([float(x) for x in numbers], latest, timer_ms, slots))
-        return self._frames(made)
-
-    def _frames(self, made: list):
-        return iter([pd.DataFrame(rows, columns=self.names) for rows in made if len(rows)])
+        (slots, timer_ms), known = self._standing(), self._known()
+        made = self._fold_slot(known, slot, slots.pop(slot)) if slot in slots else []
+        now = min([mark, *[s * self.slot_us for s in slots]])
+        for k, own in known.items():
+            if own[2] <= now:  # also where rows were folded
+                own[2] = NEVER
+                if self.quiet is not None:
+                    own[0], rows, due = self.quiet(k, own[0], now)
+                    made.extend(rows)
+                    own[2] = NEVER if due is None else int(due)
+        known = {k: own for k, own in known.items() if own[1] + self.forget_us >= now}
+        if known:  # one timer stands at a time, for the earlier of both needs
+            wanted = min(max(own[1] for own in known.values()) + self.forget_us, *(own[2] for own in known.values()))
+            wanted_ms = self._end_ms(max(wanted, mark))
+            if timer_ms * 1000 <= mark or wanted_ms < timer_ms:
+                timer_ms = wanted_ms
+                self.handle.registerTimer(timer_ms)
+        self._keep(slots, timer_ms, known)
+        return iter([pd.DataFrame(made[k:k + FRAME], columns=self.names) for k in range(0, len(made), FRAME)])
 
     def close(self) -> None:
         pass
 
 
 def in_order(stream: DataFrame, key: str, values: list[str], out: str, start: list[float], fold: Callable, quiet: Callable | None = None,
-             ts: str = "ts", tie: str = "id", forget_s: float = FORGET_S, slot_s: float = SLOT_S) -> DataFrame:
+             ts: str = "ts", tie: str = "id", forget_s: float = FORGET_S, slot_s: float = SLOT_S, buckets: int | None = None) -> DataFrame:
     """``fold(key, memory, times, ids, values)`` for every key's rows in order, some at a time,
     giving the new memory and rows out; ``values`` has a row of numbers for each.
 
     ``memory`` is a list of numbers that begins as ``start``.  ``quiet(key, memory, now)`` gives
     the new memory, rows out and the next time to ask, or None; all rows before ``now`` are
     folded by then.  Times are microseconds.  Rows leave ``slot_s`` late at most; longer slots
-    mean fewer entries and timers.
+    mean fewer entries and timers.  Keys come as text and leave as the type that ``out`` names.
+    A bucket's rows of a slot are folded in one task's memory: more ``buckets`` for larger streams.
     """
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    names = [f.split()[0] for f in out.split(", ")]
-    processor = InOrder(values, names, start, fold, quiet, ts, tie, int(slot_s * US), int(forget_s * US))
-    return stream.groupBy(key).transformWithStateInPandas(processor, StructType.fromDDL(out), "append", "EventTime")
+    fields = StructType.fromDDL(out).fields
+    processor = InOrder(key, values, [f.name for f in fields], start, fold, quiet, ts, tie, int(slot_s * US), int(forget_s * US))
+    dealt = stream.withColumn(key, F.col(key).cast("string")).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets or BUCKETS)))
+    made = StructType([StructField(f.name, StringType() if f.name == key else f.dataType) for f in fields])
+    folded = dealt.groupBy("_bucket").transformWithStateInPandas(processor, made, "append", "EventTime")
+    return folded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def _stamp(us: float) -> pd.Timestamp:

@@ -77,3 +77,30 @@ def test_silent_key_starts_afresh(spark, tmp_path):
         return [memory[0] + len(times)], [(k, int(i), memory[0] + n + 1) for n, i in enumerate(ids)]
     out = stateful.in_order(stream, "key", ["value"], "key string, id long, seen double", [0.0], fold, forget_s=1000.0)
     assert {(r.id, r.seen) for r in jobs.append(out, "out").collect() if r.id > 0 and r.key == "k"} == {(1, 1.0), (2, 1.0)}
+
+
+def test_state_calls_follow_buckets(spark, tmp_path, monkeypatch):
+    """Four hundred keys in four buckets: entries and timers are those of buckets, rows those of keys."""
+    monkeypatch.setattr(stateful, "BUCKETS", 4, raising=False)
+    rows = [(f"k{k % 400:03d}", k, 10.0 + k / 100, float(k)) for k in range(1200)]
+    stream = replay(spark, tmp_path, [rows[::2], rows[1::2], END], ["id", "ts", "value"])
+    def fold(k, memory, times, ids, values):
+        return [memory[0] + len(ids)], [(k, int(i), memory[0] + n + 1) for n, i in enumerate(ids)]
+    out = stateful.in_order(stream, "key", ["value"], "key string, id long, seen double", [0.0], fold, slot_s=1000.0)
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [int(p["stateOperators"][0]["numRowsTotal"]) for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(kept) < 100  # four hundred keys with an entry each were over 400
+    got = {(r.key, r.id, r.seen) for r in spark.read.parquet(f"{tmp_path}/out").filter("id >= 0").collect()}
+    assert got == {(k, i, 1.0 + i // 400) for k, i, *_ in rows}
+
+
+def test_keys_of_a_bucket_keep_apart(spark, tmp_path, monkeypatch):
+    """Keys of one bucket, a null key among them, are each silent, lost and forgotten by their own times."""
+    monkeypatch.setattr(stateful, "BUCKETS", 1, raising=False)
+    rows = [[("a", 1, 100.0, 0), (None, 2, 110.0, 0)], [("b", 3, 400.0, 0), (None, 4, 130.0, 0)], [("a", 5, 900.0, 0)], END]
+    stream = replay(spark, tmp_path, rows, ["id", "ts"])
+    got = {(r.key, r.state, r.s) for r in jobs.append(stateful.presence(stream, "key", 60), "out").selectExpr("key", "state", "unix_seconds(ts) as s").collect()}
+    assert {x for x in got if x[0] != "end"} == {
+        ("a", "ACTIVE", 100), ("a", "LOST", 160), ("a", "RECOVERED", 900), ("a", "LOST", 960),
+        (None, "ACTIVE", 110), (None, "LOST", 190), ("b", "ACTIVE", 400), ("b", "LOST", 460)}
