@@ -224,9 +224,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
 
     involved = spokes.select("u").union(spokes.select("v")).distinct().withColumnRenamed("u", "class_id")
     involved = materialise(classes.join(involved, "class_id").withColumnRenamed("first_id", "doc_id"), "minhash-involved")
-    candidates = sieve.sifted(texts, "doc_id", sieve.bitmap(involved, "doc_id")).filter("__maybe").join(involved, "doc_id", "left_semi").select("doc_id", "text")
-    sets = candidates.mapInArrow(partial(_sets, n=words), "doc_id long, print_a long, print_b long, n long, shingles array<long>").dropDuplicates(["doc_id", *prints])
-    sets = materialise(sets.join(involved, ["doc_id", *prints]).select(F.col("class_id").alias("doc_id"), "shingles"), "minhash-sets")
+    # The sieve lets some others through; their sets go in the join, so texts themselves are not shuffled.
+    candidates = sieve.sifted(texts, "doc_id", sieve.bitmap(involved, "doc_id")).filter("__maybe").select("doc_id", "text")
+    sets = candidates.mapInArrow(partial(_sets, n=words), "doc_id long, print_a long, print_b long, n long, shingles array<long>")
+    sets = sets.join(involved, ["doc_id", *prints]).dropDuplicates(["doc_id", *prints])
+    sets = materialise(sets.select(F.col("class_id").alias("doc_id"), "shingles"), "minhash-sets")
     spokes = materialise(measured(spokes, sets, numerator, denominator), "minhash-measured")
     links = spokes.filter("linked").select("u", "v")
     tied = not several.isEmpty()

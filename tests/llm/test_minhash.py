@@ -86,3 +86,19 @@ def test_crowd_around_one_text(spark):
     for n, num in ((5, 80), (3, 85)):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         assert result(minhash.near_duplicates(df, n, num, 100)) == brute(rows, n, num, 100)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Shuffle files of a written table go with the write, whenever the driver collects garbage."""
+    from aeroband.session import materialise
+    kept = lambda: {b.toString() for b in _blocks(spark) if b.isShuffle() or "shuffle" in b.toString()}
+    before = kept()
+    df = spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").count()
+    out = materialise(df, "shuffle-files")
+    assert not kept() - before
+    assert out.count() == df.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def _blocks(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return [found.apply(k) for k in range(found.length())]
