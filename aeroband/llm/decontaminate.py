@@ -186,6 +186,13 @@ def _summary(batches: Iterator[pa.RecordBatch], at_text: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([*rows.columns[:-2], *made], [*rows.schema.names[:-2], *names])
 
 
+def _marked(batches: Iterator[pa.RecordBatch], indexes: list, at_text: int) -> Iterator[pa.RecordBatch]:
+    """Marks of all indexes and their summary in one pass: one Python worker a task, not one for each step."""
+    for index in indexes:
+        batches = _mark(batches, index, at_text)
+    return _summary(batches, at_text)
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, index_words: int = INDEX_WORDS) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated in place of columns of these names."""
     text.lean(docs.sparkSession)
@@ -198,6 +205,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, index_words:
     at_text = docs.columns.index("text")
     texts = docs.select(F.col("text").cast("string").alias("text"))
     marked = docs.withColumn("text", F.col("text").cast("string")).withColumn("__spans", F.array().cast("array<long>")).withColumn("__items", F.array().cast("array<string>"))
+    indexes = []
     for k in range(slices):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
         windows = Windows([tuple(r) for r in part.collect()], width)
@@ -207,10 +215,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, index_words:
         lookups = {n: Lookup(np.concatenate(s)) for n, s in by_size.items()}
         counts = texts.mapInArrow(partial(_count, lookups=lookups), "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
         windows.choose_prefixes({r[0] & (1 << 64) - 1: r[1] for r in counts.collect()})  # no more rows than the index has shingles
-        index = spark.sparkContext.broadcast(windows)
-        marked = marked.mapInArrow(partial(_mark, index=index, at_text=at_text), marked.schema)
+        indexes.append(spark.sparkContext.broadcast(windows))
     schema = T.StructType([*marked.schema.fields[:-2], *T._parse_datatype_string("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").fields])
-    return marked.mapInArrow(partial(_summary, at_text=at_text), schema)
+    return marked.mapInArrow(partial(_marked, indexes=indexes, at_text=at_text), schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

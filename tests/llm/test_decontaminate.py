@@ -60,3 +60,12 @@ def test_edges_and_index_slices(spark):
     assert kept.columns == d.columns and kept.count() == sum(not r[5] for r in want)
     assert decontaminate.mark(d.limit(0), b).collect() == []
     assert not any(r.contaminated for r in decontaminate.mark(d, b.limit(0)).collect())
+
+
+def test_one_python_pass(spark):
+    """Marks of several indexes and their summary come from one pass over the texts."""
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "seven")], "doc_id long, text string")
+    items = spark.createDataFrame([(str(k), f"{w} x{k}") for k, w in enumerate(("one", "two", "three", "seven"))] + [("9", "two three")], "item_id string, text string")
+    out = decontaminate.mark(docs, items, index_words=8)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in out.collect()} == {(1, 6, 2, 1), (2, 1, 0, 0)}
