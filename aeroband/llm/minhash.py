@@ -9,11 +9,11 @@
    The signatures' equal lanes, corrected for accidental equality, estimate the similarity;
    in buckets of two, pairs whose estimate is six deviations short are dropped.  The others
    are measured on full sets: links, and how each class differs from its hub.
-4. What is left are pairs around one hub in different components.  Shingles that the hub
-   lacks come first in each class's order, so a class far from the hub has a prefix of its
-   own edits, and a join on necessary prefix shingles, with length and positional bounds and
-   bitmaps of what each lacks of the hub, names few pairs even in a group of any size.  These
-   are confirmed on full sets as well.
+4. What is left are pairs of classes around one hub in different components.  Shingles come in
+   one order for all, those that the fewest of these classes hold first, so the prefix that
+   linked sets must share holds few common shingles, and a join on it, with length and
+   positional bounds, names few pairs even in a group of any size, whether its texts differ by
+   what they add or by what they lack.  These are confirmed on full sets as well.
    Pairs within one component need no check, so no link that matters is lost.
 
 The number of bands follows from the threshold so that a pair at the threshold shares no
@@ -44,6 +44,7 @@ ROWS = 5
 BITS = 2
 MISS = 1e-7
 SPLIT = 256  # pairs of one hub that are measured together
+RARE = 8  # a shingle of no more classes needs no levels of size
 
 
 def bands_for(threshold: float, rows: int = ROWS) -> int:
@@ -143,48 +144,49 @@ def _ratio(common, numerator: int, denominator: int):
 
 
 def measured(spokes: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(u, v, n, own, linked, prefix, lacks, gone): v's size, how many of its shingles u lacks, for
-    crowded buckets v's necessary prefix with those first; how many of u's shingles v lacks, and these
-    as a bitmap of 512 places."""
-    both = beside_hubs(spokes, sets, "shingles").withColumn("common", F.array_intersect("shingles_v", "shingles_u"))
-    n = F.size("shingles_v")
-    length = n - F.ceil(F.lit(numerator) * n / F.lit(denominator)).cast("int") + 1
-    prefix = F.when(F.col("crowded"), F.slice(F.concat(F.array_except("shingles_v", "shingles_u"), "common"), F.lit(1), length))
-    places = F.expr("""transform(sequence(0, 7), w -> aggregate(filter(missing, s -> (shiftright(s, 6) & 7) = w), 0L,
-        (a, s) -> a | shiftleft(1L, cast(s & 63 as int))))""")
-    both = both.withColumn("missing", F.when(F.col("crowded"), F.array_except("shingles_u", "shingles_v")))
-    return both.select("u", "v", n.alias("n"), (n - F.size("common")).alias("own"), _ratio(F.size("common"), numerator, denominator).alias("linked"),
-                       prefix.alias("prefix"), (F.size("shingles_u") - F.size("common")).alias("lacks"), places.alias("gone"))
+    """(u, v, crowded, linked) of spokes, from full sets."""
+    both = beside_hubs(spokes, sets, "shingles")
+    return both.select("u", "v", "crowded", _ratio(F.size(F.array_intersect("shingles_v", "shingles_u")), numerator, denominator).alias("linked"))
+
 
+def necessary(spokes: DataFrame, parts: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(v, n, part, outside, at, shingle, met): the shingles at places ``at`` of each class's prefix that other classes hold.
 
-def around_hubs(spokes: DataFrame, parts: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs (u, v) of spokes of one hub, in different components, that may reach the threshold."""
+    ``met`` classes hold the shingle.  Only classes of crowded buckets around a hub take part, and of hubs
+    with a class in another component; ``outside`` tells those whose component is not that of every hub.
+    """
     part = parts.withColumnRenamed("component", "part")
-    known = spokes.filter("prefix is not null").join(part.withColumnRenamed("node", "v"), "v", "left").withColumnRenamed("part", "own_part")
-    known = known.join(part.withColumnRenamed("node", "u"), "u", "left").select(
-        "u", "v", "n", "own", "lacks", "gone", F.coalesce("own_part", "v").alias("part"), (F.coalesce("own_part", "v") != F.coalesce("part", "u")).alias("outside"), F.posexplode("prefix").alias("at", "shingle"))
+    known = spokes.filter("crowded").join(part.withColumnRenamed("node", "v"), "v", "left").withColumnRenamed("part", "own_part")
+    known = known.join(part.withColumnRenamed("node", "u"), "u", "left").select("u", "v", F.coalesce("own_part", "v").alias("part"), (F.coalesce("own_part", "v") != F.coalesce("part", "u")).alias("outside"))
+    nodes = known.join(known.filter("outside").select("u").distinct(), "u", "left_semi").groupBy("v", "part").agg(F.max("outside").alias("outside"))
+    members = sets.withColumnRenamed("doc_id", "v").join(nodes, "v")
+    held = materialise(members.select("v", F.explode("shingles").alias("shingle")), "minhash-held")
+    met = held.groupBy("shingle").agg(F.count("*").alias("met")).filter("met > 1")
+    shared = held.join(met, "shingle").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("met", "shingle"))).alias("shared"))
+    n, alone = F.col("n"), F.col("n") - F.size("shared")  # shingles of no other class come first
+    length = n - F.ceil(F.lit(numerator) * n / F.lit(denominator)).cast("int") + 1
+    prefix = members.select("v", F.size("shingles").alias("n"), "part", "outside").join(shared, "v")
+    prefix = prefix.select("v", "n", "part", "outside", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(length - alone, F.lit(0)))).alias("place", "s"))
+    return prefix.select("v", "n", "part", "outside", (F.col("alone") + F.col("place")).alias("at"), "s.shingle", "s.met")
+
+
+def across_parts(index: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (u, v) of ``necessary`` classes in different components that may reach the threshold."""
     t = numerator / denominator
     # Sizes of linked sets differ by a factor of 1/t at most: a probe meets three levels of that ratio.
     level = lambda n: F.floor(F.log(n) / math.log(max(1 / t, 1.04))).cast("int")
-    rare = F.col("at") < F.col("own")
-    index = known.withColumn("level", F.when(rare, -1).otherwise(level(F.col("n"))))
-    most = F.least(F.col("n") / t, (F.col("n") - F.col("own")) * (1 + t) / t - F.col("n"))
-    levels = F.when(rare, F.array(F.lit(-1))).when(most >= F.col("n") * t - 1, F.sequence(level(F.greatest(F.col("n") * t - 1, F.lit(1.0))), level(F.greatest(most + 1, F.col("n") * t)))).otherwise(F.array().cast("array<int>"))
-    probes = known.filter("outside").withColumn("level", F.explode(levels))
-    key = ["u", "shingle", "level"]
+    n, rare = F.col("n"), F.col("met") <= RARE
+    most = F.least(n / t, (n - F.col("at")) * (1 + t) / t - n)  # what follows in both sets bounds the other's size
+    levels = F.when(rare, F.array(F.lit(-1))).when(most >= n * t - 1, F.sequence(level(F.greatest(n * t - 1, F.lit(1.0))), level(F.greatest(most + 1, n * t)))).otherwise(F.array().cast("array<int>"))
+    probes = index.filter("outside").withColumn("level", F.explode(levels))
+    index = index.withColumn("level", F.when(rare, -1).otherwise(level(n)))
+    key = ["shingle", "level"]
     mixed = index.select(*key, "part").union(probes.select(*key, "part")).groupBy(*key).agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select(*key)
     x, y = probes.join(mixed, key, "left_semi").alias("x"), index.join(mixed, key, "left_semi").alias("y")
-    bound = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
     met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key]
-    may = (F.col("x.part") != F.col("y.part")) & (F.lit(numerator) * F.greatest("x.n", "y.n") <= F.lit(denominator) * F.least("x.n", "y.n")) & (
-        (numerator + denominator) * bound >= numerator * (F.col("x.n") + F.col("y.n")))
-    # A shingle of the hub counts only where no other one meets: then both share, of the hub's, all
-    # but what either lacks, and lack in common no more than the places their bitmaps share allow.
-    gone = lambda a, k: F.col(f"{a}.gone").getItem(k)
-    unlike = lambda a, b: sum((F.bit_count(gone(a, k).bitwiseAND(F.bitwise_not(gone(b, k)))).cast("int") for k in range(8)), F.lit(0))
-    lacked = F.least(F.col("x.lacks") - unlike("x", "y"), F.col("y.lacks") - unlike("y", "x"))
-    shared = F.col("x.n") - F.col("x.own") - F.col("y.lacks") + lacked
-    may = may & ((F.col("x.at") < F.col("x.own")) | ((numerator + denominator) * shared >= numerator * (F.col("x.n") + F.col("y.n"))))
+    may = (F.col("x.part") != F.col("y.part")) & (~F.col("y.outside") | (F.col("x.v") < F.col("y.v"))) & (
+        F.lit(numerator) * F.greatest("x.n", "y.n") <= F.lit(denominator) * F.least("x.n", "y.n")) & (
+        (numerator + denominator) * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= numerator * (F.col("x.n") + F.col("y.n")))
     return x.join(y, [*met, may]).select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v")).distinct()
 
 
@@ -237,7 +239,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
         links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("u").alias("v")), "doc_id").select("u", "v"))
     parts = materialise(graph.components(links), "minhash-parts")
 
-    more = materialise(around_hubs(spokes, parts, numerator, denominator), "minhash-more")
+    index = materialise(necessary(spokes, parts, sets, numerator, denominator), "minhash-prefixes")
+    more = materialise(across_parts(index, numerator, denominator), "minhash-more")
     more = materialise(beside_hubs(more, sets, "shingles").filter(_ratio(F.size(F.array_intersect("shingles_v", "shingles_u")), numerator, denominator)).select("u", "v"), "minhash-links")
     if not more.isEmpty():
         parts = materialise(graph.components(links.unionByName(more)), "minhash-parts")

@@ -88,6 +88,25 @@ def test_crowd_around_one_text(spark):
         assert result(minhash.near_duplicates(df, n, num, 100)) == brute(rows, n, num, 100)
 
 
+def test_pieces_of_one_text(spark, monkeypatch):
+    """Texts that keep different pieces of one text differ by what they lack; few of their pairs are compared."""
+    rng = random.Random(17)
+    base = [f"b{k}" for k in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        if i % 20 == 0:  # close to the one before, far from the hub
+            w = rows[-1][1].split()
+            w[rng.randrange(len(w))] = f"v{i}"
+        else:
+            w = [x for k in rng.sample(range(10), rng.choice([4, 5, 6])) for x in base[k * 30:k * 30 + rng.randrange(12, 30)]]
+        rows.append((i, " ".join(w)))
+    made, written = {}, minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, label: made.setdefault(label, written(df, label)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(minhash.near_duplicates(df, 5, 80, 100)) == brute(rows, 5, 80, 100)
+    assert made["minhash-more"].count() <= 5 * len(rows)
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     """Shuffle files of a written table go with the write, whenever the driver collects garbage."""
     from aeroband.session import materialise
