@@ -14,6 +14,7 @@ import os
 import re
 import sys
 from array import array
+from operator import attrgetter
 
 import numpy as np
 
@@ -22,6 +23,9 @@ KEPT = 250_000
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: Characters that str.split() takes for white space and the tokenizers' patterns do not.
 _UNCLEAR = "\x1c\x1d\x1e\x1f\x85"
+#: White space besides the space and the line feed, in ASCII and beyond.
+_BLANKS = "\t\r\x0b\x0c"
+_WIDE_BLANKS = "\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Letters that NFC leaves alone and whose lower case is letters; a stop after them stands alone.
 _LATIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f]+)([,.!?]?)")
@@ -36,6 +40,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_ID = attrgetter("id")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -46,6 +51,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         #: Strings that are tokens of their own wherever they stand; a text with one is encoded whole.
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
@@ -76,10 +82,12 @@ class Encoder:
             except UnicodeEncodeError:
                 return text.split()
             return text.lower().split() if self.lowers else text.split()
+        if any(x in text for x in _BLANKS) or "  " in text or (not text.isascii() and any(x in text for x in _WIDE_BLANKS)):
+            return _SAFE.split(text)
         for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if words != line.split():
+            if not line or line[0] == " " or line[-1] == " ":
                 return _SAFE.split(text)
+            words = line.split(" ")
             if k:
                 out.append("\n")
             out.append(words[0])
@@ -92,8 +100,7 @@ class Encoder:
             stem, space = stem.lower(), ""
         if not stem.isascii():
             stem = stem.encode().decode("latin-1").translate(_LETTERS)
-        ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(("\u0120" if space else "") + stem)])
-        return ids.tobytes()
+        return array(self.code, map(_ID, self.merge(("\u0120" if space else "") + stem))).tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
         old, young, others = self.old, self.young, []
