@@ -190,6 +190,17 @@ def across_parts(index: DataFrame, numerator: int, denominator: int) -> DataFram
     return x.join(y, [*met, may]).select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v")).distinct()
 
 
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after further links (u, v): components of whole components."""
+    ends = links.select("u", "v")
+    for end in ("u", "v"):
+        ends = ends.join(parts.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    merged = materialise(graph.components(ends), "minhash-joined").withColumnRenamed("component", "least")
+    nodes = parts.unionByName(merged.select("node", F.col("node").alias("component"))).distinct()
+    nodes = nodes.join(merged.withColumnRenamed("node", "component"), "component", "left")
+    return nodes.select("node", F.coalesce("least", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id, component_id, kept.
 
@@ -243,7 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     more = materialise(across_parts(index, numerator, denominator), "minhash-more")
     more = materialise(beside_hubs(more, sets, "shingles").filter(_ratio(F.size(F.array_intersect("shingles_v", "shingles_u")), numerator, denominator)).select("u", "v"), "minhash-links")
     if not more.isEmpty():
-        parts = materialise(graph.components(links.unionByName(more)), "minhash-parts")
+        parts = materialise(joined(parts, more), "minhash-parts")
 
     reached = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     if tied:  # then classes are not all named by their smallest document
