@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from aeroband.llm import text
-from aeroband.session import materialise
+from aeroband.session import materialise, release
 
 WIDTH = 10
 SHINGLE = 3
@@ -216,6 +216,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, index_words:
         counts = texts.mapInArrow(partial(_count, lookups=lookups), "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
         windows.choose_prefixes({r[0] & (1 << 64) - 1: r[1] for r in counts.collect()})  # no more rows than the index has shingles
         indexes.append(spark.sparkContext.broadcast(windows))
+    release()
     schema = T.StructType([*marked.schema.fields[:-2], *T._parse_datatype_string("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").fields])
     return marked.mapInArrow(partial(_marked, indexes=indexes, at_text=at_text), schema)
 

@@ -174,7 +174,7 @@ def _offsets(folder: str, task: int) -> np.ndarray:
         return np.frombuffer(source.read(), "<i8")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], slots, limit: int, width: int, folder: str) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], slots, limit: int, folder: str) -> Iterator[pa.RecordBatch]:
     slots = slots.value
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
@@ -185,6 +185,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], slots, limit: int, width: int, fo
             for r in batch.slice(k, ROWS).to_pylist():
                 if r["task"] != task:  # rows of one task lie together in its file
                     task, before = r["task"], _offsets(folder, r["task"])
+                width = len(r["ids"]) // r["doc_tokens"]  # of an id; the end id is always there
                 cut = lambda a, b: np.frombuffer(r["ids"], f"<u{width}")[a:b].astype("<u4").tobytes()  # noqa: E731, B023
                 full = r["doc_tokens"] // limit
                 whole = r["whole"] + int(before[limit])
@@ -218,8 +219,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, limit: int = LIMIT) -> DataFr
     offsets.mapInArrow(partial(_write_offsets, folder=folder, limit=limit), "task int").count()
     placed = encoded.select("doc_id", "ids", "doc_tokens", "task", "rest", "rank", "whole")
     made = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInArrow(partial(
-        _pieces, slots=spark.sparkContext.broadcast(slots), limit=limit, width=encode.encoder(path).dtype.itemsize, folder=folder), made)
+    return placed.mapInArrow(partial(_pieces, slots=spark.sparkContext.broadcast(slots), limit=limit, folder=folder), made)
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:

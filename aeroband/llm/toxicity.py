@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from aeroband.llm import text
 from aeroband.llm.decontaminate import Lookup
+from aeroband.session import release
 
 SAMPLE = 800
 SAMPLE_TERMS = 40_000
@@ -233,6 +234,13 @@ def fit_chain(documents: list[np.ndarray], dense: np.ndarray, labels: dict[str,
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE) -> Chain:
     """A chain over ``categories``: name to a condition on ``labels``, in the order predicted."""
+    try:
+        return _trained(docs, labels, categories, sample)
+    finally:
+        release()
+
+
+def _trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int) -> Chain:
     text.lean(docs.sparkSession)
     names = list(categories)
     truth = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(k) for k, c in categories.items()])
