@@ -60,3 +60,24 @@ def test_pairs_are_tested_by_compiled_terms(spark, tables):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "lambda" in line and "latitude" in line]
         assert f"Repartition {4 * spark.sparkContext.defaultParallelism}" in plan
+
+
+def test_blocks_settle_crowds(spark, tables):
+    """Neighbours meet a zone as one block; crowds, duplicates and places on a border come out as a loop has them."""
+    rng = np.random.default_rng(4)
+    at = [(37.71 + a, -122.385 + b) for a, b in rng.uniform(-0.004, 0.004, (1200, 2))] + [(37.712, -122.384)] * 700
+    at += [(37.71 + k * 1e-7, -122.39 + 900.0 / G.METRES_PER_DEG / math.cos(math.radians(37.71))) for k in range(40)]
+    crowd = spark.createDataFrame([(k, float(a), float(b), 50.0) for k, (a, b) in enumerate(at)], "id long, latitude double, longitude double, altitude double")
+    want = sorted((r.id, r.zone_id) for r in crowd.crossJoin(tables[1]).filter(G.inside_zone("latitude", "longitude")).select("id", "zone_id").collect())
+    assert sorted((r.id, r.zone_id) for r in G.inside(crowd, tables[1]).select("id", "zone_id").collect()) == want and len(want) > 2000
+    blocks = G._blocks(crowd).select(F.size("_at").alias("n")).collect()
+    assert sum(b.n for b in blocks) == len(at) and max(b.n for b in blocks) <= G.BLOCK_ROWS and len(blocks) < 120
+
+
+def test_zone_cells_are_counted_before_they_are_broadcast(spark, tables, monkeypatch):
+    """Estimates do not see the cells of a zone: many cells are joined by sorting, with the same rows."""
+    want = sorted((r.id, r.zone_id, r.severity) for r in G.proximity(*tables, 400.0, 200.0).collect())
+    monkeypatch.setattr(G, "BROADCAST_BYTES", 1000)
+    out = G.proximity(*tables, 400.0, 200.0)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.zone_id, r.severity) for r in out.collect()) == want
